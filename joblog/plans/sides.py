@@ -1,0 +1,22 @@
+"""Join sides whose size is checked before they are broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows of a registry-like side that may be broadcast.
+BROADCAST_ROWS = 50_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast copy of ``df`` when it has at most ``max_rows`` rows, else ``df`` itself.
+
+    At most ``max_rows + 1`` rows come to the driver. Beyond the bound the join
+    is shuffled, and a popular key on the other side is left to the adaptive
+    skew join, which splits the left side of left, semi and anti joins.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
