@@ -149,7 +149,9 @@ def encode_messages(v: Views) -> DataFrame:
         messages.encode_messages(tasks.route_messages(decoded, "progress"), "progress"),
         messages.encode_messages(errors, "error"),
         messages.encode_messages(executions, "execute"),
-        messages.encode_messages(outcomes.dead_letters(v.tasks, v.first_outcomes()), "max_retries_reached"),
+        messages.encode_messages(
+            outcomes.dead_letters(v.tasks, v.first_outcomes()).filter("route = 'message'"), "max_retries_reached"
+        ),
         messages.encode_messages(
             metrics.queue_stats(decoded, state.latest_tasks(v.task_log), v.executions.filter("webhook_url is null")),
             "stats",
