@@ -32,8 +32,9 @@ def _limit(executions: DataFrame) -> Column:
     return F.when(F.col("webhook_url").isNull(), limit) if "webhook_url" in executions.columns else limit
 
 
-def _deadline(executions: DataFrame) -> Column:
-    # A limit beyond 292,000 years is no limit; it would overflow the addition.
+def deadline_micros(executions: DataFrame) -> Column:
+    """Microsecond at which an execution's limit ends, null when it has none."""
+    # A limit beyond 100,000 years is no limit; it would overflow the addition.
     limit = _limit(executions)
     seconds = F.when(limit < 4_000_000_000_000, limit)
     return F.unix_micros("exec_ts") + seconds * 1_000_000
@@ -47,7 +48,7 @@ def _timeline(executions: DataFrame, results: DataFrame) -> DataFrame:
         F.lit(0).alias("__kind"),
         F.col("exec_id").alias("__seq"),
         F.struct(
-            F.col("exec_id"), F.col("exec_ts"), _deadline(executions).alias("deadline")
+            F.col("exec_id"), F.col("exec_ts"), deadline_micros(executions).alias("deadline")
         ).alias("__execution"),
     )
     ends = results.withColumn("__result", F.struct(*results.columns)).select(

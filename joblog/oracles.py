@@ -87,6 +87,12 @@ FROM r JOIN f ON f.g = r.rate_limit_group AND f.rn = r.rn""",
     )
 
 
+LATE = """SELECT exec_id, task_id, epoch_us(exec_ts) AS exec_ts, epoch_us(exec_ts) + max_execution_seconds * 1000000 AS deadline,
+  'Task execution timed out after ' || max_execution_seconds || ' seconds' AS error
+FROM fx_executions e WHERE webhook_url IS NULL AND max_execution_seconds IS NOT NULL AND NOT EXISTS (
+  SELECT 1 FROM fx_results r WHERE r.task_id = e.task_id AND r.result_ts >= e.exec_ts
+    AND r.result_ts <= e.exec_ts + to_seconds(e.max_execution_seconds))"""
+
 SAVED = """saved AS (
   SELECT DISTINCT rate_limit_group AS g, CASE WHEN cast(substr(rate_limit_group, 2) AS int) % 3 = 0 THEN 0
          ELSE 2 * cast(substr(rate_limit_group, 2) AS int) END AS used
@@ -259,11 +265,7 @@ FROM fx_results WHERE result_id NOT IN (SELECT result_id FROM matched)""",
         steps=pairs,
     )
     o["timed_out"] = _sql(
-        """SELECT exec_id, task_id, epoch_us(exec_ts) AS exec_ts, epoch_us(exec_ts) + max_execution_seconds * 1000000 AS deadline,
-  'Task execution timed out after ' || max_execution_seconds || ' seconds' AS error
-FROM fx_executions e WHERE webhook_url IS NULL AND max_execution_seconds IS NOT NULL AND NOT EXISTS (
-  SELECT 1 FROM fx_results r WHERE r.task_id = e.task_id AND r.result_ts >= e.exec_ts
-    AND r.result_ts <= e.exec_ts + to_seconds(e.max_execution_seconds))""",
+        LATE,
         "fx_executions",
         "fx_results",
     )
@@ -308,7 +310,7 @@ FROM events"""
         """SELECT s.task_id, s.attempts, s.attempts - CASE WHEN s.won THEN 1 ELSE 0 END AS failures, e.error_msg AS last_error,
   CASE WHEN s.won THEN 'succeeded' WHEN s.attempts >= s.allowed THEN 'dead' ELSE 'pending' END AS outcome
 FROM (
-  SELECT t.task_id, greatest(t.max_retries, 1) AS allowed, coalesce(least(a.first_ok, a.n, greatest(t.max_retries, 1)), 0) AS attempts,
+  SELECT t.task_id, greatest(t.max_retries, 1) AS allowed, CASE WHEN a.n IS NULL THEN 0 ELSE least(a.first_ok, a.n, greatest(t.max_retries, 1)) END AS attempts,
          coalesce(a.first_ok <= greatest(t.max_retries, 1), false) AS won
   FROM fx_tasks t LEFT JOIN (SELECT task_id, min(no) FILTER (ok) AS first_ok, count(*) AS n FROM numbered GROUP BY task_id) a
     ON a.task_id = t.task_id) s
@@ -448,4 +450,37 @@ WHERE {TICK_RULE} GROUP BY s_suppkey"""
     o["run_max_retry_handlers"] = _sql(
         f"SELECT task_id FROM dead WHERE {handled}", "fx_tasks", "fx_attempts", steps=DEAD
     )
+
+    # streaming
+    o["stream_messages"] = f"SELECT action, task_id, task_type, task_data, data, status FROM ({o['read_messages']})"
+    o["stream_due"] = o["admit_due"]
+    o["stream_latest"] = o["latest_tasks"]
+    o["stream_dedupe"] = o["dedupe_in_flight"]
+    o["stream_quota"] = o["admit_quota"]
+    # Limits still running at the last watermark (whole milliseconds) are not reported yet.
+    o["stream_timeouts"] = _sql(
+        f"""SELECT 'matched' AS kind, task_id, exec_id, result_id, status,
+  CASE WHEN status <> 'success' THEN coalesce(error_msg, 'Unknown error') END AS error FROM matched
+UNION ALL SELECT 'orphan', task_id, NULL, result_id, status, 'Received result for unknown/expired task_id ' || task_id
+FROM fx_results WHERE result_id NOT IN (SELECT result_id FROM matched)
+UNION ALL SELECT 'timeout', task_id, exec_id, NULL, NULL, error FROM late
+WHERE deadline // 1000 + 1 < (SELECT epoch_us(max(ts)) // 1000 FROM (
+  SELECT exec_ts AS ts FROM fx_executions UNION ALL SELECT result_ts FROM fx_results))""",
+        "fx_executions",
+        "fx_results",
+        steps=pairs + ",\nlate AS (" + LATE + ")",
+    )
+    o["stream_orphans"] = _sql(
+        """SELECT result_id, task_id, status, 'Received result for unknown/expired task_id ' || task_id AS message
+FROM fx_results WHERE result_id NOT IN (SELECT result_id FROM matched)""",
+        "fx_executions",
+        "fx_results",
+        steps=pairs,
+    )
+    o["stream_progress"] = """SELECT event_id AS seq, epoch_us(ts) AS event_ts, cast(user_id AS string) AS task_id,
+  'c' || cast(event_id AS string) AS data FROM events WHERE event_type = 'click' AND event_id % 50 <> 7"""
+    o["stream_stats"] = """SELECT count(*) FILTER (event_type = 'signup') AS total_enqueued,
+  count(*) FILTER (event_type = 'purchase') AS results_ok, count(*) FILTER (event_type = 'error') AS results_failed,
+  count(*) FILTER (event_type = 'click') AS progress_messages, count(*) FILTER (event_type = 'view') AS registrations
+FROM events WHERE event_id % 50 <> 7"""
     return o
