@@ -27,8 +27,8 @@ from joblog.plans.runs import key_runs
 # Length of a quota window and of the deferral after a denial.
 WINDOW_SECONDS = 60
 DEFERRAL_SECONDS = 60
-# A time slice spans this many windows.
-WINDOWS_PER_SLICE = 60
+# A time slice spans this many windows; one window in so many is lent to the next slice.
+WINDOWS_PER_SLICE = 16
 
 GROUP, LIMIT = "rate_limit_group", "max_per_minute"
 
@@ -101,25 +101,25 @@ def _follow_reports(width: int, span: int):
     """Walk each group's reports in order; yield the anchor that reaches into a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, number, anchor, settled = None, None, None, False
+        key, anchor, settled = (None, None), None, False
         for batch in batches:
             out: list[tuple] = []
-            columns = (batch.column(c).to_pylist() for c in (GROUP, "__slice", "__upto", "__leave"))
-            for g, s, upto, leave in zip(*columns):
-                if g != group or number is None:
-                    group, number, anchor = g, None, None
-                if s != number:
-                    number, settled = s, False
-                    if anchor is not None and anchor > s * span - width:
-                        out.append((g, s, anchor))
-                if not settled and (anchor is None or anchor + width <= upto):
-                    anchor, settled = leave, True
+            uptos, leaves = batch.column("__upto").to_numpy(), batch.column("__leave").to_numpy()
+            for run_key, start, stop in key_runs(batch, [GROUP, "__slice"]):
+                if run_key != key:
+                    if run_key[0] != key[0]:
+                        anchor = None
+                    key, settled = run_key, False
+                    if anchor is not None and anchor > key[1] * span - width:
+                        out.append((*key, anchor))
+                if settled:
+                    continue
+                # Reports of a slice ascend; the first that covers the open window holds.
+                at = start if anchor is None else start + int(np.searchsorted(uptos[start:stop], anchor + width))
+                if at < stop:
+                    anchor, settled = int(leaves[at]), True
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([o[0] for o in out], pa.string()),
-                    pa.array([o[1] for o in out], pa.int64()),
-                    pa.array([o[2] for o in out], pa.int64()),
-                ],
+                [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))],
                 names=[GROUP, "__slice", "__entry"],
             )
 

@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 CHUNK = "__chunk"
 CARRY = "__carry"
 
-# Rows of one key in one chunk, when chunks are ranges of a unique sequence number.
-SEQ_CHUNK = 4_000_000
-# Width of one chunk, when chunks are ranges of time.
-TIME_CHUNK_SECONDS = 86_400
+# Rows of one key in one chunk at most, when chunks are ranges of a unique sequence number.
+SEQ_CHUNK = 1_000_000
+# Width of one chunk, when chunks are ranges of time. Narrow on purpose: a hot
+# key's year is then half a million summary rows, and its busiest minute one task.
+TIME_CHUNK_SECONDS = 60
 
 
 def floor_div(column: Column, width: int) -> Column:
@@ -73,6 +74,8 @@ def neighbour(
     carried = edge.select(
         *keys, CHUNK, *[F.lag(v).over(across).alias(v) for v in values], F.lit(True).alias(CARRY)
     )
+    # The first chunk of a key has nothing to be told.
+    carried = carried.dropna("all", subset=list(values))
     stacked = keyed.withColumn(CARRY, F.lit(False)).unionByName(carried, allowMissingColumns=True)
     within = Window.partitionBy(*keys, CHUNK).orderBy(F.col(CARRY).desc(), *_by(order, following))
     return (
@@ -112,6 +115,7 @@ def number_rows(
         carried = tails.withColumn("__exit", F.sum("__n").over(in_run)).select(
             *keys, CHUNK, F.coalesce(F.lag("__exit").over(across), F.lit(0)).alias("__weight")
         )
+    carried = carried.filter("__weight > 0")
     stacked = keyed.withColumns({"__weight": F.lit(1).cast("bigint"), CARRY: F.lit(False)}).unionByName(
         carried.withColumn(CARRY, F.lit(True)), allowMissingColumns=True
     )
