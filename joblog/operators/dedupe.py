@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joblog.plans.ordered import SEQ_CHUNK, neighbour, seq_chunk
+from joblog.plans.ordered import HOT_ROWS, SEQ_CHUNK, previous_row, seq_chunk
 
 ENQUEUE = "enqueue"
 
 
-def dedupe_in_flight(events: DataFrame, chunk_rows: int = SEQ_CHUNK) -> DataFrame:
+def dedupe_in_flight(
+    events: DataFrame, chunk_rows: int = SEQ_CHUNK, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Add ``accepted`` to the enqueue rows of (seq, payload_key, kind) events.
 
     A key is active from an accepted enqueue to its release (any other kind), so
@@ -19,7 +21,9 @@ def dedupe_in_flight(events: DataFrame, chunk_rows: int = SEQ_CHUNK) -> DataFram
     shuffle.
     """
     keyed = events.filter(F.col("payload_key").isNotNull()).withColumn("__enqueue", F.col("kind") == ENQUEUE)
-    ordered = neighbour(keyed, ["payload_key"], ["seq"], seq_chunk("seq", chunk_rows), ["__enqueue"], "__before")
+    ordered = previous_row(
+        keyed, ["payload_key"], ["seq"], seq_chunk("seq", chunk_rows), ["__enqueue"], "__before", hot_rows
+    )
     accepted = (
         ordered.filter("__enqueue")
         .withColumn("accepted", ~F.coalesce(F.col("__before__enqueue"), F.lit(False)))

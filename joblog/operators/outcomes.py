@@ -13,11 +13,16 @@ from joblog.operators.tasks import exhausted, instant, retry_columns
 from joblog.plans.ordered import (
     CARRY,
     CHUNK,
+    HOT,
+    HOT_ROWS,
     SEQ_CHUNK,
     TIME_CHUNK_SECONDS,
-    neighbour,
+    cut,
+    hot_keys,
     number_rows,
+    previous_row,
     seq_chunk,
+    stack,
     time_chunk,
 )
 from joblog.plans.sides import broadcast_if_small
@@ -61,20 +66,21 @@ def _timeline(executions: DataFrame, results: DataFrame) -> DataFrame:
     return starts.unionByName(ends, allowMissingColumns=True)
 
 
-def _paired(executions: DataFrame, results: DataFrame, chunk_seconds: int) -> DataFrame:
+def _paired(executions: DataFrame, results: DataFrame, chunk_seconds: int, hot_rows: int) -> DataFrame:
     """Each result with the event before it; ``matched`` when that is an open execution.
 
     A pending execution is replaced by a newer one and consumed by the first
     result, so a result finds one exactly when the event before it on its task
     is an execution - and it is in time for it.
     """
-    pairs = neighbour(
+    pairs = previous_row(
         _timeline(executions, results),
         ["task_id"],
         ["__ts", "__kind", "__seq"],
         time_chunk("__ts", chunk_seconds),
         ["__execution"],
         "__before",
+        hot_rows,
     ).filter("__kind = 1")
     open_still = F.coalesce(F.unix_micros("__ts") <= F.col("__before__execution.deadline"), F.lit(True))
     return pairs.select(
@@ -86,18 +92,24 @@ def _paired(executions: DataFrame, results: DataFrame, chunk_seconds: int) -> Da
 
 
 def match_results(
-    executions: DataFrame, results: DataFrame, chunk_seconds: int = TIME_CHUNK_SECONDS
+    executions: DataFrame,
+    results: DataFrame,
+    chunk_seconds: int = TIME_CHUNK_SECONDS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Results paired with the pending execution of their id (``exec_id``, ``exec_ts``)."""
-    return _paired(executions, results, chunk_seconds).filter("matched").drop("matched")
+    return _paired(executions, results, chunk_seconds, hot_rows).filter("matched").drop("matched")
 
 
 def orphan_results(
-    executions: DataFrame, results: DataFrame, chunk_seconds: int = TIME_CHUNK_SECONDS
+    executions: DataFrame,
+    results: DataFrame,
+    chunk_seconds: int = TIME_CHUNK_SECONDS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Results with no pending execution: unknown, repeated, superseded or too late."""
     return (
-        _paired(executions, results, chunk_seconds)
+        _paired(executions, results, chunk_seconds, hot_rows)
         .filter(~F.col("matched"))
         .drop("matched", "exec_id", "exec_ts")
         .withColumn("message", F.concat(F.lit("Received result for unknown/expired task_id "), F.col("task_id")))
@@ -105,7 +117,11 @@ def orphan_results(
 
 
 def timed_out(
-    executions: DataFrame, results: DataFrame, as_of=None, chunk_seconds: int = TIME_CHUNK_SECONDS
+    executions: DataFrame,
+    results: DataFrame,
+    as_of=None,
+    chunk_seconds: int = TIME_CHUNK_SECONDS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Executions with a limit, no webhook, and no result within the limit.
 
@@ -116,17 +132,15 @@ def timed_out(
     events = _timeline(executions, results).withColumn(
         "__result_ts", F.when(F.col("__kind") == 1, F.unix_micros("__ts"))
     )
-    keyed = events.withColumn(CHUNK, time_chunk("__ts", chunk_seconds))
+    keyed = cut(events, ["task_id"], time_chunk("__ts", chunk_seconds), hot_keys(events, ["task_id"], hot_rows))
     later = (
         Window.partitionBy("task_id").orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = (
-        keyed.groupBy("task_id", CHUNK)
+        keyed.filter(HOT)
+        .groupBy("task_id", CHUNK)
         .agg(F.min("__result_ts").alias("__result_ts"))
-        .select(
-            "task_id", CHUNK, F.last("__result_ts", ignorenulls=True).over(later).alias("__result_ts"),
-            F.lit(True).alias(CARRY),
-        )
+        .select("task_id", CHUNK, F.last("__result_ts", ignorenulls=True).over(later).alias("__result_ts"))
     )
     backwards = (
         Window.partitionBy("task_id", CHUNK)
@@ -135,8 +149,7 @@ def timed_out(
     )
     deadline = F.col("__execution.deadline")
     late = (
-        keyed.withColumn(CARRY, F.lit(False))
-        .unionByName(carried, allowMissingColumns=True)
+        stack(keyed, carried)
         .withColumn("__next", F.last("__result_ts", ignorenulls=True).over(backwards))
         .filter((F.col("__kind") == 0) & deadline.isNotNull())
         .filter(F.col("__next").isNull() | (F.col("__next") > deadline))
@@ -183,6 +196,7 @@ def number_attempts(
     order: Sequence[str] = ("attempt_ts",),
     restarts: str | None = "restarts",
     chunk_seconds: int = TIME_CHUNK_SECONDS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``attempt_no`` (from 1) and ``retry_count`` (from 0) per task.
 
@@ -190,7 +204,7 @@ def number_attempts(
     of a recurring task). ``order`` starts with a timestamp and has to be total.
     """
     numbered = number_rows(
-        attempts, ["task_id"], list(order), time_chunk(order[0], chunk_seconds), "attempt_no", restarts
+        attempts, ["task_id"], list(order), time_chunk(order[0], chunk_seconds), "attempt_no", restarts, hot_rows
     )
     return numbered.withColumn("retry_count", F.col("attempt_no") - 1)
 
@@ -200,73 +214,75 @@ def attempt_summary(
     attempts: DataFrame,
     order: Sequence[str] = ("attempt_ts",),
     chunk_seconds: int = TIME_CHUNK_SECONDS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Per task: attempts counted, failures before the first success, last error, outcome.
 
     ``succeeded`` when a success comes among the first ``max(max_retries, 1)``
     attempts, ``dead`` when all of those failed, else ``pending``. Attempts
-    after either do not count. Limit, attempts so far and "has succeeded" reach
-    every slice of a task on its carry row, so the attempts themselves are
-    shuffled once, by (task, slice), and only counted rows go on.
+    after either do not count, nor do attempts of unknown tasks. A task's row
+    travels with its attempts as their carry row, so the attempts are shuffled
+    once and there is no join; a hot task has a carry row per chunk, with the
+    attempts so far and whether one of them succeeded.
     """
     order = list(order)
-    keyed = attempts.select("task_id", *order, "ok", "error_msg").withColumn(
-        CHUNK, time_chunk(order[0], chunk_seconds)
-    )
-    slices = keyed.groupBy("task_id", CHUNK).agg(
-        F.count(F.lit(1)).alias("__n"), F.max(F.col("ok").cast("int")).alias("__any_ok")
-    )
-    allowed = tasks.select("task_id", F.greatest(F.col("max_retries"), F.lit(1)).cast("bigint").alias("__allowed"))
+    rows = attempts.select("task_id", *order, "ok", "error_msg")
+    hot = hot_keys(rows, ["task_id"], hot_rows)
+    keyed = cut(rows, ["task_id"], time_chunk(order[0], chunk_seconds), hot)
+    limits = tasks.select("task_id", "max_retries")
     earlier = Window.partitionBy("task_id").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = slices.join(allowed, "task_id").select(
-        "task_id",
-        CHUNK,
-        "__allowed",
-        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__weight"),
-        F.coalesce(F.max("__any_ok").over(earlier), F.lit(0)).alias("__ok"),
-        F.lit(True).alias(CARRY),
+    nothing = {"__weight": F.lit(0).cast("bigint"), "__ok": F.lit(0), CHUNK: F.lit(0).cast("bigint")}
+    ordinary = limits.join(hot, "task_id", "left_anti").withColumns(nothing)
+    cut_up = (
+        keyed.filter(HOT)
+        .groupBy("task_id", CHUNK)
+        .agg(F.count(F.lit(1)).alias("__n"), F.max(F.col("ok").cast("int")).alias("__any"))
+        .join(limits.join(hot, "task_id", "left_semi"), "task_id")
+        .select(
+            "task_id",
+            "max_retries",
+            F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__weight"),
+            F.coalesce(F.max("__any").over(earlier), F.lit(0)).alias("__ok"),
+            CHUNK,
+        )
+    )
+    stacked = stack(
+        keyed.withColumns({"__weight": F.lit(1).cast("bigint"), "__ok": F.col("ok").cast("int")}),
+        ordinary.unionByName(cut_up),
     )
-    stacked = keyed.withColumns(
-        {"__weight": F.lit(1).cast("bigint"), "__ok": F.col("ok").cast("int"), CARRY: F.lit(False)}
-    ).unionByName(carried, allowMissingColumns=True)
-    sorted_slice = Window.partitionBy("task_id", CHUNK).orderBy(F.col(CARRY).desc(), *order)
-    to_here = sorted_slice.rowsBetween(Window.unboundedPreceding, 0)
-    counted = (
+    in_order = Window.partitionBy("task_id", CHUNK).orderBy(F.col(CARRY).desc(), *order)
+    to_here = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    allowed = F.greatest(F.col("__allowed"), F.lit(1))
+    failed = ~F.col(CARRY) & ~F.col("ok")
+    summary = (
         stacked.withColumns(
             {
                 "__no": F.sum("__weight").over(to_here),
-                "__allowed": F.first("__allowed", ignorenulls=True).over(to_here),
-                "__done": F.max("__ok").over(sorted_slice.rowsBetween(Window.unboundedPreceding, -1)),
+                "__allowed": F.first("max_retries", ignorenulls=True).over(to_here),
+                "__done": F.max("__ok").over(before),
             }
         )
-        .filter(~F.col(CARRY) & (F.col("__no") <= F.col("__allowed")) & (F.col("__done") == 0))
+        .filter(F.col(CARRY) | ((F.col("__no") <= allowed) & (F.col("__done") == 0)))
         .groupBy("task_id")
         .agg(
-            F.count(F.lit(1)).alias("attempts"),
-            F.count_if(~F.col("ok")).alias("failures"),
-            F.max_by(F.when(~F.col("ok"), F.col("error_msg")), F.when(~F.col("ok"), F.col("__no"))).alias("last_error"),
-            F.max("__ok").alias("__ok"),
+            F.max("max_retries").alias("max_retries"),
+            F.count_if(~F.col(CARRY)).alias("attempts"),
+            F.count_if(failed).alias("failures"),
+            F.max_by(F.when(failed, F.col("error_msg")), F.when(failed, F.col("__no"))).alias("last_error"),
+            F.max(F.when(~F.col(CARRY), F.col("ok"))).alias("__won"),
         )
     )
     limit = F.greatest(F.col("max_retries"), F.lit(1))
-    return (
-        tasks.select("task_id", "max_retries")
-        .join(counted, "task_id", "left")
-        .select(
-            "task_id",
-            F.coalesce("attempts", F.lit(0)).alias("attempts"),
-            F.coalesce("failures", F.lit(0)).alias("failures"),
-            "last_error",
-            F.when(F.col("__ok") == 1, "succeeded")
-            .when(F.col("failures") >= limit, "dead")
-            .otherwise("pending")
-            .alias("outcome"),
-        )
-    )
+    outcome = F.when(F.col("__won"), "succeeded").when(F.col("failures") >= limit, "dead").otherwise("pending")
+    return summary.select("task_id", "attempts", "failures", "last_error", outcome.alias("outcome"))
 
 
 def assemble_progress(
-    progress: DataFrame, part_chunks: int = PROGRESS_PART, chunk_rows: int = SEQ_CHUNK
+    progress: DataFrame,
+    part_chunks: int = PROGRESS_PART,
+    chunk_rows: int = SEQ_CHUNK,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Partial chunks of each task joined in order.
 
@@ -276,7 +292,9 @@ def assemble_progress(
     last chunk.
     """
     rows = progress.select("task_id", "seq", "data")
-    numbered = number_rows(rows, ["task_id"], ["seq"], seq_chunk("seq", chunk_rows), "__no")
+    numbered = number_rows(
+        rows, ["task_id"], ["seq"], seq_chunk("seq", chunk_rows), "__no", hot_rows=hot_rows
+    )
     parts = (
         numbered.withColumn("part", F.call_function("div", F.col("__no") - 1, F.lit(part_chunks)))
         .groupBy("task_id", "part")

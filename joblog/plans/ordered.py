@@ -1,11 +1,12 @@
-"""Ordered per-key computations whose unit of work is a slice of a key.
-
-A window partitioned by key alone puts a hot key into one task. Here a key's
-rows are cut into chunks of its order (a range of sequence numbers or of time);
-each (key, chunk) is sorted in a task of its own, and what a chunk needs to know
-about the chunks before it arrives as one *carry row* sorted in front of it.
-Carry rows come from a summary with one row per (key, chunk), aggregated before
-it is shuffled. Chunking changes the plan, never the result.
+"""Ordered per-key computations that no hot key can hold up.
+
+A window partitioned by key puts all rows of a key into one task. That is fine
+for ordinary keys. Hot keys - found by a count that is aggregated before it is
+shuffled - are cut into chunks of their order (a range of sequence numbers or of
+time), and each (key, chunk) is sorted in a task of its own. What a chunk has to
+know about the chunks before it arrives as one *carry row* sorted in front of
+it, computed from one summary row per chunk. This changes the plan, never the
+result.
 """
 
 from __future__ import annotations
@@ -17,8 +18,14 @@ from pyspark.sql import functions as F
 
 CHUNK = "__chunk"
 CARRY = "__carry"
-
-# Rows of one key in one chunk at most, when chunks are ranges of a unique sequence number.
+HOT = "__hot"
+
+# A key with more rows than this is hot.
+HOT_ROWS = 1_000_000
+# At most so many keys are treated as hot, the largest first. Every other key
+# then has at most HOT_ROWS rows or one in so many of all rows.
+HOT_KEYS = 50_000
+# Rows of one hot key in one chunk at most, when chunks are ranges of a unique sequence number.
 SEQ_CHUNK = 1_000_000
 # Width of one chunk, when chunks are ranges of time. Narrow on purpose: a hot
 # key's year is then half a million summary rows, and its busiest minute one task.
@@ -30,9 +37,8 @@ def floor_div(column: Column, width: int) -> Column:
     return F.call_function("div", column - F.pmod(column, F.lit(width)), F.lit(width))
 
 
-def seq_chunk(column: str | Column, rows: int = SEQ_CHUNK) -> Column:
-    column = F.col(column) if isinstance(column, str) else column
-    return floor_div(column.cast("bigint"), rows)
+def seq_chunk(column: str, rows: int = SEQ_CHUNK) -> Column:
+    return floor_div(F.col(column).cast("bigint"), rows)
 
 
 def time_chunk(column: str, seconds: int = TIME_CHUNK_SECONDS) -> Column:
@@ -53,33 +59,48 @@ def pick_per(df: DataFrame, keys: Sequence[str], order: Sequence[str], last: boo
     return df.withColumn("__rank", F.row_number().over(w)).filter("__rank = 1").drop("__rank")
 
 
-def neighbour(
+def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The hot keys, at most HOT_KEYS of them, marked for broadcast."""
+    top = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows)
+    return F.broadcast(
+        top.orderBy(F.desc("__n"), *keys).limit(HOT_KEYS).select(*keys, F.lit(True).alias(HOT))
+    )
+
+
+def cut(rows: DataFrame, keys: Sequence[str], chunk: Column, hot: DataFrame) -> DataFrame:
+    """Add CHUNK (0 for ordinary keys) and HOT (null for ordinary keys); keys are not null."""
+    marked = rows.join(hot, list(keys), "left").select(*rows.columns, HOT)
+    return marked.withColumn(CHUNK, F.when(F.col(HOT), chunk).otherwise(F.lit(0)))
+
+
+def stack(keyed: DataFrame, carried: DataFrame) -> DataFrame:
+    """Rows and carry rows, told apart by CARRY; columns one side lacks are null."""
+    return (
+        keyed.drop(HOT)
+        .withColumn(CARRY, F.lit(False))
+        .unionByName(carried.withColumn(CARRY, F.lit(True)), allowMissingColumns=True)
+    )
+
+
+def previous_row(
     rows: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     chunk: Column,
     values: Sequence[str],
     prefix: str,
-    following: bool = False,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Add the ``values`` of the row just before (or after) each row of its key."""
-    keyed = rows.withColumn(CHUNK, chunk)
-    # The row of each chunk that its neighbour chunk has to see.
-    if len(order) == 1:
-        pick = F.min_by if following else F.max_by
-        edge = keyed.groupBy(*keys, CHUNK).agg(*[pick(v, order[0]).alias(v) for v in values])
-    else:
-        edge = pick_per(keyed, [*keys, CHUNK], order, last=not following).select(*keys, CHUNK, *values)
-    across = Window.partitionBy(*keys).orderBy(*_by([CHUNK], following))
-    carried = edge.select(
-        *keys, CHUNK, *[F.lag(v).over(across).alias(v) for v in values], F.lit(True).alias(CARRY)
-    )
-    # The first chunk of a key has nothing to be told.
-    carried = carried.dropna("all", subset=list(values))
-    stacked = keyed.withColumn(CARRY, F.lit(False)).unionByName(carried, allowMissingColumns=True)
-    within = Window.partitionBy(*keys, CHUNK).orderBy(F.col(CARRY).desc(), *_by(order, following))
+    """Add the ``values`` of the row just before each row of its key."""
+    keyed = cut(rows, keys, chunk, hot_keys(rows, keys, hot_rows))
+    # The last row of each chunk is what the chunk after it has to see.
+    edge = pick_per(keyed.filter(HOT), [*keys, CHUNK], order).select(*keys, CHUNK, *values)
+    across = Window.partitionBy(*keys).orderBy(CHUNK)
+    carried = edge.select(*keys, CHUNK, *[F.lag(v).over(across).alias(v) for v in values])
+    within = Window.partitionBy(*keys, CHUNK).orderBy(F.col(CARRY).desc(), *_by(order, False))
     return (
-        stacked.select("*", *[F.lag(v).over(within).alias(prefix + v) for v in values])
+        stack(keyed, carried)
+        .select("*", *[F.lag(v).over(within).alias(prefix + v) for v in values])
         .filter(~F.col(CARRY))
         .drop(CHUNK, CARRY)
     )
@@ -92,20 +113,22 @@ def number_rows(
     chunk: Column,
     name: str,
     restart_after: str | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Number the rows of each key from 1; start again after a ``restart_after`` row."""
-    keyed = rows.withColumn(CHUNK, chunk)
-    local = Window.partitionBy(*keys, CHUNK).orderBy(*_by(order, False))
+    keyed = cut(rows, keys, chunk, hot_keys(rows, keys, hot_rows))
+    hot = keyed.filter(HOT)
     across = Window.partitionBy(*keys).orderBy(CHUNK)
     if restart_after is None:
-        counts = keyed.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("__n"))
+        counts = hot.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("__n"))
         before = across.rowsBetween(Window.unboundedPreceding, -1)
-        carried = counts.select(*keys, CHUNK, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__weight"))
+        carried = counts.select(*keys, CHUNK, F.sum("__n").over(before).alias("__weight"))
     else:
         # Rows of the chunk that follow its last restart, and whether it has one.
+        local = Window.partitionBy(*keys, CHUNK).orderBy(*_by(order, False))
         ahead = local.rowsBetween(Window.currentRow, Window.unboundedFollowing)
         tails = (
-            keyed.select(*keys, CHUNK, *order, F.col(restart_after).cast("int").alias("__restart"))
+            hot.select(*keys, CHUNK, *order, F.col(restart_after).cast("int").alias("__restart"))
             .withColumn("__ahead", F.sum("__restart").over(ahead))
             .groupBy(*keys, CHUNK)
             .agg(F.count_if(F.col("__ahead") == 0).alias("__n"), F.max("__restart").alias("__has"))
@@ -113,25 +136,21 @@ def number_rows(
         )
         in_run = Window.partitionBy(*keys, "__run").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, 0)
         carried = tails.withColumn("__exit", F.sum("__n").over(in_run)).select(
-            *keys, CHUNK, F.coalesce(F.lag("__exit").over(across), F.lit(0)).alias("__weight")
+            *keys, CHUNK, F.lag("__exit").over(across).alias("__weight")
         )
-    carried = carried.filter("__weight > 0")
-    stacked = keyed.withColumns({"__weight": F.lit(1).cast("bigint"), CARRY: F.lit(False)}).unionByName(
-        carried.withColumn(CARRY, F.lit(True)), allowMissingColumns=True
-    )
-    ordered = [F.col(CARRY).desc(), *_by(order, False)]
-    segment: list[str] = []
+    stacked = stack(keyed.withColumn("__weight", F.lit(1).cast("bigint")), carried.filter("__weight > 0"))
+    ordered = Window.partitionBy(*keys, CHUNK).orderBy(F.col(CARRY).desc(), *_by(order, False))
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("__weight").over(so_far)
     if restart_after is not None:
-        earlier = Window.partitionBy(*keys, CHUNK).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, -1)
-        stacked = stacked.withColumn(
-            "__segment", F.coalesce(F.sum(F.col(restart_after).cast("int")).over(earlier), F.lit(0))
+        # Rows up to the last restart before this row are not counted.
+        stacked = stacked.withColumns({"__total": total, "__ends": F.col(restart_after)})
+        upto = F.max(F.when(F.col("__ends"), F.col("__total"))).over(
+            ordered.rowsBetween(Window.unboundedPreceding, -1)
         )
-        segment = ["__segment"]
-    so_far = (
-        Window.partitionBy(*keys, CHUNK, *segment).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, 0)
-    )
+        total = F.col("__total") - F.coalesce(upto, F.lit(0))
     return (
-        stacked.withColumn(name, F.sum("__weight").over(so_far))
+        stacked.withColumn(name, total)
         .filter(~F.col(CARRY))
-        .drop(CHUNK, CARRY, "__weight", *segment)
+        .drop(CHUNK, CARRY, "__weight", "__total", "__ends")
     )

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from joblog.schema import CORRUPT
 
@@ -33,3 +34,18 @@ def is_object(line: Column) -> Column:
 
 def finite(column: Column) -> Column:
     return column.isNull() | (~F.isnan(column) & (F.abs(column) < float("inf")))
+
+
+def parse_once(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """The fields of the JSON in ``value`` as columns, next to the columns of ``lines``.
+
+    A generator, not a projection: filters on the fields would be pushed below a
+    projection together with the parse, once per use of a field. They stay above
+    a generator, so each line is parsed one time.
+    """
+    return lines.select("*", F.inline(F.array(F.from_json("value", schema, READ_OPTIONS))))
+
+
+def compute_once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """Add a costly column that later filters use without computing it again."""
+    return df.select("*", F.explode(F.array(column)).alias(name))

@@ -15,33 +15,29 @@ from joblog.schema import (
     OUTBOUND_FIELDS,
     WEBHOOK_KEYS,
 )
-from joblog.sources.json_rules import READ_OPTIONS, finite, is_object, not_text
+from joblog.sources.json_rules import compute_once, finite, is_object, not_text, parse_once
 
 # Webhook events.
 EXECUTE, MAX_RETRIES_REACHED = "Execute", "MaxRetriesReached"
 EVENT_HEADER = "X-Job-Event"
 
 
-def _faults(message: Column, line: Column) -> Column:
-    """Text of the first fault of a line, null when it is a valid message."""
-    action = message["action"]
-    no_such = F.concat(F.lit("unknown action "), action)
-    checks = F.when(message.isNull() | message[CORRUPT].isNotNull() | ~is_object(line), "not a readable object").when(
+def _fault() -> Column:
+    """Text of the first fault of a parsed line, null when it is a valid message."""
+    line, action = F.col("value"), F.col("action")
+    fault = F.when(F.col(CORRUPT).isNotNull() | ~is_object(line), "not a readable object").when(
         action.isNull(), "missing field action"
     )
-    known = action.isin(list(INBOUND_REQUIRED))
-    checks = checks.when(~known, no_such)
+    fault = fault.when(~action.isin(list(INBOUND_REQUIRED)), F.concat(F.lit("unknown action "), action))
+    # Fields of other actions are unknown keys to this one and may hold anything.
     for name, required in INBOUND_REQUIRED.items():
         for field in required:
-            checks = checks.when((action == name) & message[field].isNull(), f"missing field {field}")
-    # Fields of other actions are unknown keys to this one and may hold anything.
-    for name in INBOUND_REQUIRED:
-        fields = [*INBOUND_REQUIRED[name], *INBOUND_OPTIONAL[name]]
-        texts = ["action"] + [f for f in fields if isinstance(MESSAGE_TYPES[f], T.StringType)]
-        checks = checks.when((action == name) & not_text(line, texts), "invalid type")
-    limit = message["max_execution_seconds"]
-    numbers = finite(message["retry_after_hours"]) & finite(message["urgency_score"]) & (limit.isNull() | (limit >= 0))
-    return checks.when((action == "enqueue") & ~numbers, "invalid value")
+            fault = fault.when((action == name) & F.col(field).isNull(), f"missing field {field}")
+        texts = [f for f in [*required, *INBOUND_OPTIONAL[name]] if isinstance(MESSAGE_TYPES[f], T.StringType)]
+        fault = fault.when((action == name) & not_text(line, ["action", *texts]), "invalid type")
+    limit = F.col("max_execution_seconds")
+    numbers = finite(F.col("retry_after_hours")) & finite(F.col("urgency_score")) & (limit.isNull() | (limit >= 0))
+    return fault.when((action == "enqueue") & ~numbers, "invalid value")
 
 
 def decode_messages(lines: DataFrame) -> DataFrame:
@@ -51,15 +47,12 @@ def decode_messages(lines: DataFrame) -> DataFrame:
     an ``error``; good lines have ``error`` null. Works on streams too.
     """
     extra = [c for c in lines.columns if c != "value"]
-    parsed = (
-        lines.filter(F.col("value").rlike(r"\S"))
-        .withColumn("__message", F.from_json("value", MESSAGE_SCHEMA, READ_OPTIONS))
-        .withColumn("__fault", _faults(F.col("__message"), F.col("value")))
-    )
+    parsed = parse_once(lines.filter(F.col("value").rlike(r"\S")).select(*extra, "value"), MESSAGE_SCHEMA)
+    checked = compute_once(parsed, "__fault", _fault())
     good = F.col("__fault").isNull()
-    return parsed.select(
+    return checked.select(
         *extra,
-        *[F.when(good, F.col("__message")[c]).alias(c) for c in MESSAGE_TYPES],
+        *[F.when(good, F.col(c)).alias(c) for c in MESSAGE_TYPES],
         F.concat(F.lit("Invalid JSON: "), F.col("__fault")).alias("error"),
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from joblog.functions.rfc3339 import format_rfc3339, parse_rfc3339
 from joblog.operators.state import compact_task_log, log_health
 from joblog.schema import CORRUPT, TASK_COLUMNS, TASK_LINE_SCHEMA, TASK_LOG_KEYS, TASK_REQUIRED, TASK_SCHEMA
-from joblog.sources.json_rules import READ_OPTIONS, finite, is_object, not_text
+from joblog.sources.json_rules import compute_once, finite, is_object, not_text, parse_once
 from joblog.sources.versions import write_version
 
 _TEXT_KEYS = [TASK_LOG_KEYS[f.name] for f in TASK_SCHEMA.fields if isinstance(f.dataType, (T.StringType, T.TimestampType))]
@@ -45,36 +45,29 @@ def valid_log_rows(lines: DataFrame) -> DataFrame:
     are ignored. Columns other than ``value`` are kept.
     """
     extra = [c for c in lines.columns if c != "value"]
-    parsed = lines.filter(F.col("value").rlike(r"\S")).withColumn(
-        "__task", F.from_json("value", TASK_LINE_SCHEMA, READ_OPTIONS)
-    )
-    task = F.col("__task")
-    columns = {
-        c: parse_rfc3339(task[key]) if c in _TIMES else task[key] for c, key in TASK_LOG_KEYS.items()
-    }
-    error = task[TASK_LOG_KEYS["last_job_error"]]
+    # Kept columns travel in one struct, out of the way of the record's keys.
+    kept = F.struct(*extra) if extra else F.lit(None)
+    written = lines.filter(F.col("value").rlike(r"\S")).select("value", kept.alias("__kept"))
+    parsed = parse_once(written, TASK_LINE_SCHEMA)
+    key = {c: F.col(k) for c, k in TASK_LOG_KEYS.items()}
+    times = {c: parse_rfc3339(key[c]) for c in _TIMES}
+    error = key["last_job_error"]
     sound = (
-        task[CORRUPT].isNull()
+        F.col(CORRUPT).isNull()
         & is_object(F.col("value"))
-        & ~not_text(F.col("value"), _TEXT_KEYS)
         & (error.isNull() | (error["error"].isNotNull() & error["retry_worthy"].isNotNull()))
-        & finite(task["retryAfterHours"])
-        & finite(task["urgencyScore"])
-        & (task["maxExecutionSeconds"].isNull() | (task["maxExecutionSeconds"] >= 0))
-    )
-    good_times = [
-        F.col(c).isNotNull() | F.col(f"__raw_{c}").isNull() for c in _TIMES if c not in TASK_REQUIRED
-    ]
-    rows = parsed.filter(sound).select(
-        *[v.alias(c) for c, v in columns.items()],
-        *[task[TASK_LOG_KEYS[c]].alias(f"__raw_{c}") for c in _TIMES if c not in TASK_REQUIRED],
-        *extra,
+        & finite(key["retry_after_hours"])
+        & finite(key["urgency_score"])
+        & (key["max_execution_seconds"].isNull() | (key["max_execution_seconds"] >= 0))
     )
     for column in TASK_REQUIRED:
-        rows = rows.filter(F.col(column).isNotNull())
-    for good in good_times:
-        rows = rows.filter(good)
-    return rows.select(*TASK_COLUMNS, *extra)
+        sound = sound & key[column].isNotNull()
+    sound = sound & ~not_text(F.col("value"), _TEXT_KEYS)
+    for column in times:
+        sound = sound & (key[column].isNull() | F.col("__times")[column].isNotNull())
+    parsed = compute_once(parsed, "__times", F.struct(*[v.alias(c) for c, v in times.items()]))
+    columns = [(F.col("__times")[c] if c in times else key[c]).alias(c) for c in TASK_COLUMNS]
+    return parsed.filter(sound).select(*columns, *[F.col("__kept")[c].alias(c) for c in extra])
 
 
 def read_task_log(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

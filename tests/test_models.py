@@ -26,12 +26,12 @@ def hot(rng: random.Random, keys: list):
     return keys[0] if rng.random() < 1 / 3 else rng.choice(keys)
 
 
-@pytest.mark.parametrize("seed,chunk", [(1, 7), (2, 1), (3, 1000)])
-def test_dedupe_in_flight(spark, seed, chunk):
+@pytest.mark.parametrize("seed,chunk,hot_rows", [(1, 7, 0), (2, 1, 120), (3, 1000, 0), (4, 7, 10**6)])
+def test_dedupe_in_flight(spark, seed, chunk, hot_rows):
     rng = random.Random(seed)
     events = [(i, hot(rng, ["a", "b", "c", None]), rng.choice(["enqueue", "enqueue", "done"])) for i in range(-50, 400)]
     df = spark.createDataFrame(events, "seq bigint, payload_key string, kind string").repartition(5)
-    got = {r.seq: r.accepted for r in dedupe.dedupe_in_flight(df, chunk_rows=chunk).collect()}
+    got = {r.seq: r.accepted for r in dedupe.dedupe_in_flight(df, chunk_rows=chunk, hot_rows=hot_rows).collect()}
     assert got == models.dedupe(events)
 
 
@@ -139,9 +139,10 @@ def attempt_rows(rng: random.Random, tasks: int, n: int):
     return rows
 
 
-@pytest.mark.parametrize("chunk", [1, 60, 100_000])
-def test_number_attempts_and_summary(spark, chunk):
-    rng = random.Random(chunk)
+@pytest.mark.parametrize("chunk,hot_rows", [(1, 0), (60, 40), (100_000, 0), (60, 10**6)])
+def test_number_attempts_and_summary(spark, chunk, hot_rows):
+    rng = random.Random(chunk + hot_rows)
+    cut = {"chunk_seconds": chunk, "hot_rows": hot_rows}
     rows = attempt_rows(rng, 12, 400)
     df = spark.createDataFrame(
         rows, "task_id string, attempt_ts timestamp, ok boolean, error_msg string, restarts boolean"
@@ -149,22 +150,22 @@ def test_number_attempts_and_summary(spark, chunk):
     by_task: dict[str, list] = {}
     for row in rows:
         by_task.setdefault(row[0], []).append(row)
-    numbered = {(r.task_id, r.attempt_ts): (r.attempt_no, r.retry_count) for r in outcomes.number_attempts(df, chunk_seconds=chunk).collect()}
+    numbered = {(r.task_id, r.attempt_ts): (r.attempt_no, r.retry_count) for r in outcomes.number_attempts(df, **cut).collect()}
     for task, own in by_task.items():
         for row, n in zip(own, models.numbers([r[4] for r in own])):
             assert numbered[task, row[1]] == (n, n - 1)
-    plain = outcomes.number_attempts(df, restarts=None, chunk_seconds=chunk)
+    plain = outcomes.number_attempts(df, restarts=None, **cut)
     assert plain.agg(F.sum("attempt_no")).first()[0] == sum(len(o) * (len(o) + 1) // 2 for o in by_task.values())
     limits = {f"t{i}": i - 2 for i in range(14)}
     limits["t0"] = 10_000
     tasks = spark.createDataFrame(list(limits.items()), "task_id string, max_retries int")
-    got = {r.task_id: (r.attempts, r.failures, r.last_error, r.outcome) for r in outcomes.attempt_summary(tasks, df, chunk_seconds=chunk).collect()}
+    got = {r.task_id: (r.attempts, r.failures, r.last_error, r.outcome) for r in outcomes.attempt_summary(tasks, df, **cut).collect()}
     assert got == {t: models.attempts_of([(r[2], r[3]) for r in by_task.get(t, [])], m) for t, m in limits.items()}
 
 
-@pytest.mark.parametrize("chunk", [1, 30, 100_000])
-def test_results_find_their_executions(spark, chunk):
-    rng = random.Random(chunk)
+@pytest.mark.parametrize("chunk,hot_rows", [(1, 0), (30, 100), (100_000, 0), (30, 10**6)])
+def test_results_find_their_executions(spark, chunk, hot_rows):
+    rng = random.Random(chunk + hot_rows)
     executions, results, us = [], [], 0
     for i in range(400):
         us += rng.choice([0, SECOND, 5 * SECOND, 40 * SECOND])
@@ -188,20 +189,20 @@ def test_results_find_their_executions(spark, chunk):
         )
         matched |= m
         late |= l
-    got = {r.result_id: r.exec_id for r in outcomes.match_results(ex, rs, chunk).collect()}
+    got = {r.result_id: r.exec_id for r in outcomes.match_results(ex, rs, chunk, hot_rows).collect()}
     assert got == matched
-    assert {r.result_id for r in outcomes.orphan_results(ex, rs, chunk).collect()} == {r[0] for r in results} - set(matched)
-    assert {r.exec_id for r in outcomes.timed_out(ex, rs, chunk_seconds=chunk).collect()} == late
+    assert {r.result_id for r in outcomes.orphan_results(ex, rs, chunk, hot_rows).collect()} == {r[0] for r in results} - set(matched)
+    assert {r.exec_id for r in outcomes.timed_out(ex, rs, chunk_seconds=chunk, hot_rows=hot_rows).collect()} == late
     now = at(us // 2)
     ends = {e[0]: e[2] + dt.timedelta(seconds=e[3]) for e in executions if e[3] is not None}
-    by_now = {r.exec_id for r in outcomes.timed_out(ex, rs, as_of=now, chunk_seconds=chunk).collect()}
+    by_now = {r.exec_id for r in outcomes.timed_out(ex, rs, as_of=now, chunk_seconds=chunk, hot_rows=hot_rows).collect()}
     assert by_now == {i for i in late if ends[i] < now}
 
 
 def test_progress_keeps_every_chunk(spark):
     rows = [("hot" if i % 3 else "cold", i, f"<{i}>") for i in range(300)]
     df = spark.createDataFrame(rows, "task_id string, seq bigint, data string").repartition(6)
-    parts = outcomes.assemble_progress(df, part_chunks=32, chunk_rows=50).collect()
+    parts = outcomes.assemble_progress(df, part_chunks=32, chunk_rows=50, hot_rows=100).collect()
     for task in ("hot", "cold"):
         own = sorted((p for p in parts if p.task_id == task), key=lambda p: p.part)
         expected = [d for t, _, d in rows if t == task]
