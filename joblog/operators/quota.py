@@ -1,10 +1,12 @@
 """Per-group quotas: admission over time, in one tick, and their upkeep.
 
-The request order inside a group is sequential by definition, but a group is not
-one task here. Anchored windows only depend on where the last window began, so
-each (group, time slice) first reports, for every possible last anchor before
-the slice, the last anchor inside it; following those reports gives each slice
-its real starting anchor, and the slices are then folded independently.
+The request order inside a group is sequential by definition, but a hot group is
+not one task here. Anchored windows only depend on where the last window began,
+so each time slice of a hot group first reports, for every possible last anchor
+before the slice, the last anchor inside it. Reports of neighbouring slices are
+combined into one per stretch; following the few stretches, and then the slices
+inside each stretch, gives every slice its real starting anchor. After that the
+slices are folded independently.
 """
 
 from __future__ import annotations
@@ -20,35 +22,55 @@ from pyspark.sql import types as T
 
 from joblog.operators.dispatch import priority_keys
 from joblog.operators.tasks import instant, plus_seconds, quota_bound
-from joblog.plans.ordered import floor_div
+from joblog.plans.ordered import CHUNK, HOT, HOT_ROWS, cut, floor_div, hot_keys
 from joblog.plans.ranking import rank_in_group
 from joblog.plans.runs import key_runs
 
 # Length of a quota window and of the deferral after a denial.
 WINDOW_SECONDS = 60
 DEFERRAL_SECONDS = 60
-# A time slice spans this many windows; one window in so many is lent to the next slice.
+# A time slice of a hot group spans this many windows; one of them is lent to the next slice.
 WINDOWS_PER_SLICE = 16
+# A stretch spans this many slices.
+SLICES_PER_STRETCH = 64
 
 GROUP, LIMIT = "rate_limit_group", "max_per_minute"
 
 
+_REPORT = f"{GROUP} string, __slice bigint, __upto bigint, __leave bigint"
+_ENTRY = f"{GROUP} string, __slice bigint, __entry bigint"
+_OPEN_END = np.iinfo(np.int64).max
+_EMIT_ROWS = 50_000
+
+
+def _records(names: list[str], parts: list[tuple]) -> pa.RecordBatch:
+    """Rows of (group, slice, array, ...) parts; the arrays of a part are equally long."""
+    lengths = [len(part[2]) for part in parts]
+    groups = pa.array(np.repeat(np.array([p[0] for p in parts], dtype=object), lengths), pa.string())
+    slices = pa.array(np.repeat(np.array([p[1] for p in parts], dtype=np.int64), lengths))
+    rest = [pa.array(np.concatenate([p[i] for p in parts])) for i in range(2, len(parts[0]))]
+    return pa.RecordBatch.from_arrays([groups, slices, *rest], names=names)
+
+
+def _ends_of_runs(values: np.ndarray) -> np.ndarray:
+    return np.append(np.flatnonzero(values[1:] != values[:-1]), len(values) - 1)
+
+
 def _anchor_reports(width: int, span: int):
-    """Fold (group, slice, ts) rows to: last anchor inside, per last anchor before.
+    """Sorted (group, slice, ts) rows to: last anchor inside a slice, per last anchor before it.
 
     A row (upto, leave) says: when the window before the slice ends at or before
     ``upto`` (and after the row above), the last anchor in the slice is
-    ``leave``. Equal neighbours are merged.
+    ``leave``. No row covering it means that the window outlasts the slice.
     """
 
-    def report(key: tuple, parts: list[np.ndarray]):
-        ts = parts[0] if len(parts) == 1 else np.concatenate(parts)
+    def report(key: tuple, parts: list[np.ndarray]) -> tuple:
+        ts = np.concatenate(parts)
+        ts = ts[_ends_of_runs(ts)]
         n = len(ts)
-        if n == 1:
-            return ts, ts
         follow = np.searchsorted(ts, ts + width, "left")
         last = np.where(follow == n, np.arange(n), follow)
-        while True:  # pointer doubling: at most log2(windows per slice) rounds
+        while True:  # pointer doubling: log2(windows per slice) rounds
             jump = last[last]
             if np.array_equal(jump, last):
                 break
@@ -56,76 +78,144 @@ def _anchor_reports(width: int, span: int):
         # A window that began before the slice ends within ``width`` of its start.
         reach = min(int(np.searchsorted(ts, key[1] * span + width, "left")), n - 1) + 1
         leave = ts[last[:reach]]
-        keep = np.append(np.flatnonzero(leave[1:] != leave[:-1]), reach - 1)
-        return ts[keep], leave[keep]
+        keep = _ends_of_runs(leave)
+        return (*key, ts[keep], leave[keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts = None, []
-        out: list[tuple] = []
-        rows = 0
-
-        def emit():
-            groups, slices, uptos, leaves = [], [], [], []
-            for (group, number), upto, leave in out:
-                groups += [group] * len(upto)
-                slices.append(np.full(len(upto), number))
-                uptos.append(upto)
-                leaves.append(leave)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(groups, pa.string())]
-                + [pa.array(np.concatenate(c), pa.int64()) for c in (slices, uptos, leaves)],
-                names=[GROUP, "__slice", "__upto", "__leave"],
-            )
-
+        names = [GROUP, "__slice", "__upto", "__leave"]
+        key, parts, out = None, [], []
         for batch in batches:
             ts = batch.column("__ts").to_numpy()
             for run_key, start, stop in key_runs(batch, [GROUP, "__slice"]):
                 if run_key != key:
                     if parts:
-                        out.append((key, *report(key, parts)))
-                        rows += len(out[-1][1])
+                        out.append(report(key, parts))
                     key, parts = run_key, []
-                    if rows > 50_000:
-                        yield emit()
-                        out, rows = [], 0
-                parts.append(ts[start:stop].copy())
+                own = ts[start:stop]
+                parts.append(own[_ends_of_runs(own)])
+            if sum(len(p[2]) for p in out) > _EMIT_ROWS:
+                yield _records(names, out)
+                out = []
         if parts:
-            out.append((key, *report(key, parts)))
+            out.append(report(key, parts))
         if out:
-            yield emit()
+            yield _records(names, out)
 
     return run
 
 
-def _follow_reports(width: int, span: int):
-    """Walk each group's reports in order; yield the anchor that reaches into a slice."""
+def _combine_reports(width: int):
+    """Sorted reports of the slices of a stretch to the reports of the stretch."""
+
+    def through(anchors: np.ndarray, uptos: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(uptos, anchors + width)
+        return np.where(at < len(uptos), leaves[np.minimum(at, len(uptos) - 1)], anchors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, anchor, settled = (None, None), None, False
+        names = [GROUP, "__slice", "__upto", "__leave"]
+        key, number, parts, ends, anchors = None, None, [], None, None
+
+        def add_slice() -> None:
+            nonlocal ends, anchors
+            uptos, leaves = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            if ends is None:
+                ends, anchors = uptos, leaves
+                return
+            moved = through(anchors, uptos, leaves)
+            if ends[-1] != _OPEN_END:
+                # A window that outlasts the first slice is over before the second.
+                ends, moved = np.append(ends, _OPEN_END), np.append(moved, leaves[0])
+            keep = _ends_of_runs(moved)
+            ends, anchors = ends[keep], moved[keep]
+
         for batch in batches:
-            out: list[tuple] = []
             uptos, leaves = batch.column("__upto").to_numpy(), batch.column("__leave").to_numpy()
-            for run_key, start, stop in key_runs(batch, [GROUP, "__slice"]):
-                if run_key != key:
-                    if run_key[0] != key[0]:
-                        anchor = None
-                    key, settled = run_key, False
-                    if anchor is not None and anchor > key[1] * span - width:
-                        out.append((*key, anchor))
+            for (group, stretch, slice_), start, stop in key_runs(batch, [GROUP, "__stretch", "__slice"]):
+                if ((group, stretch), slice_) != (key, number):
+                    if parts:
+                        add_slice()
+                    if (group, stretch) != key:
+                        if ends is not None:
+                            yield _records(names, [(*key, ends, anchors)])
+                        key, ends, anchors = (group, stretch), None, None
+                    number, parts = slice_, []
+                parts.append((uptos[start:stop].copy(), leaves[start:stop].copy()))
+        if parts:
+            add_slice()
+            yield _records(names, [(*key, ends, anchors)])
+
+    return run
+
+
+def _follow_reports(width: int, outer: list[str], with_entries: bool):
+    """Walk reports in order; yield the last anchor before each slice.
+
+    Reports of one ``outer`` key are walked from its entry row, if it has one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, number, anchor, settled = None, None, None, False
+        for batch in batches:
+            found: list[tuple] = []
+            uptos, leaves = batch.column("__upto").to_numpy(zero_copy_only=False), batch.column("__leave").to_numpy(zero_copy_only=False)
+            entries = batch.column("__entry").to_pylist() if with_entries else None
+            for run_key, start, stop in key_runs(batch, [*outer, "__slice"]):
+                if run_key[:-1] != key:
+                    key, number, anchor = run_key[:-1], None, None
+                if with_entries and entries[start] is not None:
+                    anchor = entries[start]
+                    continue
+                if run_key[-1] != number:
+                    number, settled = run_key[-1], False
+                    if anchor is not None:
+                        found.append((key[0], number, anchor))
                 if settled:
                     continue
                 # Reports of a slice ascend; the first that covers the open window holds.
                 at = start if anchor is None else start + int(np.searchsorted(uptos[start:stop], anchor + width))
                 if at < stop:
                     anchor, settled = int(leaves[at]), True
+            columns = list(zip(*found)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))],
+                [pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int64(), pa.int64()))],
                 names=[GROUP, "__slice", "__entry"],
             )
 
     return run
 
 
+def _entries(hot: DataFrame, width: int, span: int, slices_per_stretch: int) -> DataFrame:
+    """(group, slice, entry): the last anchor before each slice of the hot groups."""
+    reports = (
+        hot.select(GROUP, "__slice", "__ts")
+        .repartition(GROUP, "__slice")
+        .sortWithinPartitions(GROUP, "__slice", "__ts")
+        .mapInArrow(_anchor_reports(width, span), _REPORT)
+        .withColumn("__stretch", floor_div(F.col("__slice"), slices_per_stretch))
+    )
+    stretches = (
+        reports.repartition(GROUP, "__stretch")
+        .sortWithinPartitions(GROUP, "__stretch", "__slice", "__upto")
+        .mapInArrow(_combine_reports(width), _REPORT)
+    )
+    stretch_entries = (
+        stretches.repartition(GROUP)
+        .sortWithinPartitions(GROUP, "__slice", "__upto")
+        .mapInArrow(_follow_reports(width, [GROUP], False), _ENTRY)
+        .select(GROUP, F.col("__slice").alias("__stretch"), "__entry")
+    )
+    return (
+        reports.withColumn("__entry", F.lit(None).cast("bigint"))
+        .unionByName(stretch_entries, allowMissingColumns=True)
+        .repartition(GROUP, "__stretch")
+        .sortWithinPartitions(
+            F.col(GROUP), F.col("__stretch"), F.col("__slice").asc_nulls_first(), F.col("__upto")
+        )
+        .mapInArrow(_follow_reports(width, [GROUP, "__stretch"], True), _ENTRY)
+        .filter(F.col("__entry") > F.col("__slice") * span - width)
+    )
+
+
 def _append(batch: pa.RecordBatch, keep: list[bool], columns: dict[str, pa.Array], names: list[str]):
     rows = batch.filter(pa.array(keep, pa.bool_()))
     by_name = {n: rows.column(n) for n in rows.schema.names} | columns
@@ -219,33 +309,18 @@ def _fold_schema(requests: DataFrame) -> T.StructType:
     )
 
 
-def _admit_anchored(bound: DataFrame, width: int, span: int) -> DataFrame:
-    stamped = bound.withColumn("__ts", F.unix_micros("ts")).withColumn("__slice", floor_div(F.col("__ts"), span))
-    entries = (
-        stamped.groupBy(GROUP, "__slice", "__ts")
-        .agg(F.lit(0).alias("__unused"))
-        .drop("__unused")
-        .repartition(GROUP, "__slice")
-        .sortWithinPartitions(GROUP, "__slice", "__ts")
-        .mapInArrow(
-            _anchor_reports(width, span), f"{GROUP} string, __slice bigint, __upto bigint, __leave bigint"
-        )
-        .repartition(GROUP)
-        .sortWithinPartitions(GROUP, "__slice", "__upto")
-        .mapInArrow(_follow_reports(width, span), f"{GROUP} string, __slice bigint, __entry bigint")
-    )
-    # Rows of the last window of a slice are lent to the next slice as context.
-    lent = F.when(F.pmod(F.col("__ts"), F.lit(span)) > span - width, F.array(F.lit(0), F.lit(1)))
+def _admit_anchored(stamped: DataFrame, schema: T.StructType, width: int, span: int, stretch: int) -> DataFrame:
+    in_slices = stamped.withColumnRenamed(CHUNK, "__slice")
+    # Rows of the last window of a hot group's slice are lent to the next slice as context.
+    lent = F.col(HOT) & (F.pmod(F.col("__ts"), F.lit(span)) > span - width)
     spread = (
-        stamped.withColumn("__shift", F.explode(F.coalesce(lent, F.array(F.lit(0)))))
+        in_slices.withColumn("__shift", F.explode(F.when(lent, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
         .withColumn("__slice", F.col("__slice") + F.col("__shift"))
-        .withColumn("__own", F.col("__shift") == 0)
-        .drop("__shift")
+        .withColumns({"__own": F.col("__shift") == 0, "__entry": F.lit(None).cast("bigint")})
+        .drop("__shift", HOT)
     )
-    schema = _fold_schema(bound)
     return (
-        spread.withColumn("__entry", F.lit(None).cast("bigint"))
-        .unionByName(entries, allowMissingColumns=True)
+        spread.unionByName(_entries(in_slices.filter(HOT), width, span, stretch), allowMissingColumns=True)
         .repartition(GROUP, "__slice")
         .sortWithinPartitions(
             F.col(GROUP), F.col("__slice"), F.col("__entry").desc_nulls_last(), F.col("__ts"), F.col("seq")
@@ -254,35 +329,36 @@ def _admit_anchored(bound: DataFrame, width: int, span: int) -> DataFrame:
     )
 
 
-def _admit_rolling(bound: DataFrame, width: int, span: int) -> DataFrame:
-    """Fold each burst - a stretch of a group with no gap of a whole window - on its own."""
-    stamped = bound.withColumn("__ts", F.unix_micros("ts")).withColumn("__slice", floor_div(F.col("__ts"), span))
-    in_slice = Window.partitionBy(GROUP, "__slice").orderBy("__ts")
+def _admit_rolling(stamped: DataFrame, schema: T.StructType, width: int) -> DataFrame:
+    """Fold each burst of a hot group - a stretch with no gap of a whole window - on its own."""
+    in_slice = Window.partitionBy(GROUP, CHUNK).orderBy("__ts")
     gap = F.col("__ts") - F.lag("__ts").over(in_slice) >= width
-    inside = stamped.withColumn("__inner", F.when(gap, F.col("__ts")))
-    across = Window.partitionBy(GROUP).orderBy("__slice")
+    inside = stamped.filter(HOT).withColumn("__inner", F.when(gap, F.col("__ts")))
+    across = Window.partitionBy(GROUP).orderBy(CHUNK)
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("__before")
     opening = (
-        inside.groupBy(GROUP, "__slice")
+        inside.groupBy(GROUP, CHUNK)
         .agg(F.min("__ts").alias("__min"), F.max("__ts").alias("__max"), F.max("__inner").alias("__inner"))
         .withColumn("__before", F.lag("__max").over(across))
-        .withColumn(
-            "__opens",
-            F.when(F.col("__before").isNull() | (F.col("__min") - F.col("__before") >= width), F.col("__min")),
-        )
+        .withColumn("__opens", F.when(before.isNull() | (F.col("__min") - before >= width), F.col("__min")))
         .withColumn("__starts", F.coalesce("__inner", "__opens"))
         .select(
-            F.col(GROUP),
-            F.col("__slice"),
+            GROUP,
+            CHUNK,
             F.coalesce(F.col("__opens"), F.last("__starts", ignorenulls=True).over(earlier)).alias("__opening"),
         )
     )
     so_far = in_slice.rangeBetween(Window.unboundedPreceding, 0)
-    schema = _fold_schema(bound)
-    return (
+    bursts = (
         inside.withColumn("__burst", F.max("__inner").over(so_far))
-        .join(opening, [GROUP, "__slice"])
+        .join(opening, [GROUP, CHUNK])
         .withColumn("__burst", F.coalesce("__burst", "__opening"))
+    )
+    whole = stamped.filter(F.col(HOT).isNull()).withColumn("__burst", F.lit(0).cast("bigint"))
+    return (
+        bursts.select(*whole.columns)
+        .unionByName(whole)
         .repartition(GROUP, "__burst")
         .sortWithinPartitions(GROUP, "__burst", "__ts", "seq")
         .mapInArrow(_rolling_fold(width, schema.names), schema)
@@ -294,22 +370,32 @@ def admit_quota(
     window: int = WINDOW_SECONDS,
     mode: str = "anchored",
     windows_per_slice: int = WINDOWS_PER_SLICE,
+    slices_per_stretch: int = SLICES_PER_STRETCH,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``admitted``, ``window_start`` and ``window_count`` to (seq, ts, group, limit) rows.
 
     ``anchored``: a window starts at a group's first request and again at the
     first request at least ``window`` seconds later; a request is admitted while
     fewer than its own limit were admitted in the window. ``rolling``: at most
-    the limit in any trailing ``window`` seconds. Rows without a group or a
-    limit are not limited.
+    the limit in any trailing ``window`` seconds; here a hot group is only cut
+    at its gaps, since every admission depends on the ones a window back. Rows
+    without a group or a limit are not limited.
     """
     width = window * 1_000_000
     span = width * max(windows_per_slice, 1)
     bound = quota_bound(requests)
+    schema = _fold_schema(bound)
+    stamped = cut(
+        bound.withColumn("__ts", F.unix_micros("ts")),
+        [GROUP],
+        floor_div(F.unix_micros("ts"), span),
+        hot_keys(bound, [GROUP], hot_rows),
+    )
     if mode == "anchored":
-        folded = _admit_anchored(bound, width, span)
+        folded = _admit_anchored(stamped, schema, width, span, slices_per_stretch)
     elif mode == "rolling":
-        folded = _admit_rolling(bound, width, span)
+        folded = _admit_rolling(stamped, schema, width)
     else:
         raise ValueError(f"unknown mode {mode!r}")
     free = requests.filter(F.col(GROUP).isNull() | F.col(LIMIT).isNull()).withColumns(

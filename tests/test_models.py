@@ -49,9 +49,9 @@ def gaps(rng: random.Random, style: str) -> int:
 
 
 @pytest.mark.parametrize("style", ["edges", "steady", "dense", "random"])
-@pytest.mark.parametrize("per_slice", [1, 2, 16])
-def test_admit_quota_anchored(spark, style, per_slice):
-    rng = random.Random(f"{style}{per_slice}")
+@pytest.mark.parametrize("per_slice,per_stretch,hot_rows", [(1, 2, 0), (2, 5, 600), (1, 64, 0), (16, 1, 0), (16, 64, 10**6)])
+def test_admit_quota_anchored(spark, style, per_slice, per_stretch, hot_rows):
+    rng = random.Random(f"{style}{per_slice}{per_stretch}")
     requests, us = [], BASE
     for seq in range(1500):
         us += gaps(rng, style)
@@ -60,13 +60,16 @@ def test_admit_quota_anchored(spark, style, per_slice):
         [(at(us - BASE), seq, g, n) for us, seq, g, n in requests],
         "ts timestamp, seq bigint, rate_limit_group string, max_per_minute int",
     ).repartition(6)
-    rows = quota.admit_quota(df, windows_per_slice=per_slice).collect()
+    rows = quota.admit_quota(
+        df, windows_per_slice=per_slice, slices_per_stretch=per_stretch, hot_rows=hot_rows
+    ).collect()
     got = {r.seq: (r.admitted, int((r.window_start - EPOCH).total_seconds() * 1e6 + 0.5) + BASE, r.window_count) for r in rows}
     assert got == models.quota(requests, 60 * SECOND)
 
 
+@pytest.mark.parametrize("hot_rows", [0, 400, 10**6])
 @pytest.mark.parametrize("style", ["edges", "steady", "random"])
-def test_admit_quota_rolling(spark, style):
+def test_admit_quota_rolling(spark, style, hot_rows):
     rng = random.Random(style)
     requests, us = [], BASE
     for seq in range(900):
@@ -76,7 +79,7 @@ def test_admit_quota_rolling(spark, style):
         [(at(us - BASE), seq, g, n) for us, seq, g, n in requests],
         "ts timestamp, seq bigint, rate_limit_group string, max_per_minute int",
     ).repartition(6)
-    rows = quota.admit_quota(df, mode="rolling", windows_per_slice=2).collect()
+    rows = quota.admit_quota(df, mode="rolling", windows_per_slice=2, hot_rows=hot_rows).collect()
     assert {r.seq: r.admitted for r in rows} == models.rolling(requests, 60 * SECOND)
     trailing = {r.seq: r.trailing for r in quota.rolling_rate(df).collect()}
     for us, seq, group, _ in requests[::37]:
