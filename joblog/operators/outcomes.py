@@ -284,34 +284,34 @@ def assemble_progress(
     chunk_rows: int = SEQ_CHUNK,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Partial chunks of each task joined in order.
+    """Partial chunks of each task joined in order: (task_id, part, chunks, text).
 
-    One row per task and part: ``text`` holds up to ``part_chunks`` chunks, so a
-    task of any length is whole yet never one value or one task. ``chunks`` and
-    ``last_data`` describe the part; the last part (``is_last``) has the task's
-    last chunk.
+    A part holds up to ``part_chunks`` chunks (parts count from 0), so the
+    progress of a task of any length is whole, yet never one value in one task.
     """
     rows = progress.select("task_id", "seq", "data")
     numbered = number_rows(
         rows, ["task_id"], ["seq"], seq_chunk("seq", chunk_rows), "__no", hot_rows=hot_rows
     )
-    parts = (
+    chunks = F.sort_array(F.collect_list(F.struct("seq", "data")))
+    return (
         numbered.withColumn("part", F.call_function("div", F.col("__no") - 1, F.lit(part_chunks)))
         .groupBy("task_id", "part")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("seq", "data"))).alias("__chunks"),
-            F.count(F.lit(1)).alias("chunks"),
-        )
-        .withColumns(
-            {
-                "text": F.array_join(F.transform("__chunks", lambda c: c["data"]), ""),
-                "last_data": F.element_at("__chunks", -1)["data"],
-            }
+        .agg(F.count(F.lit(1)).alias("chunks"), chunks.alias("__chunks"))
+        .select(
+            "task_id",
+            "part",
+            "chunks",
+            F.array_join(F.transform("__chunks", lambda c: c["data"]), "").alias("text"),
         )
-        .drop("__chunks")
     )
-    onwards = Window.partitionBy("task_id").orderBy("part")
-    return parts.withColumn("is_last", F.lead("part").over(onwards).isNull())
+
+
+def progress_summary(progress: DataFrame) -> DataFrame:
+    """Per task: number of chunks and the last one."""
+    return progress.groupBy("task_id").agg(
+        F.count(F.lit(1)).alias("chunks"), F.max_by("data", "seq").alias("last_data")
+    )
 
 
 def apply_results(tasks: DataFrame, outcomes: DataFrame, as_of) -> DataFrame:

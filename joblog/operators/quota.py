@@ -41,6 +41,8 @@ _REPORT = f"{GROUP} string, __slice bigint, __upto bigint, __leave bigint"
 _ENTRY = f"{GROUP} string, __slice bigint, __entry bigint"
 _OPEN_END = np.iinfo(np.int64).max
 _EMIT_ROWS = 50_000
+# Stands for null in folds; below every limit, count and instant.
+_NONE = np.iinfo(np.int64).min
 
 
 def _records(names: list[str], parts: list[tuple]) -> pa.RecordBatch:
@@ -216,6 +218,15 @@ def _entries(hot: DataFrame, width: int, span: int, slices_per_stretch: int) ->
     )
 
 
+def _numbers(batch: pa.RecordBatch, name: str, missing: int | None = None) -> list:
+    """A column as Python numbers (nulls as ``missing``); much faster than ``to_pylist``."""
+    column = batch.column(name)
+    if missing is not None:
+        wide = column.cast(pa.int64()) if pa.types.is_integer(column.type) else column
+        column = wide.fill_null(missing)
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _append(batch: pa.RecordBatch, keep: list[bool], columns: dict[str, pa.Array], names: list[str]):
     rows = batch.filter(pa.array(keep, pa.bool_()))
     by_name = {n: rows.column(n) for n in rows.schema.names} | columns
@@ -229,13 +240,13 @@ def _anchored_fold(width: int, names: list[str]):
         key, entry, start, count = None, None, None, 0
         for batch in batches:
             keep, admitted, starts, counts = [], [], [], []
-            stamps, limits = batch.column("__ts").to_pylist(), batch.column(LIMIT).to_pylist()
-            own, entries = batch.column("__own").to_pylist(), batch.column("__entry").to_pylist()
+            stamps, limits = _numbers(batch, "__ts", 0), _numbers(batch, LIMIT, 0)
+            own, entries = _numbers(batch, "__own", False), _numbers(batch, "__entry", _NONE)
             for run_key, first, stop in key_runs(batch, [GROUP, "__slice"]):
                 if run_key != key:
                     key, entry, start, count = run_key, None, None, 0
                 for i in range(first, stop):
-                    if entries[i] is not None:
+                    if entries[i] != _NONE:
                         entry = entries[i]
                         keep.append(False)
                         continue
@@ -271,7 +282,7 @@ def _rolling_fold(width: int, names: list[str]):
         key, recent = None, deque()
         for batch in batches:
             admitted, starts, counts = [], [], []
-            stamps, limits = batch.column("__ts").to_pylist(), batch.column(LIMIT).to_pylist()
+            stamps, limits = _numbers(batch, "__ts"), _numbers(batch, LIMIT)
             for run_key, first, stop in key_runs(batch, [GROUP, "__burst"]):
                 if run_key != key:
                     key, recent = run_key, deque()
@@ -451,23 +462,23 @@ def _due_fold(final: bool, names: list[str], flag: str):
         key, count = None, 0
         for batch in batches:
             keep, flags = [], []
-            limits = batch.column(LIMIT).to_pylist()
-            used = batch.column("__used").to_pylist() if final else [None] * batch.num_rows
-            open_for = batch.column("__candidate").to_pylist() if final else [True] * batch.num_rows
+            limits = _numbers(batch, LIMIT, _NONE)
+            used = _numbers(batch, "__used", _NONE) if final else [_NONE] * batch.num_rows
+            open_for = _numbers(batch, "__candidate", False) if final else [True] * batch.num_rows
             for run_key, first, stop in key_runs(batch, [GROUP, "__salt"] if final else [GROUP]):
                 if run_key != key:
                     key, count = run_key, 0
                 free = run_key[0] is None
                 for i in range(first, stop):
-                    if used[i] is not None:
+                    if used[i] != _NONE:
                         count = used[i]
                         keep.append(False)
                         continue
                     keep.append(True)
-                    if free or limits[i] is None:
+                    if free or limits[i] == _NONE:
                         flags.append(final)
                         continue
-                    allow = bool(open_for[i]) and count < limits[i]
+                    allow = open_for[i] and count < limits[i]
                     count += allow
                     flags.append(allow)
             yield _append(batch, keep, {flag: pa.array(flags, pa.bool_())}, names)

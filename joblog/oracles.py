@@ -320,8 +320,14 @@ LEFT JOIN numbered e ON e.task_id = s.task_id AND e.no = s.attempts - CASE WHEN
         steps=FIRST,
     )
     o["assemble_progress"] = _sql(
-        """SELECT task_id, cast(0 AS bigint) AS part, count(*) AS chunks, string_agg(data, '' ORDER BY seq) AS text,
-  arg_max(data, seq) AS last_data, true AS is_last FROM fx_progress GROUP BY task_id""",
+        """SELECT task_id, cast(0 AS bigint) AS part, count(*) AS chunks, string_agg(data, '' ORDER BY seq) AS text
+FROM fx_progress GROUP BY task_id""",
+        "fx_progress",
+    )
+    o["progress_summary"] = _sql(
+        """SELECT p.task_id, p.seq_count AS chunks, q.data AS last_data
+FROM (SELECT task_id, count(*) AS seq_count, max(seq) AS last FROM fx_progress GROUP BY task_id) p
+JOIN fx_progress q ON q.task_id = p.task_id AND q.seq = p.last""",
         "fx_progress",
     )
     o["registered_types"] = """SELECT DISTINCT 'type' || cast(user_id % 5 AS string) AS task_type FROM events

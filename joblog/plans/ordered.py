@@ -125,8 +125,9 @@ def number_rows(
         carried = counts.select(*keys, CHUNK, F.sum("__n").over(before).alias("__weight"))
     else:
         # Rows of the chunk that follow its last restart, and whether it has one.
-        local = Window.partitionBy(*keys, CHUNK).orderBy(*_by(order, False))
-        ahead = local.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        # Backwards, so that the frame only grows; a shrinking one is summed anew for each row.
+        backwards = Window.partitionBy(*keys, CHUNK).orderBy(*_by(order, True))
+        ahead = backwards.rowsBetween(Window.unboundedPreceding, 0)
         tails = (
             hot.select(*keys, CHUNK, *order, F.col(restart_after).cast("int").alias("__restart"))
             .withColumn("__ahead", F.sum("__restart").over(ahead))

@@ -20,11 +20,10 @@ def rank_in_group(df: DataFrame, group: str, order: Sequence[Column], name: str)
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(group).asc(), *order]
     placed = (
         df.filter(F.col(group).isNotNull())
-        .repartitionByRange(tasks, *keys)
+        .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumns({"__task": F.spark_partition_id(), "__pos": F.monotonically_increasing_id()})
         .checkpoint()

@@ -381,6 +381,11 @@ def assemble_progress(v: Views) -> DataFrame:
     return outcomes.assemble_progress(v.progress)
 
 
+@query
+def progress_summary(v: Views) -> DataFrame:
+    return outcomes.progress_summary(v.progress)
+
+
 @query
 def rate_window_state(v: Views) -> DataFrame:
     return quota.rate_window_state(v.requests, QUOTA_WINDOW)

@@ -206,11 +206,12 @@ def test_progress_keeps_every_chunk(spark):
     rows = [("hot" if i % 3 else "cold", i, f"<{i}>") for i in range(300)]
     df = spark.createDataFrame(rows, "task_id string, seq bigint, data string").repartition(6)
     parts = outcomes.assemble_progress(df, part_chunks=32, chunk_rows=50, hot_rows=100).collect()
+    last = {r.task_id: (r.chunks, r.last_data) for r in outcomes.progress_summary(df).collect()}
     for task in ("hot", "cold"):
         own = sorted((p for p in parts if p.task_id == task), key=lambda p: p.part)
         expected = [d for t, _, d in rows if t == task]
         assert "".join(p.text for p in own) == "".join(expected)
-        assert [p.is_last for p in own] == [False] * (len(own) - 1) + [True]
-        assert own[-1].last_data == expected[-1]
+        assert last[task] == (len(expected), expected[-1])
+        assert [p.part for p in own] == list(range(len(own)))
         assert sum(p.chunks for p in own) == len(expected)
         assert all(p.chunks <= 32 for p in own)
