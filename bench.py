@@ -35,7 +35,7 @@ HEADLINE = {
     "cron_expand": "supplier",
     "build_tasks": "events",
     "valid_log_rows": "events",
-    "payload_keys": "documents",
+    "payload_key": "documents",
     "assemble_progress": "conversations",
     "run_handlers": "orders",
 }

@@ -455,33 +455,32 @@ def rate_window_state(requests: DataFrame, window: int = WINDOW_SECONDS) -> Data
     )
 
 
-def _due_fold(final: bool, names: list[str], flag: str):
-    """Admit in order inside each run; before the last pass this only finds candidates."""
+_TURN = ["task_id", GROUP, LIMIT, "urgency_score", "execute_at"]
+
+
+def _due_fold(names: list[str]):
+    """Keep the rows that are admitted when each group's rows are taken in order.
+
+    A row with ``__used`` set is the group's saved count, and comes first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, count = None, 0
+        group, count = None, 0
         for batch in batches:
-            keep, flags = [], []
-            limits = _numbers(batch, LIMIT, _NONE)
-            used = _numbers(batch, "__used", _NONE) if final else [_NONE] * batch.num_rows
-            open_for = _numbers(batch, "__candidate", False) if final else [True] * batch.num_rows
-            for run_key, first, stop in key_runs(batch, [GROUP, "__salt"] if final else [GROUP]):
-                if run_key != key:
-                    key, count = run_key, 0
-                free = run_key[0] is None
+            keep = []
+            limits, used = _numbers(batch, LIMIT, _NONE), _numbers(batch, "__used", _NONE)
+            for (run_group,), first, stop in key_runs(batch, [GROUP]):
+                if run_group != group:
+                    group, count = run_group, 0
                 for i in range(first, stop):
                     if used[i] != _NONE:
                         count = used[i]
                         keep.append(False)
                         continue
-                    keep.append(True)
-                    if free or limits[i] == _NONE:
-                        flags.append(final)
-                        continue
-                    allow = open_for[i] and count < limits[i]
+                    allow = count < limits[i]
                     count += allow
-                    flags.append(allow)
-            yield _append(batch, keep, {flag: pa.array(flags, pa.bool_())}, names)
+                    keep.append(allow)
+            yield _append(batch, keep, {}, names)
 
     return run
 
@@ -492,28 +491,30 @@ def admit_due(due: DataFrame, windows: DataFrame, as_of, window: int = WINDOW_SE
     ``windows`` is the saved (group, count, window_start) state. A row that is
     denied among part of its group's rows is denied among all of them (a count
     never shrinks when rows are added), so each task first strikes out what it
-    can on its own rows. What is left - at most the limit per group and task -
-    meets in one task per group; struck-out rows travel under spread salts.
+    can on its own rows. What is left - at most the limit per group and input
+    task - meets in one task per group. Only the columns that decide take this
+    way; the admitted ids then mark the due rows, whose ids are unique.
     """
-    order = priority_keys()
-    spread = int(due.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = T.StructType(due.schema.fields + [T.StructField("__candidate", T.BooleanType())])
-    last = T.StructType(due.schema.fields + [T.StructField("admitted", T.BooleanType())])
-    candidates = due.sortWithinPartitions(F.col(GROUP), *order).mapInArrow(
-        _due_fold(False, first.names, "__candidate"), first
+    turns = quota_bound(due).select(*_TURN)
+    order = [F.col(GROUP), F.col("__used").desc_nulls_last(), *priority_keys()]
+    schema = T.StructType([*turns.schema.fields, T.StructField("__used", T.IntegerType())])
+    left = (
+        turns.withColumn("__used", F.lit(None).cast("int"))
+        .sortWithinPartitions(*order)
+        .mapInArrow(_due_fold(schema.names), schema)
     )
-    salted = candidates.withColumn(
-        "__salt", F.when(F.col("__candidate"), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("task_id"), F.lit(spread)))
-    ).withColumn("__used", F.lit(None).cast("int"))
     fresh = F.unix_micros(instant(as_of)) - F.unix_micros("window_start") < window * 1_000_000
-    used = windows.filter(fresh).select(
-        F.col(GROUP), F.col("count").cast("int").alias("__used"), F.lit(0).cast("bigint").alias("__salt")
+    used = windows.filter(fresh).select(GROUP, F.col("count").cast("int").alias("__used"))
+    admitted = (
+        left.unionByName(used, allowMissingColumns=True)
+        .repartition(GROUP)
+        .sortWithinPartitions(*order)
+        .mapInArrow(_due_fold(["task_id"]), "task_id string")
+        .withColumn("__admitted", F.lit(True))
     )
-    return (
-        salted.unionByName(used, allowMissingColumns=True)
-        .repartition(GROUP, "__salt")
-        .sortWithinPartitions(F.col(GROUP), F.col("__salt"), F.col("__used").desc_nulls_last(), *order)
-        .mapInArrow(_due_fold(True, last.names, "admitted"), last)
+    limited = F.col(GROUP).isNotNull() & F.col(LIMIT).isNotNull()
+    return due.join(admitted, "task_id", "left").select(
+        *due.columns, F.coalesce(F.col("__admitted"), ~limited).alias("admitted")
     )
 
 
@@ -526,14 +527,16 @@ def pace_backlog(backlog: DataFrame, as_of, window: int = WINDOW_SECONDS) -> Dat
     """Add ``slot`` and ``planned_time``: when a backlog with one limit per group gets its turn.
 
     Rank within the group by priority, ``limit`` rows per window. No limit
-    above zero means no turn (null).
+    above zero means no turn (null). Only the columns that decide are ranked;
+    ids are unique.
     """
-    rank = F.col("__rank").cast("bigint")
-    ranked = rank_in_group(quota_bound(backlog), GROUP, priority_keys(), "__rank")
+    bound = quota_bound(backlog)
+    ranked = rank_in_group(bound.select(*_TURN), GROUP, priority_keys(), "queue_rank").select("task_id", "queue_rank")
     limit = F.col(LIMIT).cast("bigint")
+    turn = F.call_function("div", F.col("queue_rank") - 1, F.greatest(limit, F.lit(1).cast("bigint")))
     return (
-        ranked.withColumn("slot", F.when(limit > 0, F.call_function("div", rank - 1, F.greatest(limit, F.lit(1)))))
+        bound.join(ranked, "task_id")
+        .withColumn("slot", F.when(limit > 0, turn))
         .withColumn("planned_time", plus_seconds(instant(as_of), F.col("slot") * window))
-        .withColumnRenamed("__rank", "queue_rank")
         .select(*backlog.columns, "queue_rank", "slot", "planned_time")
     )

@@ -202,10 +202,10 @@ FROM events WHERE event_type = 'signup' AND event_id % 50 <> 7"""
   epoch_us({_expected_execute_at()}) AS execute_at,
   CASE WHEN event_id % 5 IN (0, 2) THEN CASE user_id % 4 WHEN 0 THEN '10m' WHEN 1 THEN '2h' WHEN 2 THEN 'not a cron' END END AS cron
 FROM events"""
-    o["payload_keys"] = """SELECT doc_id AS seq,
+    o["payload_key"] = """SELECT doc_id AS seq,
   CASE WHEN doc_id % 10 <> 0 THEN sha256(cast(length(source) AS string) || ':' || source || text) END AS payload_key,
   sha256(source || text) AS compat_key FROM documents"""
-    o["normalize_crons"] = """SELECT o_orderkey AS cron_id, CASE o_orderkey % 10
+    o["normalize_cron"] = """SELECT o_orderkey AS cron_id, CASE o_orderkey % 10
   WHEN 0 THEN '*/' || o_custkey || ' * * * * *' WHEN 1 THEN '0 */' || o_custkey || ' * * * *'
   WHEN 2 THEN '0 0 */' || o_custkey || ' * * *' WHEN 3 THEN '0 0 0 */' || o_custkey || ' * *'
   WHEN 4 THEN CASE WHEN o_custkey * 4000000 < 4294967296 THEN '*/' || (o_custkey * 4000000) || ' * * * * *'

@@ -68,7 +68,8 @@ class Views:
 
 
 def query(fn: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
-    _QUERIES[fn.__name__] = lambda spark, sf_dir: plain(fn(Views(spark, sf_dir)))
+    """Register a query under its function's name (less ``_query``, where that hides an import)."""
+    _QUERIES[fn.__name__.removesuffix("_query")] = lambda spark, sf_dir: plain(fn(Views(spark, sf_dir)))
     return fn
 
 
@@ -197,14 +198,14 @@ def resolve_execute_at(v: Views) -> DataFrame:
 
 
 @query
-def payload_keys(v: Views) -> DataFrame:
+def payload_key_query(v: Views) -> DataFrame:
     key = payload_key(F.col("task_type"), F.col("task_data"), F.col("auto_dedupe"))
     compat = payload_key(F.col("task_type"), F.col("task_data"), compat=True)
     return v.payloads.select("seq", key.alias("payload_key"), compat.alias("compat_key"))
 
 
 @query
-def normalize_crons(v: Views) -> DataFrame:
+def normalize_cron_query(v: Views) -> DataFrame:
     return v.crons.select("cron_id", normalize_cron(F.col("cron")).alias("cron_expression"))
 
 

@@ -79,9 +79,11 @@ def test_quota_folds_slices_not_groups(views):
     assert len(re.findall(r"hashpartitioning\(rate_limit_group#\d+, __slice#\d+L", text)) >= 2
 
 
-def test_due_rows_meet_by_group_only_as_candidates(views):
+def test_due_rows_are_struck_out_before_they_meet(views):
     text = plan(quota.admit_due(queries.Views.due(views), queries._saved_windows(views), "1998-01-01 00:00:00"))
-    assert re.search(r"hashpartitioning\(rate_limit_group#\d+, __salt#\d+L", text)
+    meeting = text[text.index("REPARTITION_BY_COL") :]
+    assert "MapInArrow" in meeting.split("FileScan")[0]
+    assert "task_data" not in meeting.split("ReadSchema")[0]
 
 
 def test_null_payload_keys_skip_the_shuffle(views):
