@@ -15,6 +15,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as contract  # noqa: E402
 
 
+SPARK_TYPES = {"BIGINT": "bigint", "VARCHAR": "string", "BOOLEAN": "boolean", "DOUBLE": "double"}
+
+
 def oracle_connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for path in glob.glob(f"{sf_dir}/*.parquet"):
@@ -35,8 +38,9 @@ def difference(spark, con, sf_dir: str, name: str) -> str | None:
     result = con.execute(contract.oracle_sql()[name])
     columns = [d[0] for d in result.description]
     expected = rows(columns, result.fetchall())
-    if sorted(ours.columns) != sorted(columns):
-        return f"columns {sorted(ours.columns)} / {sorted(columns)}"
+    kinds = {d[0]: SPARK_TYPES.get(str(d[1]), str(d[1])) for d in result.description}
+    if dict(ours.dtypes) != kinds:
+        return f"columns {sorted(ours.dtypes)} / {sorted(kinds.items())}"
     if got != expected:
         extra, missing = list((got - expected))[:3], list((expected - got))[:3]
         return f"rows {sum(got.values())} / {sum(expected.values())}; only ours {extra}; only oracle {missing}"

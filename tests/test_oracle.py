@@ -18,6 +18,12 @@ def test_every_query_has_a_twin():
     assert set(contract.queries()) == set(contract.oracle_sql())
 
 
+def test_twins_have_plain_types(oracle):
+    for name, sql in contract.oracle_sql().items():
+        kinds = {r[0]: r[1] for r in oracle.execute(f"DESCRIBE {sql}").fetchall()}
+        assert set(kinds.values()) <= {"BIGINT", "VARCHAR", "BOOLEAN", "DOUBLE"}, (name, kinds)
+
+
 @pytest.mark.parametrize("name", list(contract.queries()))
 def test_query(spark, oracle, name):
     assert compare.difference(spark, oracle, SMALL, name) is None

@@ -365,7 +365,8 @@ def test_summary_equals_repeated_transitions(spark):
     history = {"a": [False, False, True], "b": [False, False, False, True], "c": [True], "d": [False]}
     rows = [(t, dt.datetime(2024, 1, 1, 0, i), ok, None if ok else f"{t}{i}", False) for t, h in history.items() for i, ok in enumerate(h)]
     attempts = spark.createDataFrame(rows, "task_id string, attempt_ts timestamp, ok boolean, error_msg string, restarts boolean")
-    current = task_frame(spark).limit(1).drop("task_id").crossJoin(spark.createDataFrame([(t,) for t in history], "task_id string"))
+    ids = F.explode(F.array(*[F.lit(t) for t in history]))
+    current = task_frame(spark).filter("task_id = 'ok'").withColumn("task_id", ids)
     summary = {r.task_id: (r.attempts, r.outcome) for r in outcomes.attempt_summary(current, attempts).collect()}
     final = {}
     for i in range(4):
