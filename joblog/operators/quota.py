@@ -30,7 +30,7 @@ from joblog.plans.runs import key_runs
 WINDOW_SECONDS = 60
 DEFERRAL_SECONDS = 60
 # A time slice of a hot group spans this many windows; one of them is lent to the next slice.
-WINDOWS_PER_SLICE = 16
+WINDOWS_PER_SLICE = 4
 # A stretch spans this many slices.
 SLICES_PER_STRETCH = 64
 

@@ -29,7 +29,8 @@ def not_text(line: Column, keys: Iterable[str]) -> Column:
 
 
 def is_object(line: Column) -> Column:
-    return line.rlike(r"(?s)^\s*\{.*\}\s*$")
+    """Braces around, and proper UTF-8: the JSON reader would replace broken bytes and go on."""
+    return F.is_valid_utf8(line) & line.rlike(r"(?s)^\s*\{.*\}\s*$")
 
 
 def finite(column: Column) -> Column:

@@ -97,6 +97,16 @@ def test_log_order_across_splits(spark, tmp_path):
     assert health.bytes == path.stat().st_size and not health.should_compact
 
 
+def test_broken_bytes_cost_one_line(spark, tmp_path):
+    path = tmp_path / "tasks.log"
+    lines = [line(taskId="a"), line(taskId="b", taskData="x"), line(taskId="c")]
+    path.write_bytes("\n".join(lines).encode().replace(b'"x"', b'"\xff\xfe"'))
+    assert sorted(r.task_id for r in task_log.read_task_log(spark, str(path)).collect()) == ["a", "c"]
+    path.write_bytes(b'{"action":"register","task_type":"\xc3\x28"}\n{"action":"stats"}')
+    rows = messages.read_messages(spark, str(path)).collect()
+    assert sorted((r.action, r.error is None) for r in rows if r.action) == [("stats", True)] and len(rows) == 2
+
+
 def test_id_lives_again_after_its_tombstone(spark):
     versions = [(1, "a", None), (2, "a", dt.datetime(2024, 1, 1)), (3, "a", None), (4, "b", None), (5, "b", dt.datetime(2024, 1, 1))]
     log = spark.createDataFrame(versions, "seq bigint, task_id string, deleted_at timestamp")
