@@ -320,16 +320,20 @@ def _fold_schema(requests: DataFrame) -> T.StructType:
     )
 
 
-def _admit_anchored(stamped: DataFrame, schema: T.StructType, width: int, span: int, stretch: int) -> DataFrame:
-    in_slices = stamped.withColumnRenamed(CHUNK, "__slice")
-    # Rows of the last window of a hot group's slice are lent to the next slice as context.
+def _lend(stamped: DataFrame, slices: str, width: int, span: int) -> DataFrame:
+    """Copy the rows of the last window of a hot group's slice to the next slice (``__own`` false)."""
     lent = F.col(HOT) & (F.pmod(F.col("__ts"), F.lit(span)) > span - width)
-    spread = (
-        in_slices.withColumn("__shift", F.explode(F.when(lent, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-        .withColumn("__slice", F.col("__slice") + F.col("__shift"))
-        .withColumns({"__own": F.col("__shift") == 0, "__entry": F.lit(None).cast("bigint")})
+    shifts = F.when(lent, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return (
+        stamped.withColumn("__shift", F.explode(shifts))
+        .withColumns({slices: F.col(slices) + F.col("__shift"), "__own": F.col("__shift") == 0})
         .drop("__shift", HOT)
     )
+
+
+def _admit_anchored(stamped: DataFrame, schema: T.StructType, width: int, span: int, stretch: int) -> DataFrame:
+    in_slices = stamped.withColumnRenamed(CHUNK, "__slice")
+    spread = _lend(in_slices, "__slice", width, span).withColumn("__entry", F.lit(None).cast("bigint"))
     return (
         spread.unionByName(_entries(in_slices.filter(HOT), width, span, stretch), allowMissingColumns=True)
         .repartition(GROUP, "__slice")
@@ -424,24 +428,31 @@ def admit_quota(
     )
 
 
-def rolling_rate(requests: DataFrame, window: int = WINDOW_SECONDS) -> DataFrame:
+def rolling_rate(
+    requests: DataFrame,
+    window: int = WINDOW_SECONDS,
+    windows_per_slice: int = WINDOWS_PER_SLICE,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
     """Add ``trailing``: requests of the group in the trailing ``window`` seconds, this one included.
 
-    A row needs rows at most one window back, so a group is counted slice by
-    slice, with the last window of each slice lent to the next.
+    A row needs rows at most one window back, so a hot group is counted slice
+    by slice, with the last window of each slice lent to the next.
     """
     width = window * 1_000_000
-    span = width * WINDOWS_PER_SLICE
-    stamped = requests.withColumn("__ts", F.unix_micros("ts"))
-    lent = F.when(F.pmod(F.col("__ts"), F.lit(span)) > span - width, F.array(F.lit(0), F.lit(1)))
-    spread = stamped.withColumn("__shift", F.explode(F.coalesce(lent, F.array(F.lit(0))))).withColumn(
-        "__slice", floor_div(F.col("__ts"), span) + F.col("__shift")
+    span = width * max(windows_per_slice, 1)
+    stamped = cut(
+        requests.withColumn("__ts", F.unix_micros("ts")),
+        [GROUP],
+        floor_div(F.unix_micros("ts"), span),
+        hot_keys(requests, [GROUP], hot_rows),
     )
-    trailing = Window.partitionBy(GROUP, "__slice").orderBy("__ts").rangeBetween(-(width - 1), 0)
+    trailing = Window.partitionBy(GROUP, CHUNK).orderBy("__ts").rangeBetween(-(width - 1), 0)
     return (
-        spread.withColumn("trailing", F.count(F.lit(1)).over(trailing))
-        .filter(F.col("__shift") == 0)
-        .drop("__ts", "__shift", "__slice")
+        _lend(stamped, CHUNK, width, span)
+        .withColumn("trailing", F.count(F.lit(1)).over(trailing))
+        .filter("__own")
+        .select(*requests.columns, "trailing")
     )
 
 

@@ -81,7 +81,7 @@ def test_admit_quota_rolling(spark, style, hot_rows):
     ).repartition(6)
     rows = quota.admit_quota(df, mode="rolling", windows_per_slice=2, hot_rows=hot_rows).collect()
     assert {r.seq: r.admitted for r in rows} == models.rolling(requests, 60 * SECOND)
-    trailing = {r.seq: r.trailing for r in quota.rolling_rate(df).collect()}
+    trailing = {r.seq: r.trailing for r in quota.rolling_rate(df, windows_per_slice=2, hot_rows=hot_rows).collect()}
     for us, seq, group, _ in requests[::37]:
         assert trailing[seq] == sum(g == group and us - 60 * SECOND < t <= us for t, _, g, _ in requests)
 
