@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joblog.llm import chat, mixing, quality, sharding
+from joblog.llm import bpe, chat, embeddings, language, lines, mixing, quality, sharding, simhash
 from joblog.llm.common import table
 from joblog.session import configure
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(table(configure(spark), sf_dir, "documents"))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_report(table(configure(spark), sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(configure(spark), sf_dir, "documents"))
 
@@ -28,12 +36,24 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(turns.unionByName(own))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.lines_report(table(configure(spark), sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_report(table(configure(spark), sf_dir, "documents"))
+
+
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(configure(spark), sf_dir, "embeddings"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(configure(spark), sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality, op4_mixing, op5_chat, op10_sharding)}
+    return {f.__name__: f for f in (op1_language, op2_bpe, op3_quality, op4_mixing, op5_chat, op7_lines, op8_simhash, op9_embeddings, op10_sharding)}
 
 
 SQL = {
