@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joblog.session import ensure_checkpoint_dir
+from joblog.session import ensure_checkpoint_dir, scratch_path
 
 # The white space of every contract here: space, tab, line feed, vertical tab, form feed, return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -90,3 +90,10 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hand texts to Python workers in batches of at most ``rows``, so that long ones don't add up."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below the shared folder and read from there: compressed, unlike a checkpoint."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -69,7 +69,7 @@ def _key(source: str) -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
 
 
-def mixture(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+def mixture(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, carry: Sequence[str] = ()) -> DataFrame:
     """Per document how much of it the mix takes: doc_id, size, source, source_size, target, taken, and ``spans``.
 
     Each source's documents, in seeded order, are dealt to shards of about
@@ -78,15 +78,15 @@ def mixture(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
     each source's groups of shards and shards; a shard takes every block
     ``quota div n`` times and a seeded choice of ``quota mod n`` once more. So a
     source misses its target by about half a block, and no document exceeds
-    ``most`` (whole) times its size. ``spans`` has (from, to, times) in words.
+    ``most`` (whole) times its size. ``spans`` has (from, to, times) in words;
+    columns to ``carry`` along come last.
 
     Only (id, source, size) is shuffled, written once to the shared folder.
     Null texts have size 0 and take 0; a null source is a source of its own,
     last; repeated rows are documents of their own; a source without words has
     target 0; an empty table gives an empty result.
     """
-    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
-    sized = stored(sized)
+    sized = stored(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), *carry))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, share, most).withColumn("src", _key("source"))
     targets = targets.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)).cast("long"))
@@ -126,7 +126,7 @@ def mixture(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
     spans = F.when((F.col("size") > 0) & n.isNotNull(), F.transform(F.sequence(holder(start), holder(end - 1)), piece))
     spans = F.coalesce(spans, F.array().cast("array<struct<from:bigint,to:bigint,times:bigint>>"))
     taken = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["to"] - s["from"]) * s["times"])
-    return joined.withColumn("spans", spans).select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), "spans")
+    return joined.withColumn("spans", spans).select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), "spans", *carry)
 
 
 def _blocks(lot: Column) -> Column:
@@ -138,14 +138,11 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
 
     A document taken whole keeps its text; otherwise its taken words, in
     order, are joined by single spaces. Documents of which nothing is taken go.
-    ``doc_id`` must tell documents apart; a repeated row is taken as often as
-    the mix says for each of its copies' ids together.
+    Repeated rows are taken as often as the mix says for all of them.
     """
-    mix = mixture(docs, seed=seed).filter("taken > 0").groupBy("doc_id", "size").agg(F.collect_list("spans").alias("_copies"))
-    joined = docs.withColumn("_size", F.size(words(F.col("text"))).cast("long")).join(
-        mix.select(F.col("doc_id"), F.col("size").alias("_size"), "_copies"), ["doc_id", "_size"]
-    )
-    each = joined.dropDuplicates(["doc_id", "text"]).withColumn("_spans", F.explode("_copies"))
+    keyed = docs.withColumns({"_k1": F.xxhash64("doc_id", "text", "source"), "_k2": F.xxhash64("source", "text", "doc_id")})
+    mix = mixture(keyed, seed=seed, carry=["_k1", "_k2"]).filter("taken > 0").groupBy("_k1", "_k2").agg(F.first("size").alias("_size"), F.collect_list("spans").alias("_copies"))
+    each = keyed.join(mix, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).withColumn("_spans", F.explode("_copies"))
     most = F.array_max(F.transform("_spans", lambda s: s["times"]))
     each = each.withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), most)))
     here = F.filter("_spans", lambda s: s["times"] >= F.col("_pass"))

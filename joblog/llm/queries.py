@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joblog.llm import bpe, chat, embeddings, language, lines, mixing, quality, sharding, simhash
+import corpus_pipeline
+from joblog.llm import bpe, chat, embeddings, language, lines, mixing, quality, repeats, sharding, simhash
 from joblog.llm.common import table
 from joblog.session import configure
 
@@ -36,6 +37,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(turns.unionByName(own))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats_report(table(configure(spark), sf_dir, "documents"))
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.lines_report(table(configure(spark), sf_dir, "documents"))
 
@@ -53,7 +58,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_bpe, op3_quality, op4_mixing, op5_chat, op7_lines, op8_simhash, op9_embeddings, op10_sharding)}
+    named = (op1_language, op2_bpe, op3_quality, op4_mixing, op5_chat, op6_repeats, op7_lines, op8_simhash, op9_embeddings, op10_sharding)
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in named}
 
 
 SQL = {
