@@ -179,7 +179,7 @@ def brute_lines(rows, edits):
     by = defaultdict(list)
     for line in spots:
         by[len(line)].append(line)
-    links = [(a, b) for n in by for m in range(n, n + edits + 1) for a in by[n] for b in by[m] if a < b or m > n if lines.within_edits(a, b, edits)]
+    links = [(a, b) for n in list(by) for m in range(n, n + edits + 1) for a in by[n] for b in by.get(m, []) if a < b or m > n if lines.within_edits(a, b, edits)]
     classes = defaultdict(list)
     for line, root in union(spots, links).items():
         classes[root] += spots[line]
