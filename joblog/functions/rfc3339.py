@@ -10,9 +10,12 @@ RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2
 
 
 def parse_rfc3339(text: Column) -> Column:
-    """UTC timestamp, or null when the text is not RFC 3339."""
+    """UTC timestamp, or null when the text is not RFC 3339; a leap second is the next minute's first."""
     normal = F.upper(text)
-    return F.when(text.rlike(RFC3339), normal.try_cast("timestamp"))
+    leap = F.substring(normal, 18, 2) == "60"
+    plain = F.when(leap, F.concat(F.substring(normal, 1, 17), F.lit("59"), F.substring(normal, 20, 100))).otherwise(normal)
+    micros = F.unix_micros(plain.try_cast("timestamp")) + F.when(leap, 1_000_000).otherwise(0)
+    return F.when(text.rlike(RFC3339), F.timestamp_micros(micros))
 
 
 def format_rfc3339(ts: Column) -> Column:

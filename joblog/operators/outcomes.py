@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from joblog.functions.cron import next_tick_column
 from joblog.operators.schedule import reschedule_columns
-from joblog.operators.tasks import exhausted, instant, retry_columns
+from joblog.operators.tasks import exhausted, instant, live_tasks, retry_columns
 from joblog.plans.ordered import (
     CARRY,
     CHUNK,
@@ -25,10 +25,6 @@ from joblog.plans.ordered import (
     stack,
     time_chunk,
 )
-from joblog.plans.sides import broadcast_if_small
-
-# Chunks of progress rows joined into one value.
-PROGRESS_PART = 10_000
 
 
 def _limit(executions: DataFrame) -> Column:
@@ -39,9 +35,8 @@ def _limit(executions: DataFrame) -> Column:
 
 def deadline_micros(executions: DataFrame) -> Column:
     """Microsecond at which an execution's limit ends, null when it has none."""
-    # A limit beyond 100,000 years is no limit; it would overflow the addition.
-    limit = _limit(executions)
-    seconds = F.when(limit < 4_000_000_000_000, limit)
+    # Beyond 100,000 years the addition would overflow; the deadline stays there.
+    seconds = F.least(_limit(executions), F.lit(4_000_000_000_000))
     return F.unix_micros("exec_ts") + seconds * 1_000_000
 
 
@@ -176,8 +171,12 @@ def _webhook(df: DataFrame) -> Column:
 
 
 def _typed(df: DataFrame, types: DataFrame) -> DataFrame:
-    """Add ``__known``: the row's type is among the types."""
-    known = broadcast_if_small(types.select("task_type").distinct()).withColumn("__known", F.lit(True))
+    """Add ``__known``: the row's type is among the types.
+
+    Spark broadcasts the types by their measured size, or else splits a
+    popular type of the left side.
+    """
+    known = types.select("task_type").distinct().withColumn("__known", F.lit(True))
     return df.join(known, "task_type", "left").select(*df.columns, "__known")
 
 
@@ -280,7 +279,7 @@ def attempt_summary(
 
 def assemble_progress(
     progress: DataFrame,
-    part_chunks: int = PROGRESS_PART,
+    part_chunks: int,
     chunk_rows: int = SEQ_CHUNK,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
@@ -288,6 +287,7 @@ def assemble_progress(
 
     A part holds up to ``part_chunks`` chunks (parts count from 0), so the
     progress of a task of any length is whole, yet never one value in one task.
+    The number belongs to the result, so the caller chooses it.
     """
     rows = progress.select("task_id", "seq", "data")
     numbered = number_rows(
@@ -319,10 +319,11 @@ def apply_results(tasks: DataFrame, outcomes: DataFrame, as_of) -> DataFrame:
 
     completed: tombstone. rescheduled: recurring, waits for its next tick.
     retry: attempt counted, waits for its delay. dead: tombstone, error fields
-    as they were. One outcome per task; both sides are unique by id.
+    as they were. One outcome per task; both sides are unique by id. Only live
+    tasks run, so tombstoned ones have no transition.
     """
     now = instant(as_of)
-    joined = tasks.join(outcomes.select("task_id", F.col("ok").alias("__ok"), F.col("error").alias("__error")), "task_id")
+    joined = live_tasks(tasks).join(outcomes.select("task_id", F.col("ok").alias("__ok"), F.col("error").alias("__error")), "task_id")
     tick = next_tick_column(F.when(F.col("__ok"), F.col("cron_expression")), now)
     may_retry = F.col("retry_count").cast("bigint") < F.col("max_retries").cast("bigint") - 1
     decided = joined.withColumn("__tick", tick).withColumn(
@@ -348,11 +349,11 @@ def apply_results(tasks: DataFrame, outcomes: DataFrame, as_of) -> DataFrame:
 
 
 def dead_letters(tasks: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Tasks whose last allowed attempt failed: id, type, data, and where the notice goes."""
+    """Live tasks whose last allowed attempt failed: id, type, data, and where the notice goes."""
     failed = outcomes.filter(~F.col("ok")).select("task_id", "error")
     url = F.col("webhook_url") if "webhook_url" in tasks.columns else F.lit(None).cast("string")
     return (
-        exhausted(tasks)
+        exhausted(live_tasks(tasks))
         .join(failed, "task_id")
         .select(
             "task_id",

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joblog.operators.dispatch import priority_keys
+from joblog.operators.dedupe import BEFORE
 from joblog.operators.tasks import instant, plus_seconds, quota_bound
 from joblog.plans.ordered import CHUNK, HOT, HOT_ROWS, cut, floor_div, hot_keys
 from joblog.plans.ranking import rank_in_group
@@ -380,6 +381,20 @@ def _admit_rolling(stamped: DataFrame, schema: T.StructType, width: int) -> Data
     )
 
 
+def _replayed(windows: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests that leave the groups at ``windows``; a window nobody was admitted in is a request that is denied."""
+    count = F.col("count").cast("int")
+    one = windows.select(
+        GROUP,
+        F.col("window_start").cast(requests.schema["ts"].dataType).alias("ts"),
+        F.lit(BEFORE).cast(requests.schema["seq"].dataType).alias("seq"),
+        F.when(count > 0, F.lit(2**31 - 1)).otherwise(0).cast(requests.schema[LIMIT].dataType).alias(LIMIT),
+        F.lit(True).alias("__saved"),
+        F.explode(F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).alias("__one"),
+    )
+    return one.drop("__one")
+
+
 def admit_quota(
     requests: DataFrame,
     window: int = WINDOW_SECONDS,
@@ -387,6 +402,7 @@ def admit_quota(
     windows_per_slice: int = WINDOWS_PER_SLICE,
     slices_per_stretch: int = SLICES_PER_STRETCH,
     hot_rows: int = HOT_ROWS,
+    windows: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``admitted``, ``window_start`` and ``window_count`` to (seq, ts, group, limit) rows.
 
@@ -396,7 +412,19 @@ def admit_quota(
     the limit in any trailing ``window`` seconds; here a hot group is only cut
     at its gaps, since every admission depends on the ones a window back. Rows
     without a group or a limit are not limited.
+
+    ``windows`` (group, count, window_start), for ``anchored`` only, is where
+    the groups stand before the requests: as many admitted requests at the
+    window's start bring a group to the same state, so they go first and are
+    left out again.
     """
+    if windows is not None:
+        if mode != "anchored":
+            raise ValueError("saved windows belong to anchored quotas")
+        columns = requests.columns
+        everything = requests.withColumn("__saved", F.lit(False)).unionByName(_replayed(windows, requests), allowMissingColumns=True)
+        told = admit_quota(everything, window, mode, windows_per_slice, slices_per_stretch, hot_rows)
+        return told.filter(~F.col("__saved")).select(*columns, "admitted", "window_start", "window_count")
     width = window * 1_000_000
     span = width * max(windows_per_slice, 1)
     bound = quota_bound(requests)
@@ -456,12 +484,14 @@ def rolling_rate(
     )
 
 
-def rate_window_state(requests: DataFrame, window: int = WINDOW_SECONDS) -> DataFrame:
-    """Final (count, window_start) of each group after all requests."""
+def rate_window_state(requests: DataFrame, window: int = WINDOW_SECONDS, windows: DataFrame | None = None) -> DataFrame:
+    """Final (count, window_start) of each group after all requests; groups without one stay at ``windows``."""
+    if windows is not None:
+        requests = requests.select(*requests.columns).unionByName(_replayed(windows, requests).drop("__saved"), allowMissingColumns=True)
     return (
         quota_bound(admit_quota(requests, window))
         .groupBy(GROUP)
-        .agg(F.max_by(F.struct("window_count", "window_start"), F.struct("ts", "seq")).alias("__last"))
+        .agg(F.max_by(F.struct("window_count", "window_start"), F.struct("ts", "seq", "window_count")).alias("__last"))
         .select(GROUP, F.col("__last.window_count").alias("count"), F.col("__last.window_start").alias("window_start"))
     )
 

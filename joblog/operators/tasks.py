@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,26 @@ from joblog.schema import INBOUND_OPTIONAL, INBOUND_REQUIRED, JOB_ERROR, TASK_CO
 
 MAX_MICROS = 2**63 - 1
 
+# Standard reasons of HTTP statuses, as the answer text shows them.
+HTTP_REASONS = {
+    100: "Continue", 101: "Switching Protocols", 102: "Processing",
+    200: "OK", 201: "Created", 202: "Accepted", 203: "Non Authoritative Information", 204: "No Content",
+    205: "Reset Content", 206: "Partial Content", 207: "Multi-Status", 208: "Already Reported", 226: "IM Used",
+    300: "Multiple Choices", 301: "Moved Permanently", 302: "Found", 303: "See Other", 304: "Not Modified",
+    305: "Use Proxy", 307: "Temporary Redirect", 308: "Permanent Redirect",
+    400: "Bad Request", 401: "Unauthorized", 402: "Payment Required", 403: "Forbidden", 404: "Not Found",
+    405: "Method Not Allowed", 406: "Not Acceptable", 407: "Proxy Authentication Required", 408: "Request Timeout",
+    409: "Conflict", 410: "Gone", 411: "Length Required", 412: "Precondition Failed", 413: "Payload Too Large",
+    414: "URI Too Long", 415: "Unsupported Media Type", 416: "Range Not Satisfiable", 417: "Expectation Failed",
+    418: "I'm a teapot", 421: "Misdirected Request", 422: "Unprocessable Entity", 423: "Locked",
+    424: "Failed Dependency", 426: "Upgrade Required", 428: "Precondition Required", 429: "Too Many Requests",
+    431: "Request Header Fields Too Large", 451: "Unavailable For Legal Reasons",
+    500: "Internal Server Error", 501: "Not Implemented", 502: "Bad Gateway", 503: "Service Unavailable",
+    504: "Gateway Timeout", 505: "HTTP Version Not Supported", 506: "Variant Also Negotiates",
+    507: "Insufficient Storage", 508: "Loop Detected", 510: "Not Extended", 511: "Network Authentication Required",
+}
+UNKNOWN_REASON = "<unknown status code>"
+
 
 def instant(as_of: str | dt.datetime | Column) -> Column:
     """``as_of`` as a UTC timestamp column; text is ``YYYY-MM-DD HH:MM:SS[.ffffff]``."""
@@ -102,14 +123,17 @@ def classify_outcomes(df: DataFrame) -> DataFrame:
     """Add ``ok`` and ``error`` to recorded outcomes.
 
     Rows with a ``status`` are message results. Other rows are webhook
-    responses: ``http_status`` (number), ``http_reason``, ``http_error``.
+    responses: ``http_status`` (number), ``http_error``, and ``http_reason``
+    where it differs from the status's standard reason.
     """
 
     def optional(name: str, kind: str) -> Column:
         return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
     status, code = optional("status", "string"), optional("http_status", "int")
-    answer = F.rtrim(F.concat(code.cast("string"), F.lit(" "), F.coalesce(optional("http_reason", "string"), F.lit(""))))
+    standard = F.try_element_at(F.create_map(*map(F.lit, chain(*HTTP_REASONS.items()))), code)
+    reason = F.coalesce(optional("http_reason", "string"), standard, F.lit(UNKNOWN_REASON))
+    answer = F.concat(code.cast("string"), F.lit(" "), reason)
     by_message = F.when(status != "success", F.coalesce(optional("error_msg", "string"), F.lit("Unknown error")))
     by_webhook = F.when(
         code.isNull(),

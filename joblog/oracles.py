@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from joblog.fixtures import EVENT_AS_OF, QUOTA_WINDOW, TASK_AS_OF, TICKS_FROM, TICKS_TO, duckdb_view
+from joblog.operators.tasks import HTTP_REASONS, UNKNOWN_REASON
 
 W = QUOTA_WINDOW * 1_000_000
 ORDER = "attempt_ts, k1, k2, k3, k4, k5"
@@ -23,6 +24,9 @@ LOG = """task_id, task_type, task_data, cast(retry_count AS bigint) AS retry_cou
 TASK = """task_id, task_type, urgency_score, epoch_us(execute_at) AS execute_at, rate_limit_group,
   cast(max_per_minute AS bigint) AS max_per_minute"""
 BOUNDS = "cast(retry_count AS bigint) AS retry_count, cast(max_retries AS bigint) AS max_retries"
+REASON = "CASE http_status {} ELSE '{}' END".format(
+    " ".join(f"WHEN {code} THEN '{text.replace(chr(39), chr(39) * 2)}'" for code, text in HTTP_REASONS.items()), UNKNOWN_REASON
+)
 PRIORITY = "coalesce(urgency_score, 0.0) DESC, execute_at, task_id"
 
 LATEST = """latest AS (
@@ -39,7 +43,7 @@ dead AS (
   SELECT t.task_id, t.task_type, t.task_data, t.webhook_url,
          CASE WHEN t.webhook_url IS NULL THEN 'message' ELSE 'webhook' END AS route, f.error_msg AS error
   FROM fx_tasks t JOIN firsts f ON f.task_id = t.task_id
-  WHERE NOT f.ok AND t.max_retries - t.retry_count <= 1)"""
+  WHERE NOT f.ok AND t.deleted_at IS NULL AND t.max_retries - t.retry_count <= 1)"""
 PAIRS = """pairs AS (
   SELECT r.*, e.exec_id, e.exec_ts,
          CASE WHEN e.webhook_url IS NULL THEN e.exec_ts + to_seconds(e.max_execution_seconds) END AS deadline,
@@ -149,7 +153,7 @@ FROM events WHERE event_id % 50 NOT BETWEEN 7 AND 12"""
   cast(NULL AS string) AS error
 FROM events WHERE event_id % 50 <> 7
 UNION ALL
-SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'Invalid JSON: ' FROM events WHERE event_id % 50 = 7"""
+SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'Invalid JSON: not a readable object' FROM events WHERE event_id % 50 = 7"""
     o["compact_task_log"] = _sql(f"SELECT seq, {LOG} FROM latest", "fx_task_log", steps=LATEST)
     o["read_rate_windows"] = o["rate_window_state"] = _sql(
         """SELECT g AS rate_limit_group, cast(arg_max(n, rn) AS bigint) AS count, arg_max(start, rn) AS window_start
@@ -169,10 +173,13 @@ UNION ALL SELECT '{"action":"error","message":"Invalid JSON: not a readable obje
 UNION ALL SELECT '{"action":"execute","task_id":"' || task_id || '","task_type":"' || task_type || '","task_data":"'
   || replace(task_data, '"', '\\"') || '"' || CASE WHEN retry_count > 0
   THEN ',"max_execution_seconds":' || cast(retry_count * 60 AS string) ELSE '' END || '}' FROM due
+  WHERE webhook_url IS NULL AND task_type IN (SELECT 'type' || cast(user_id % 5 AS string) FROM events WHERE event_type = 'view' AND event_id % 50 <> 7)
+UNION ALL SELECT '{"action":"error","task_id":"' || task_id || '","message":"Received result for unknown/expired task_id ' || task_id || '"}'
+FROM fx_results WHERE result_id NOT IN (SELECT result_id FROM matched)
 UNION ALL SELECT '{"action":"max_retries_reached","task_id":"' || task_id || '","task_type":"' || task_type || '","task_data":"'
   || replace(task_data, '"', '\\"') || '"}' FROM dead WHERE webhook_url IS NULL
 UNION ALL SELECT '{"action":"stats","total_enqueued":' || total_enqueued || ',"total_executed":' || total_executed
-  || ',"total_failed":' || total_failed || ',"total_dlq":0,"queue_depth":' || queue_depth || ',"uptime_secs":'
+  || ',"total_failed":' || total_failed || ',"total_dlq":' || total_dlq || ',"queue_depth":' || queue_depth || ',"uptime_secs":'
   || uptime_secs || '}' FROM stats""",
         *STATS_VIEWS,
         steps=f"{RESULTS_AS_MESSAGES}, {DUE}, {STATS}",
@@ -226,10 +233,10 @@ FROM events"""
         steps=LATEST,
     )
     o["classify_outcomes"] = _sql(
-        """SELECT outcome_id, error IS NULL AS ok, error FROM (
+        f"""SELECT outcome_id, error IS NULL AS ok, error FROM (
   SELECT outcome_id, CASE WHEN status = 'success' THEN NULL WHEN status IS NOT NULL THEN coalesce(error_msg, 'Unknown error')
     WHEN http_status IS NULL THEN 'Webhook request failed: ' || http_error
-    WHEN http_status // 100 = 2 THEN NULL ELSE 'Webhook returned non-2xx status: ' || http_status END AS error
+    WHEN http_status // 100 = 2 THEN NULL ELSE 'Webhook returned non-2xx status: ' || http_status || ' ' || {REASON} END AS error
   FROM fx_outcomes)""",
         "fx_outcomes",
     )
@@ -320,10 +327,25 @@ LEFT JOIN numbered e ON e.task_id = s.task_id AND e.no = s.attempts - CASE WHEN
         steps=FIRST,
     )
     o["assemble_progress"] = _sql(
-        """SELECT task_id, cast(0 AS bigint) AS part, count(*) AS chunks, string_agg(data, '' ORDER BY seq) AS text
-FROM fx_progress GROUP BY task_id""",
+        """SELECT task_id, part, count(*) AS chunks, string_agg(data, '' ORDER BY seq) AS text
+FROM (SELECT *, (row_number() OVER (PARTITION BY task_id ORDER BY seq) - 1) // 3 AS part FROM fx_progress) GROUP BY task_id, part""",
         "fx_progress",
     )
+    o["read_progress"] = """SELECT cast(user_id AS string) AS task_id, count(*) AS chunks,
+  string_agg('c' || cast(event_id AS string), '' ORDER BY event_id) AS text
+FROM events WHERE event_type = 'click' AND event_id % 50 <> 7 GROUP BY user_id"""
+    o["read_stats"] = _sql(
+        """SELECT count(*) FILTER (event_type = 'signup') AS total_enqueued, count(*) FILTER (event_type = 'purchase') AS total_executed,
+  count(*) FILTER (event_type = 'error') AS total_failed, cast(0 AS bigint) AS total_dlq, (SELECT count(*) FROM latest) AS queue_depth
+FROM events WHERE event_id % 50 <> 7""",
+        "fx_task_log",
+        steps=LATEST,
+    )
+    o["read_arrivals"] = """SELECT 'd' || cast(event_id AS string) AS task_data,
+  CASE WHEN user_id % 2 = 0 THEN sha256('5:type' || cast(user_id % 5 AS string) || 'same') END AS payload_key,
+  user_id % 2 <> 0 OR row_number() OVER (PARTITION BY user_id % 2, user_id % 5 ORDER BY event_id) = 1 AS accepted
+FROM events WHERE event_type = 'signup' AND event_id % 50 <> 7"""
+    o["read_upserts"] = _sql(f"SELECT {LOG} FROM latest", "fx_task_log", steps=LATEST)
     o["progress_summary"] = _sql(
         """SELECT p.task_id, p.seq_count AS chunks, q.data AS last_data
 FROM (SELECT task_id, count(*) AS seq_count, max(seq) AS last FROM fx_progress GROUP BY task_id) p
@@ -345,6 +367,9 @@ WHERE kind = 'enqueue'""",
         "fx_payload_events",
     )
     o["admit_quota"] = _admitted("fx_requests")
+    o["admit_quota_resumed"] = o["admit_quota"]
+    o["rate_window_state_resumed"] = o["rate_window_state"]
+    o["dedupe_resumed"] = o["dedupe_in_flight"]
     o["admit_quota_mixed"] = _admitted("fx_requests_mixed")
     o["admit_quota_rolling"] = _sql(
         """SELECT seq, us AS ts, rate_limit_group, f.admitted FROM r JOIN f ON f.g = r.rate_limit_group AND f.rn = r.rn""",
@@ -416,7 +441,7 @@ FROM ranked WHERE rate_limit_group IS NOT NULL AND max_per_minute IS NOT NULL"""
   CASE transition WHEN 'retry' THEN error_msg WHEN 'rescheduled' THEN NULL ELSE last_error_obj END AS job_error
 FROM (SELECT t.*, f.error_msg, CASE WHEN f.ok AND t.cron = '10m' THEN 'rescheduled' WHEN f.ok THEN 'completed'
         WHEN t.max_retries - t.retry_count > 1 THEN 'retry' ELSE 'dead' END AS transition
-      FROM fx_tasks t JOIN firsts f ON f.task_id = t.task_id)""",
+      FROM fx_tasks t JOIN firsts f ON f.task_id = t.task_id WHERE t.deleted_at IS NULL)""",
         "fx_tasks",
         "fx_attempts",
         steps=FIRST,
@@ -426,7 +451,7 @@ FROM (SELECT t.*, f.error_msg, CASE WHEN f.ok AND t.cron = '10m' THEN 'reschedul
   epoch_us(retry_after_time) AS retry_after_time, cast(CASE WHEN cron = '10m' THEN 0 ELSE retry_count END AS bigint) AS retry_count,
   CASE WHEN cron = '10m' THEN epoch_us(deleted_at) ELSE {now} END AS deleted_at,
   CASE WHEN cron = '10m' THEN NULL ELSE last_error_obj END AS last_error_obj
-FROM fx_tasks t JOIN firsts f ON f.task_id = t.task_id WHERE f.ok""",
+FROM fx_tasks t JOIN firsts f ON f.task_id = t.task_id WHERE f.ok AND t.deleted_at IS NULL""",
         "fx_tasks",
         "fx_attempts",
         steps=FIRST,

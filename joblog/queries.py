@@ -16,6 +16,10 @@ from joblog.plans.ordered import pick_per
 from joblog.session import configure, scratch_path
 from joblog.sources import messages, rate_windows, task_log
 
+# Chunks per part of assembled progress.
+PART_CHUNKS = 3
+# Where the resumed queries stop and start again.
+HALFWAY = "2024-01-16 00:00:00"
 ATTEMPT_ORDER = ("attempt_ts", "k1", "k2", "k3", "k4", "k5")
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,10 +117,49 @@ def read_messages(v: Views) -> DataFrame:
     read = messages.read_messages(v.spark, path)
     return read.select(
         "action", "task_id", "task_type", "task_data", "max_retries", "retry_after_hours", "auto_dedupe", "data",
-        "status", F.substring("error", 1, 14).alias("error"),
+        "status", "error",
     )
 
 
+def _read_back(v: Views) -> DataFrame:
+    """The messages as a reader returns them: written in order to one file, so ``seq`` is their order."""
+    path = scratch_path(v.spark, "messages")
+    v.messages.repartitionByRange("seq").sortWithinPartitions("seq").select("value").write.text(path)
+    return messages.read_messages(v.spark, path)
+
+
+@query
+def read_progress(v: Views) -> DataFrame:
+    """Progress assembled from what ``read_messages`` returned."""
+    return outcomes.assemble_progress(tasks.route_messages(_read_back(v), "progress"), part_chunks=1_000_000).select("task_id", "chunks", "text")
+
+
+@query
+def read_stats(v: Views) -> DataFrame:
+    """Counters of what ``read_messages`` returned; every result counts, and uptime is that of the files."""
+    return metrics.queue_stats(_read_back(v), state.latest_tasks(v.task_log)).drop("uptime_secs")
+
+
+@query
+def read_arrivals(v: Views) -> DataFrame:
+    """Duplicate payloads among the enqueues that ``read_messages`` returned, in line order."""
+    enqueues = tasks.route_messages(_read_back(v), "enqueue")
+    key = payload_key(F.col("task_type"), F.lit("same"), F.col("auto_dedupe"))
+    events = enqueues.select("seq", "task_data", key.alias("payload_key"), F.lit("enqueue").alias("kind"))
+    return dedupe.dedupe_in_flight(events).select("task_data", "payload_key", "accepted")
+
+
+@query
+def read_upserts(v: Views) -> DataFrame:
+    """State from a log read back, changed by later versions of the same log."""
+    path = scratch_path(v.spark, "task-log")
+    ordered = v.task_log.repartitionByRange("seq").sortWithinPartitions("seq")
+    task_log.append_task_log(ordered, path, fmt="json")
+    log = task_log.read_task_log(v.spark, path)
+    middle = log.agg(F.avg("seq")).first()[0]
+    return state.upsert_tasks(state.latest_tasks(log.filter(F.col("seq") < middle)), log.filter(F.col("seq") >= middle)).select(*LOG_COLUMNS)
+
+
 @query
 def append_task_log(v: Views) -> DataFrame:
     path = scratch_path(v.spark, "append")
@@ -138,23 +181,31 @@ def read_rate_windows(v: Views) -> DataFrame:
     return rate_windows.read_rate_windows(v.spark, path)
 
 
+def _result_rows(decoded: DataFrame) -> DataFrame:
+    """The result messages as rows for pairing."""
+    results = tasks.route_messages(decoded, "result")
+    return results.select(F.col("seq").alias("result_id"), "task_id", F.col("event_ts").alias("result_ts"), "status", "error_msg")
+
+
 @query
 def encode_messages(v: Views) -> DataFrame:
     decoded = v.decoded()
-    errors = decoded.filter("error is not null").select(F.lit("Invalid JSON: not a readable object").alias("message"))
-    executions = v.due().withColumn(
+    errors = decoded.filter("error is not null").select(F.col("error").alias("message"))
+    orphans = outcomes.orphan_results(v.executions.filter("webhook_url is null"), _result_rows(decoded)).select("task_id", "message")
+    running = outcomes.dispatchable(v.due(), outcomes.registered_types(decoded)).filter("webhook_url is null")
+    executions = running.withColumn(
         "max_execution_seconds", F.when(F.col("retry_count") > 0, F.col("retry_count").cast("bigint") * 60)
     )
+    letters = outcomes.dead_letters(v.tasks, v.first_outcomes())
     parts = [
         messages.encode_messages(messages.acks(decoded), "ack"),
         messages.encode_messages(tasks.route_messages(decoded, "progress"), "progress"),
         messages.encode_messages(errors, "error"),
+        messages.encode_messages(orphans, "error"),
         messages.encode_messages(executions, "execute"),
+        messages.encode_messages(letters.filter("route = 'message'"), "max_retries_reached"),
         messages.encode_messages(
-            outcomes.dead_letters(v.tasks, v.first_outcomes()).filter("route = 'message'"), "max_retries_reached"
-        ),
-        messages.encode_messages(
-            metrics.queue_stats(decoded, state.latest_tasks(v.task_log), v.executions.filter("webhook_url is null")),
+            metrics.queue_stats(decoded, state.latest_tasks(v.task_log), v.executions.filter("webhook_url is null"), letters),
             "stats",
         ),
     ]
@@ -379,7 +430,7 @@ def attempt_summary(v: Views) -> DataFrame:
 
 @query
 def assemble_progress(v: Views) -> DataFrame:
-    return outcomes.assemble_progress(v.progress)
+    return outcomes.assemble_progress(v.progress, part_chunks=PART_CHUNKS)
 
 
 @query
@@ -410,6 +461,29 @@ def admit_quota(v: Views) -> DataFrame:
     return quota.admit_quota(v.requests, QUOTA_WINDOW)
 
 
+@query
+def admit_quota_resumed(v: Views) -> DataFrame:
+    """The requests in two runs, the second from the windows that the first leaves."""
+    first, rest = (v.requests.filter(f"{test} timestamp '{HALFWAY}'") for test in ("ts <", "ts >="))
+    then = quota.admit_quota(rest, QUOTA_WINDOW, windows=quota.rate_window_state(first, QUOTA_WINDOW))
+    return quota.admit_quota(first, QUOTA_WINDOW).unionByName(then)
+
+
+@query
+def rate_window_state_resumed(v: Views) -> DataFrame:
+    first, rest = (v.requests.filter(f"{test} timestamp '{HALFWAY}'") for test in ("ts <", "ts >="))
+    return quota.rate_window_state(rest, QUOTA_WINDOW, windows=quota.rate_window_state(first, QUOTA_WINDOW))
+
+
+@query
+def dedupe_resumed(v: Views) -> DataFrame:
+    """The events in two runs, the second from the keys that the first leaves active."""
+    events = v.payload_events
+    middle = events.agg(F.avg("seq")).first()[0]
+    first, rest = events.filter(F.col("seq") < middle), events.filter(F.col("seq") >= middle)
+    return dedupe.dedupe_in_flight(first).unionByName(dedupe.dedupe_in_flight(rest, dedupe.active_keys(first)))
+
+
 @query
 def admit_quota_mixed(v: Views) -> DataFrame:
     return quota.admit_quota(v.requests_mixed, QUOTA_WINDOW)
@@ -483,7 +557,7 @@ def apply_results(v: Views) -> DataFrame:
 
 @query
 def reschedule_cron(v: Views) -> DataFrame:
-    succeeded = v.task_rows().join(v.first_outcomes().filter("ok").select("task_id"), "task_id", "left_semi")
+    succeeded = tasks.live_tasks(v.task_rows()).join(v.first_outcomes().filter("ok").select("task_id"), "task_id", "left_semi")
     return schedule.reschedule_cron(succeeded, TASK_AS_OF).select(
         "task_id", "execute_at", "retry_after_time", "retry_count", "deleted_at", "last_error_obj"
     )

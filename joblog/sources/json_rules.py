@@ -19,18 +19,41 @@ READ_OPTIONS = {
 }
 
 
-def not_text(line: Column, keys: Iterable[str]) -> Column:
-    """True when a key that must hold text holds another JSON type (``from_json`` would convert it).
+SHAPE = "__shape"
 
-    A quote inside a JSON string is always escaped, so a brace or comma, then a
-    bare quote, only ever introduces a key.
-    """
-    return line.rlike(r'[{,]\s*"(?:' + "|".join(keys) + r')"\s*:\s*(?!"|null\b)\S')
 
+def with_shape(parsed: DataFrame, texts: Iterable[str]) -> DataFrame:
+    """Add SHAPE: ``sound`` (one JSON object and nothing else) and the JSON type of each top-level key in ``texts``.
 
-def is_object(line: Column) -> Column:
-    """Braces around, and proper UTF-8: the JSON reader would replace broken bytes and go on."""
-    return F.is_valid_utf8(line) & line.rlike(r"(?s)^\s*\{.*\}\s*$")
+    The line is read as the middle of an array between two marks. The JSON
+    parser stops after one value, so a second value, or brackets that end the
+    array early, show as a mark out of place; repeated keys and loose syntax
+    give no value at all. Keys inside nested objects play no part.
+    """
+    read = F.try_parse_json(F.concat(F.lit("[0,"), F.col("value"), F.lit(",1]")))
+    whole = compute_once(parsed, "__json", read)
+    kind = lambda path: F.schema_of_variant(F.try_variant_get("__json", path, "variant"))
+    sound = (
+        F.is_valid_utf8("value")
+        & F.col("value").rlike(r"^\s*\{")
+        & F.coalesce(F.try_variant_get("__json", "$[2]", "int") == 1, F.lit(False))
+        & F.try_variant_get("__json", "$[3]", "variant").isNull()
+        & kind("$[1]").startswith("OBJECT")
+    )
+    fields = [F.coalesce(sound, F.lit(False)).alias("sound"), *(kind(f"$[1].{k}").alias(k) for k in dict.fromkeys(texts))]
+    return compute_once(whole, SHAPE, F.struct(*fields)).drop("__json")
+
+
+def sound() -> Column:
+    return F.col(SHAPE)["sound"]
+
+
+def not_text(keys: Iterable[str]) -> Column:
+    """True when a key that must hold text holds another JSON type (``from_json`` would convert it)."""
+    wrong = F.lit(False)
+    for key in keys:
+        wrong = wrong | F.coalesce(~F.col(SHAPE)[key].isin("STRING", "VOID"), F.lit(False))
+    return wrong
 
 
 def finite(column: Column) -> Column:

@@ -15,7 +15,8 @@ from joblog.schema import (
     OUTBOUND_FIELDS,
     WEBHOOK_KEYS,
 )
-from joblog.sources.json_rules import compute_once, finite, is_object, not_text, parse_once
+from joblog.sources.json_rules import compute_once, finite, not_text, parse_once, sound, with_shape
+from joblog.sources.line_order import in_file_order
 
 # Webhook events.
 EXECUTE, MAX_RETRIES_REACHED = "Execute", "MaxRetriesReached"
@@ -24,8 +25,8 @@ EVENT_HEADER = "X-Job-Event"
 
 def _fault() -> Column:
     """Text of the first fault of a parsed line, null when it is a valid message."""
-    line, action = F.col("value"), F.col("action")
-    fault = F.when(F.col(CORRUPT).isNotNull() | ~is_object(line), "not a readable object").when(
+    action = F.col("action")
+    fault = F.when(F.col(CORRUPT).isNotNull() | ~sound(), "not a readable object").when(
         action.isNull(), "missing field action"
     )
     fault = fault.when(~action.isin(list(INBOUND_REQUIRED)), F.concat(F.lit("unknown action "), action))
@@ -34,7 +35,7 @@ def _fault() -> Column:
         for field in required:
             fault = fault.when((action == name) & F.col(field).isNull(), f"missing field {field}")
         texts = [f for f in [*required, *INBOUND_OPTIONAL[name]] if isinstance(MESSAGE_TYPES[f], T.StringType)]
-        fault = fault.when((action == name) & not_text(line, ["action", *texts]), "invalid type")
+        fault = fault.when((action == name) & not_text(["action", *texts]), "invalid type")
     limit = F.col("max_execution_seconds")
     numbers = finite(F.col("retry_after_hours")) & finite(F.col("urgency_score")) & (limit.isNull() | (limit >= 0))
     return fault.when((action == "enqueue") & ~numbers, "invalid value")
@@ -48,6 +49,7 @@ def decode_messages(lines: DataFrame) -> DataFrame:
     """
     extra = [c for c in lines.columns if c != "value"]
     parsed = parse_once(lines.filter(F.col("value").rlike(r"\S")).select(*extra, "value"), MESSAGE_SCHEMA)
+    parsed = with_shape(parsed, [c for c, kind in MESSAGE_TYPES.items() if isinstance(kind, T.StringType)])
     checked = compute_once(parsed, "__fault", _fault())
     good = F.col("__fault").isNull()
     return checked.select(
@@ -58,7 +60,13 @@ def decode_messages(lines: DataFrame) -> DataFrame:
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    return decode_messages(spark.read.text(path))
+    """Messages of text files with ``seq``, their order, and ``event_ts``, the time of their file.
+
+    The protocol has no time of its own; ``seq`` decides the order wherever
+    lines of one file share their time.
+    """
+    lines = in_file_order(spark.read.text(path))
+    return decode_messages(lines.select("value", "seq", F.col("file_time").alias("event_ts")))
 
 
 def encode_messages(df: DataFrame, action: str) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from joblog.functions.rfc3339 import format_rfc3339, parse_rfc3339
 from joblog.operators.state import compact_task_log, log_health
 from joblog.schema import CORRUPT, TASK_COLUMNS, TASK_LINE_SCHEMA, TASK_LOG_KEYS, TASK_REQUIRED, TASK_SCHEMA
-from joblog.sources.json_rules import compute_once, finite, is_object, not_text, parse_once
+from joblog.sources.json_rules import compute_once, finite, not_text, parse_once, sound, with_shape
+from joblog.sources.line_order import in_file_order
 from joblog.sources.versions import write_version
 
 _TEXT_KEYS = [TASK_LOG_KEYS[f.name] for f in TASK_SCHEMA.fields if isinstance(f.dataType, (T.StringType, T.TimestampType))]
@@ -19,22 +20,9 @@ _TIMES = [f.name for f in TASK_SCHEMA.fields if isinstance(f.dataType, T.Timesta
 
 
 def _read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Text lines with their file and, as ``seq``, their place in the log.
-
-    A scan does not promise order. File, split offset and row-in-split compare
-    like positions in the files, also when Spark packs splits out of order.
-    """
+    """Text lines with their file and their place in the log."""
     lines = spark.read.text([paths] if isinstance(paths, str) else list(paths))
-    return lines.select(
-        "value",
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_size").alias("file_size"),
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-        ).alias("seq"),
-    )
+    return in_file_order(lines).select("value", "file_path", "file_size", "seq")
 
 
 def valid_log_rows(lines: DataFrame) -> DataFrame:
@@ -48,26 +36,26 @@ def valid_log_rows(lines: DataFrame) -> DataFrame:
     # Kept columns travel in one struct, out of the way of the record's keys.
     kept = F.struct(*extra) if extra else F.lit(None)
     written = lines.filter(F.col("value").rlike(r"\S")).select("value", kept.alias("__kept"))
-    parsed = parse_once(written, TASK_LINE_SCHEMA)
+    parsed = with_shape(parse_once(written, TASK_LINE_SCHEMA), _TEXT_KEYS)
     key = {c: F.col(k) for c, k in TASK_LOG_KEYS.items()}
     times = {c: parse_rfc3339(key[c]) for c in _TIMES}
     error = key["last_job_error"]
-    sound = (
+    fit = (
         F.col(CORRUPT).isNull()
-        & is_object(F.col("value"))
+        & sound()
         & (error.isNull() | (error["error"].isNotNull() & error["retry_worthy"].isNotNull()))
         & finite(key["retry_after_hours"])
         & finite(key["urgency_score"])
         & (key["max_execution_seconds"].isNull() | (key["max_execution_seconds"] >= 0))
     )
     for column in TASK_REQUIRED:
-        sound = sound & key[column].isNotNull()
-    sound = sound & ~not_text(F.col("value"), _TEXT_KEYS)
+        fit = fit & key[column].isNotNull()
+    fit = fit & ~not_text(_TEXT_KEYS)
     for column in times:
-        sound = sound & (key[column].isNull() | F.col("__times")[column].isNotNull())
+        fit = fit & (key[column].isNull() | F.col("__times")[column].isNotNull())
     parsed = compute_once(parsed, "__times", F.struct(*[v.alias(c) for c, v in times.items()]))
     columns = [(F.col("__times")[c] if c in times else key[c]).alias(c) for c in TASK_COLUMNS]
-    return parsed.filter(sound).select(*columns, *[F.col("__kept")[c].alias(c) for c in extra])
+    return parsed.filter(fit).select(*columns, *[F.col("__kept")[c].alias(c) for c in extra])
 
 
 def read_task_log(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from joblog.functions.cron import next_tick, normalize_cron, parse_cron
 from joblog.functions.payload import payload_key
 from joblog.functions.rfc3339 import parse_rfc3339
-from joblog.operators import dedupe, dispatch, handlers, metrics, outcomes, schedule, state, tasks
+from joblog.operators import dedupe, dispatch, handlers, metrics, outcomes, quota, schedule, state, tasks
 from joblog.sources import messages, rate_windows, task_log
+from joblog.sources.line_order import in_file_order
 
 GOOD = {
     "taskId": "a",
@@ -310,8 +311,9 @@ def test_classify_outcomes(spark):
         ("c", "failed", "boom", None, None, None, "boom"),
         ("d", None, None, 200, "OK", None, None),
         ("e", None, None, 299, None, None, None),
-        ("f", None, None, 199, None, None, "Webhook returned non-2xx status: 199"),
-        ("g", None, None, 404, "Not Found", None, "Webhook returned non-2xx status: 404 Not Found"),
+        ("f", None, None, 199, None, None, "Webhook returned non-2xx status: 199 <unknown status code>"),
+        ("g", None, None, 404, None, None, "Webhook returned non-2xx status: 404 Not Found"),
+        ("i", None, None, 404, "Gone fishing", None, "Webhook returned non-2xx status: 404 Gone fishing"),
         ("h", None, None, None, None, "refused", "Webhook request failed: refused"),
     ]
     df = spark.createDataFrame([r[:6] for r in rows], "id string, status string, error_msg string, http_status int, http_reason string, http_error string")
@@ -402,11 +404,8 @@ def test_handlers(spark):
     assert {r.task_id for r in handlers.run_max_retry_handlers(df, table).collect()} == {"1", "2"}
 
 
-def test_types_beyond_the_broadcast_bound(spark):
-    from joblog.plans.sides import broadcast_if_small
-
+def test_registered_types_split_the_rows(spark):
     types = spark.range(20).select(F.concat(F.lit("t"), "id").alias("task_type"))
-    assert broadcast_if_small(types, 19) is types
     df = spark.createDataFrame([("1", "t3", None), ("2", "x", None), ("3", None, None), ("4", "x", "u")], "task_id string, task_type string, webhook_url string")
     assert {r.task_id for r in outcomes.dispatchable(df, types).collect()} == {"1", "4"}
     assert {r.task_id for r in outcomes.unregistered(df, types).collect()} == {"2", "3"}
@@ -424,3 +423,81 @@ def test_queue_stats_without_executions(spark):
     tasks_df = task_frame(spark)
     row = metrics.queue_stats(messages.decode_messages(df), tasks_df).first()
     assert tuple(row) == (0, 1, 1, 0, 7, 2)
+
+
+GOOD_LINE = '{"taskId":"a","retryCount":0,"maxRetries":3,"retryAfterHours":0.5,"retryAfterTime":"2024-01-01T00:00:00Z","taskData":"d","taskType":"t","executeAt":"2024-01-01T00:00:00Z"%s}'
+
+
+@pytest.mark.parametrize(
+    "tail,good",
+    [
+        *((f',"extra":{{"taskId":{value},"taskData":{value}}}', True) for value in ("5", '"s"', "null", "true", "[1]", '{"taskId":1}', "1.5")),
+        (',"extra":[{"taskType":1}]', True),
+        (',"x":"{\\"taskId\\":5}"', True),
+        (',"payloadHash":null', True),
+        (',"payloadHash":5', False),
+        (',"taskId":"b"', False),
+        (',"x":1}{"y":2', False),
+        (',"x":1},{"y":2', False),
+        (',"x":1}] [{"y":2', False),
+        (',"x":1},1,{"y":2', False),
+        (",'x':1", False),
+        (',"x":NaN', False),
+    ],
+)
+def test_only_top_level_keys_decide(spark, tail, good):
+    log = spark.createDataFrame([(GOOD_LINE % tail,)], "value string")
+    assert task_log.valid_log_rows(log).count() == int(good)
+    line = '{"action":"result","task_id":"a","status":"success"' + tail.replace("taskId", "task_id").replace("taskData", "status").replace("payloadHash", "error_msg") + "}"
+    row = messages.decode_messages(spark.createDataFrame([(line,)], "value string")).first()
+    assert (row.error is None) == good and (row.task_id == "a") == good
+
+
+def test_leap_seconds(spark):
+    df = spark.createDataFrame([("2016-12-31T23:59:60Z",), ("2016-12-31T23:59:60.25+00:00",), ("2016-12-31T23:59:61Z",)], "t string")
+    got = [r.v for r in df.select(F.unix_micros(parse_rfc3339(F.col("t"))).alias("v")).collect()]
+    assert got == [1483228800000000, 1483228800250000, None]
+
+
+def test_lines_are_numbered_in_file_order(spark, tmp_path):
+    for name, n in (("b.txt", 40_000), ("a.txt", 30_000), ("c.txt", 3)):
+        (tmp_path / name).write_text("".join(f"{name[0]}{i:06d}\n" for i in range(n)))
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    own.conf.set("spark.sql.files.openCostInBytes", "1")
+    lines = in_file_order(own.read.text(str(tmp_path)))
+    rows = [(r.seq, r.value) for r in lines.select("seq", "value").collect()]
+    assert len({s for s, _ in rows}) == 70_003 and [v for _, v in sorted(rows)] == sorted(v for _, v in rows)
+    assert lines.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_first_line_of_saved_windows_counts_whole_or_not(spark, tmp_path):
+    window = '{"count":2,"window_start":"2024-01-01T00:00:00Z"}'
+    for i, (text, n) in enumerate([(f'{{"g":{window},"h":{window}}}\n{{"g":{window}}}\n', 2), (f'{{"g":{window},"h":{{"count":1}}}}', 0), ("oops", 0), ("", 0)]):
+        (tmp_path / f"w{i}").write_text(text)
+        assert rate_windows.read_rate_windows(spark, str(tmp_path / f"w{i}")).count() == n
+    windows = spark.createDataFrame([("g", 1, dt.datetime(2024, 1, 1)), ("h", 0, dt.datetime(2024, 1, 2))], "rate_limit_group string, count int, window_start timestamp")
+    rate_windows.encode_rate_windows(windows).write.text(str(tmp_path / "out"))
+    assert sorted(map(tuple, rate_windows.read_rate_windows(spark, str(tmp_path / "out")).collect())) == sorted(map(tuple, windows.collect()))
+
+
+@pytest.mark.parametrize("hot", [1, 1_000_000])
+def test_quota_goes_on_from_saved_windows(spark, hot):
+    start = dt.datetime(2024, 1, 1)
+    at = lambda s: start + dt.timedelta(seconds=s)
+    windows = spark.createDataFrame([("a", 2, at(0)), ("b", 0, at(0)), ("c", 5, at(-100)), ("z", 1, at(0))], "rate_limit_group string, count int, window_start timestamp")
+    rows = [(i, at(s), g, n) for i, (s, g, n) in enumerate([(1, "a", 3), (2, "a", 3), (59, "a", 3), (60, "a", 3), (1, "b", 1), (61, "b", 1), (0, "c", 5), (5, "new", 1), (6, "new", 1), (7, None, 1)])]
+    requests = spark.createDataFrame(rows, "seq bigint, ts timestamp, rate_limit_group string, max_per_minute int")
+    got = {r.seq: r.admitted for r in quota.admit_quota(requests, hot_rows=hot, windows=windows).collect()}
+    assert got == dict(enumerate([True, False, False, True, True, True, True, True, False, True]))
+    state_rows = {r.rate_limit_group: (r["count"], r.window_start) for r in quota.rate_window_state(requests, windows=windows).collect()}
+    assert state_rows == {"a": (1, at(60)), "b": (1, at(61)), "c": (1, at(0)), "new": (1, at(5)), "z": (1, at(0))}
+
+
+def test_dedupe_goes_on_from_active_keys(spark):
+    events = spark.createDataFrame([(1, "k", "enqueue"), (2, "k", "done"), (3, "k", "enqueue"), (4, "j", "enqueue"), (5, None, "enqueue")], "seq bigint, payload_key string, kind string")
+    active = spark.createDataFrame([("k",), (None,), ("x",)], "payload_hash string")
+    for hot in (1, 1_000_000):
+        got = {r.seq: r.accepted for r in dedupe.dedupe_in_flight(events, active, chunk_rows=2, hot_rows=hot).collect()}
+        assert got == {1: False, 3: True, 4: True, 5: True}
+    assert {r.payload_key for r in dedupe.active_keys(events).collect()} == {"k", "j"}
