@@ -483,19 +483,19 @@ WHERE {TICK_RULE} GROUP BY s_suppkey"""
     )
 
     # streaming
-    o["stream_messages"] = f"SELECT action, task_id, task_type, task_data, data, status FROM ({o['read_messages']})"
+    o["stream_messages"] = f"SELECT action, task_id, task_type, task_data, data, status, error FROM ({o['read_messages']})"
     o["stream_due"] = o["admit_due"]
     o["stream_latest"] = o["latest_tasks"]
     o["stream_dedupe"] = o["dedupe_in_flight"]
     o["stream_quota"] = o["admit_quota"]
-    # Limits still running at the last watermark (whole milliseconds) are not reported yet.
+    # Limits still running at the last event are not reported yet.
     o["stream_timeouts"] = _sql(
         f"""SELECT 'matched' AS kind, task_id, exec_id, result_id, status,
   CASE WHEN status <> 'success' THEN coalesce(error_msg, 'Unknown error') END AS error FROM matched
 UNION ALL SELECT 'orphan', task_id, NULL, result_id, status, 'Received result for unknown/expired task_id ' || task_id
 FROM fx_results WHERE result_id NOT IN (SELECT result_id FROM matched)
 UNION ALL SELECT 'timeout', task_id, exec_id, NULL, NULL, error FROM late
-WHERE deadline // 1000 + 1 < (SELECT epoch_us(max(ts)) // 1000 FROM (
+WHERE deadline < (SELECT epoch_us(max(ts)) FROM (
   SELECT exec_ts AS ts FROM fx_executions UNION ALL SELECT result_ts FROM fx_results))""",
         "fx_executions",
         "fx_results",

@@ -26,6 +26,17 @@ def list_dirs(spark: SparkSession, root: str, prefix: str) -> list[str]:
     return sorted(n for n in names if n.startswith(prefix) and fs.exists(jpath(f"{root}/{n}/_SUCCESS")))
 
 
+def remove_dir(spark: SparkSession, path: str) -> None:
+    fs, jpath, _ = _fs(spark, path)
+    fs.delete(jpath, True)
+
+
+def modified_at(spark: SparkSession, path: str) -> int:
+    """Milliseconds since 1970 when a directory was finished."""
+    fs, _, make = _fs(spark, path)
+    return fs.getFileStatus(make(f"{path}/_SUCCESS")).getModificationTime()
+
+
 def current_version(spark: SparkSession, root: str) -> str | None:
     names = list_dirs(spark, root, _PREFIX)
     return f"{root}/{names[-1]}" if names else None

@@ -11,12 +11,13 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from joblog import streaming
 from joblog.fixtures import QUOTA_WINDOW, TASK_AS_OF
-from joblog.operators import state
+from joblog.operators import state, tasks
 from joblog.queries import LOG_COLUMNS, TASK_KEYS, Views, _saved_windows, query
 from joblog.session import scratch_path
 from joblog.sources import messages
 
 PIECES = 4
+DELAY = 4 * 24 * 3600
 
 
 class Replay:
@@ -49,6 +50,12 @@ class Replay:
         else:
             part.write.mode("append").parquet(self.path)
 
+    def decided(self, make) -> str:
+        """The folder in which the writer ``make(root)`` keeps what it decides over the pieces."""
+        root = scratch_path(self.df.sparkSession, "decided")
+        self.run(make(root))
+        return root
+
     def run(self, writer: DataStreamWriter) -> None:
         writer = writer.option("checkpointLocation", scratch_path(self.df.sparkSession, "stream"))
         for piece in range(PIECES):
@@ -66,15 +73,27 @@ class Replay:
 @query
 def stream_messages(v: Views) -> DataFrame:
     replay = Replay(v.messages, "seq", "text")
-    return replay.appended(messages.decode_messages(replay.stream)).select(
-        "action", "task_id", "task_type", "task_data", "data", "status"
+    return replay.appended(streaming.stream_messages(replay.spark, replay.path)).select(
+        "action", "task_id", "task_type", "task_data", "data", "status", "error"
     )
 
 
 @query
 def stream_due(v: Views) -> DataFrame:
-    """The per-tick function at one fixed time: the clock itself is not reproducible."""
-    return streaming.due_batch(v.tasks, _saved_windows(v), TASK_AS_OF, v.in_flight()).select(*TASK_KEYS, "admitted")
+    """One tick of the stream, of a clock that stands at a fixed time."""
+    hand, out = scratch_path(v.spark, "clock"), scratch_path(v.spark, "ticked")
+    now = v.spark.range(1).select(tasks.instant(TASK_AS_OF).alias("timestamp"))
+    now.write.parquet(hand)
+
+    def keep(decided: DataFrame, as_of: object, batch_id: int) -> None:
+        decided.select(*TASK_KEYS, "admitted").write.mode("overwrite").parquet(f"{out}/{batch_id}")
+
+    clock = v.spark.readStream.schema(now.schema).parquet(hand)
+    writer = streaming.stream_due(
+        v.spark, lambda: v.tasks, lambda: _saved_windows(v), keep, scratch_path(v.spark, "stream"), v.in_flight, clock=clock
+    )
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.parquet(f"{out}/0")
 
 
 @query
@@ -88,13 +107,13 @@ def stream_latest(v: Views) -> DataFrame:
 @query
 def stream_dedupe(v: Views) -> DataFrame:
     replay = Replay(v.payload_events, "seq")
-    return replay.appended(streaming.stream_dedupe(replay.stream))
+    return streaming.read_decided(v.spark, replay.decided(lambda root: streaming.stream_dedupe(replay.stream, root)))
 
 
 @query
 def stream_quota(v: Views) -> DataFrame:
     replay = Replay(v.requests, "seq")
-    return replay.appended(streaming.stream_quota(replay.stream, QUOTA_WINDOW))
+    return streaming.read_decided(v.spark, replay.decided(lambda root: streaming.stream_quota(replay.stream, root, QUOTA_WINDOW)))
 
 
 def _tracked(v: Views) -> DataFrame:
@@ -103,10 +122,13 @@ def _tracked(v: Views) -> DataFrame:
         v.results.withColumnsRenamed({"result_id": "id", "result_ts": "ts"}).withColumn("__result", F.lit(True)),
         allowMissingColumns=True,
     )
-    replay = Replay(events, "id")
+    # Rows arrive up to DELAY late, so the pieces overlap in time.
+    late = F.pmod(F.col("id") * 7919, F.lit(97)) * (DELAY // 97) * 1_000_000
+    replay = Replay(events.withColumn("arrival", F.unix_micros("ts") + late), "arrival")
     executions = replay.stream.filter("not __result").withColumnsRenamed({"id": "exec_id", "ts": "exec_ts"})
     results = replay.stream.filter("__result").withColumnsRenamed({"id": "result_id", "ts": "result_ts"})
-    return replay.appended(streaming.stream_timeouts(executions, results))
+    root = replay.decided(lambda root: streaming.stream_timeouts(executions, results, root, DELAY))
+    return streaming.read_decided(v.spark, root).unionByName(streaming.held_outcomes(v.spark, root))
 
 
 @query

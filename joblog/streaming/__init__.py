@@ -1,14 +1,17 @@
 """Structured Streaming forms of the operators."""
 
 from joblog.streaming.intake import stream_messages, stream_progress, stream_stats
-from joblog.streaming.latest import compact_latest, read_latest, stream_latest
-from joblog.streaming.stateful import stream_dedupe, stream_orphans, stream_quota, stream_timeouts
+from joblog.streaming.latest import compact_latest, read_latest, remove_merged, stream_latest
+from joblog.streaming.stateful import held_outcomes, read_decided, stream_dedupe, stream_orphans, stream_quota, stream_timeouts
 from joblog.streaming.ticks import due_batch, stream_due
 
 __all__ = [
     "compact_latest",
     "due_batch",
+    "held_outcomes",
+    "read_decided",
     "read_latest",
+    "remove_merged",
     "stream_dedupe",
     "stream_due",
     "stream_latest",

@@ -8,11 +8,13 @@ base.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
 from joblog.operators.state import latest_tasks, latest_versions
-from joblog.sources.versions import list_dirs
+from joblog.sources.versions import list_dirs, modified_at, remove_dir
 
 _BASE, _DELTA = "upto=", "batch="
 
@@ -54,5 +56,24 @@ def compact_latest(spark: SparkSession, root: str) -> str:
     _, last = _parts(spark, root)
     path = f"{root}/{_BASE}{last:012d}"
     if path.rsplit("/", 1)[1] not in list_dirs(spark, root, _BASE):
-        read_latest(spark, root).write.parquet(path)
+        # A folder without its marker is what a crash left; it does not count and is replaced.
+        read_latest(spark, root).write.mode("overwrite").parquet(path)
     return path
+
+
+def remove_merged(spark: SparkSession, root: str, before: dt.datetime) -> int:
+    """Remove deltas and bases that a base finished before ``before`` (UTC) has merged; returns how many.
+
+    Readers list once and then read, so ``before`` should lie back by the
+    longest read. This bounds what a reader lists.
+    """
+    bases = list_dirs(spark, root, _BASE)
+    limit = before.replace(tzinfo=before.tzinfo or dt.timezone.utc).timestamp() * 1000
+    settled = [b for b in bases if modified_at(spark, f"{root}/{b}") < limit]
+    if not settled:
+        return 0
+    upto = int(settled[-1].removeprefix(_BASE))
+    old = settled[:-1] + [n for n in list_dirs(spark, root, _DELTA) if int(n.removeprefix(_DELTA)) <= upto]
+    for name in old:
+        remove_dir(spark, f"{root}/{name}")
+    return len(old)

@@ -1,194 +1,195 @@
-"""Keyed state across micro-batches: dedupe, quota, timeouts.
+"""Streams with keyed state: dedupe, quota, timeouts.
 
-Rows of a key are sorted inside their micro-batch, so what one call holds is
-bounded by the size of a trigger (``maxFilesPerTrigger``), not by the key.
+A micro-batch goes through the batch operators, which split hot keys, and
+starts from the state the batch before it left. State and output of batch ``n``
+are Parquet folders of that number below ``root``; a batch that runs again
+reads the state before its own and overwrites both, so every row is decided
+once. The state of the last two batches is kept.
+
+The writers need ``checkpointLocation`` and a trigger, and are started by the
+caller; ``read_decided`` has what all finished batches decided.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from joblog.operators.dedupe import ENQUEUE
-from joblog.operators.outcomes import deadline_micros
-from joblog.operators.quota import WINDOW_SECONDS
-
-
-def _sorted(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    parts = [b for b in batches if len(b)]
-    rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-    return rows.sort_values(order, kind="stable")
-
-
-def stream_dedupe(events: DataFrame) -> DataFrame:
-    """Streaming form of ``dedupe_in_flight``; state is one active flag per key, dropped on release."""
-
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        active = bool(state.exists and state.get[0])
-        rows = _sorted(batches, ["seq"])
-        accepted = []
-        for kind in rows["kind"]:
-            if kind == ENQUEUE:
-                accepted.append(not active)
-                active = True
-            else:
-                accepted.append(None)
-                active = False
-        if active:
-            state.update((True,))
-        elif state.exists:
-            state.remove()
-        enqueues = rows.assign(accepted=accepted)[(rows["kind"] == ENQUEUE).to_numpy()]
-        if len(enqueues):
-            yield enqueues.astype({"accepted": "bool"})
-
-    schema = T.StructType(events.schema.fields + [T.StructField("accepted", T.BooleanType())])
-    keyed = (
-        events.filter(F.col("payload_key").isNotNull())
-        .groupBy("payload_key")
-        .applyInPandasWithState(decide, schema, "active boolean", "append", GroupStateTimeout.NoTimeout)
-    )
-    free = events.filter(F.col("payload_key").isNull() & (F.col("kind") == ENQUEUE))
-    return keyed.unionByName(free.withColumn("accepted", F.lit(True)))
-
-
-def stream_quota(requests: DataFrame, window: int = WINDOW_SECONDS) -> DataFrame:
-    """Streaming form of ``admit_quota`` (anchored); state is (count, window start) per group."""
-    width = window * 1_000_000
-
-    def admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, start = state.get if state.exists else (0, None)
-        rows = _sorted(batches, ["__ts", "seq"])
-        admitted, starts, counts = [], [], []
-        for ts, limit in zip(rows["__ts"].tolist(), rows["max_per_minute"].tolist()):
-            if start is None or ts - start >= width:
-                start, count = ts, 0
-            allow = count < limit
-            count += allow
-            admitted.append(allow)
-            starts.append(start)
-            counts.append(count)
-        state.update((int(count), int(start)))
-        yield rows.assign(admitted=admitted, __start=starts, window_count=counts)
-
-    stamped = requests.withColumn("__ts", F.unix_micros("ts"))
-    schema = T.StructType(
-        stamped.schema.fields
-        + [
-            T.StructField("admitted", T.BooleanType()),
-            T.StructField("__start", T.LongType()),
-            T.StructField("window_count", T.IntegerType()),
-        ]
-    )
-    bound = F.col("rate_limit_group").isNotNull() & F.col("max_per_minute").isNotNull()
-    limited = (
-        stamped.filter(bound)
-        .groupBy("rate_limit_group")
-        .applyInPandasWithState(admit, schema, "count int, start bigint", "append", GroupStateTimeout.NoTimeout)
-    )
-    free = stamped.filter(~bound).withColumns(
-        {
-            "admitted": F.lit(True),
-            "__start": F.lit(None).cast("bigint"),
-            "window_count": F.lit(None).cast("int"),
-        }
-    )
-    return (
-        limited.unionByName(free)
-        .withColumn("window_start", F.timestamp_micros("__start"))
-        .select(*requests.columns, "admitted", "window_start", "window_count")
-    )
+from pyspark.sql.streaming import DataStreamWriter
 
+from joblog.operators.dedupe import active_keys, dedupe_in_flight
+from joblog.operators.outcomes import deadline_micros, match_results, orphan_results, timed_out
+from joblog.operators.quota import GROUP, WINDOW_SECONDS, admit_quota
+from joblog.operators.tasks import quota_bound
+from joblog.plans.ordered import pick_per
+from joblog.sources.versions import list_dirs, remove_dir
 
-_OUTCOME = T.StructType(
-    [
-        T.StructField("kind", T.StringType()),
-        T.StructField("task_id", T.StringType()),
-        T.StructField("exec_id", T.LongType()),
-        T.StructField("result_id", T.LongType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("error", T.StringType()),
-    ]
-)
-# The pending execution (null when none), and the executions whose limit still runs.
-_PENDING = "exec_id bigint, exec_ts bigint, deadline bigint, ids array<bigint>, starts array<bigint>, ends array<bigint>"
-
-
-def _track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.exists:
-        exec_id, exec_ts, deadline, *running = state.get
-        running = list(zip(*(list(part or []) for part in running)))
-    else:
-        exec_id, exec_ts, deadline, running = None, None, None, []
-    out = []
-    if not state.hasTimedOut:
-        rows = _sorted(batches, ["ts", "kind", "id"])
-        columns = [rows[c].tolist() for c in ("ts", "kind", "id", "deadline", "status", "error_msg")]
-        for ts, kind, number, ends, status, message in zip(*columns):
-            if kind == 0:
-                exec_id, exec_ts = number, ts
-                deadline = None if pd.isna(ends) else int(ends)
-                if deadline is not None:
-                    running.append((number, ts, deadline))
-                continue
-            in_time = exec_id is not None and (deadline is None or ts <= deadline)
-            if in_time:
-                failed = None if status == "success" else message if isinstance(message, str) else "Unknown error"
-                out.append(("matched", key[0], exec_id, number, status, failed))
-            else:
-                text = f"Received result for unknown/expired task_id {key[0]}"
-                out.append(("orphan", key[0], None, number, status, text))
-            exec_id = exec_ts = deadline = None
-            # Any result inside an execution's limit keeps that one from timing out.
-            running = [r for r in running if ts > r[2]]
-    # Nothing at or before the watermark can still arrive.
-    watermark = state.getCurrentWatermarkMs()
-    for number, start, end in [r for r in running if r[2] // 1000 + 1 < watermark]:
-        seconds = (end - start) // 1_000_000
-        out.append(("timeout", key[0], number, None, None, f"Task execution timed out after {seconds} seconds"))
-    running = [r for r in running if r[2] // 1000 + 1 >= watermark]
-    if deadline is not None and deadline // 1000 + 1 < watermark:
-        exec_id = exec_ts = deadline = None
-    if exec_id is None and not running:
-        if state.exists:
-            state.remove()
-    else:
-        ids, starts, ends = ([int(r[i]) for r in running] for i in range(3))
-        state.update((exec_id, exec_ts, deadline, ids, starts, ends))
-        if running:
-            state.setTimeoutTimestamp(max(min(ends) // 1000 + 1, watermark + 1))
-    if out:
-        frame = pd.DataFrame(out, columns=_OUTCOME.names)
-        yield frame.astype({"exec_id": "Int64", "result_id": "Int64"})
-
-
-def stream_timeouts(executions: DataFrame, results: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """Executions and results as they come: rows of ``kind`` matched, orphan or timeout.
+_BATCH = "batch="
+# Step: (batch, state) to (output, function from the written output to the next state).
+Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, Callable[[DataFrame], DataFrame]]]
+
+
+def _numbered(spark: SparkSession, folder: str) -> list[int]:
+    return [int(n.removeprefix(_BATCH)) for n in list_dirs(spark, folder, _BATCH)]
+
+
+def _state_before(spark: SparkSession, root: str, batch_id: int | None, schema: str) -> DataFrame:
+    earlier = [n for n in _numbered(spark, f"{root}/state") if batch_id is None or n < batch_id]
+    if not earlier:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{root}/state/{_BATCH}{earlier[-1]:012d}")
+
+
+def _folded(stream: DataFrame, root: str, schema: str, step: Step) -> DataStreamWriter:
+    def one(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        try:
+            out, after = step(batch, _state_before(spark, root, batch_id, schema))
+            place = f"{root}/out/{_BATCH}{batch_id:012d}"
+            out.write.mode("overwrite").parquet(place)
+            written = spark.read.schema(out.schema).parquet(place)
+            after(written).write.mode("overwrite").parquet(f"{root}/state/{_BATCH}{batch_id:012d}")
+        finally:
+            batch.unpersist()
+        for number in _numbered(spark, f"{root}/state")[:-2]:
+            remove_dir(spark, f"{root}/state/{_BATCH}{number:012d}")
 
-    A timeout is reported once the watermark has passed the execution's limit.
-    ``delay`` is how far out of order the inputs may be; Spark drops rows that
-    come later than that.
+    return stream.writeStream.foreachBatch(one)
+
+
+def read_decided(spark: SparkSession, root: str) -> DataFrame:
+    """The output of all finished batches."""
+    paths = [f"{root}/out/{_BATCH}{n:012d}" for n in _numbered(spark, f"{root}/out")]
+    if not paths:
+        raise ValueError(f"no finished batch in {root}")
+    return spark.read.parquet(*paths)
+
+
+def stream_dedupe(events: DataFrame, root: str) -> DataStreamWriter:
+    """``dedupe_in_flight`` on a stream of (seq, payload_key, kind): in arrival order, by ``seq`` inside a batch."""
+
+    def step(batch: DataFrame, active: DataFrame):
+        def after(_: DataFrame) -> DataFrame:
+            touched = batch.select("payload_key").distinct()
+            return active_keys(batch).unionByName(active.join(touched, "payload_key", "left_anti"))
+
+        return dedupe_in_flight(batch, active), after
+
+    return _folded(events, root, "payload_key string", step)
+
+
+def stream_quota(requests: DataFrame, root: str, window: int = WINDOW_SECONDS) -> DataStreamWriter:
+    """``admit_quota`` (anchored) on a stream: in arrival order, by (ts, seq) inside a batch.
+
+    A request older than its group's window counts in that window, as it would
+    on arrival; it cannot reopen what is past.
     """
+
+    def step(batch: DataFrame, windows: DataFrame):
+        begun = windows.select(GROUP, F.col("window_start").alias("__begun"))
+        standing = batch.join(begun, GROUP, "left").withColumn("__arrived", F.col("ts"))
+        standing = standing.withColumn("ts", F.greatest("ts", "__begun")).drop("__begun")
+        told = admit_quota(standing, window, windows=windows)
+        out = told.withColumn("ts", F.col("__arrived")).select(*batch.columns, "admitted", "window_start", "window_count")
+
+        def after(written: DataFrame) -> DataFrame:
+            # Counts only grow inside a window, and windows only follow each other.
+            last = quota_bound(written).groupBy(GROUP).agg(F.max(F.struct("window_start", "window_count")).alias("__last"))
+            moved = last.select(GROUP, F.col("__last.window_count").alias("count"), F.col("__last.window_start").alias("window_start"))
+            return moved.unionByName(windows.join(moved, GROUP, "left_anti"))
+
+        return out, after
+
+    return _folded(requests, root, f"{GROUP} string, count int, window_start timestamp", step)
+
+
+_EVENT = "role string, task_id string, ts timestamp, id bigint, max_execution_seconds bigint, webhook_url string, status string, error_msg string"
+_OUTCOME = ("kind", "task_id", "exec_id", "result_id", "status", "error")
+
+
+def _events(executions: DataFrame, results: DataFrame) -> DataFrame:
+    url = F.col("webhook_url") if "webhook_url" in executions.columns else F.lit(None).cast("string")
+    none = F.lit(None)
     starts = executions.select(
-        "task_id", F.col("exec_ts").alias("ts"), F.lit(0).alias("kind"), F.col("exec_id").alias("id"),
-        deadline_micros(executions).alias("deadline"),
-        F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("error_msg"),
+        F.lit("execution").alias("role"), "task_id", F.col("exec_ts").alias("ts"), F.col("exec_id").cast("bigint").alias("id"),
+        F.col("max_execution_seconds").cast("bigint").alias("max_execution_seconds"), url.alias("webhook_url"),
+        none.cast("string").alias("status"), none.cast("string").alias("error_msg"),
     )
     ends = results.select(
-        "task_id", F.col("result_ts").alias("ts"), F.lit(1).alias("kind"), F.col("result_id").alias("id"),
-        F.lit(None).cast("bigint").alias("deadline"), "status", "error_msg",
+        F.lit("result").alias("role"), "task_id", F.col("result_ts").alias("ts"), F.col("result_id").cast("bigint").alias("id"),
+        none.cast("bigint").alias("max_execution_seconds"), none.cast("string").alias("webhook_url"), "status", "error_msg",
     )
-    events = starts.unionByName(ends).withColumnRenamed("ts", "event_time").withWatermark("event_time", delay)
-    return (
-        events.withColumn("ts", F.unix_micros("event_time"))
-        .groupBy("task_id")
-        .applyInPandasWithState(_track, _OUTCOME, _PENDING, "append", GroupStateTimeout.EventTimeTimeout)
+    return starts.unionByName(ends)
+
+
+def _split(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    starts = events.filter("role = 'execution'").select("task_id", F.col("ts").alias("exec_ts"), F.col("id").alias("exec_id"), "max_execution_seconds", "webhook_url")
+    ends = events.filter("role = 'result'").select("task_id", F.col("ts").alias("result_ts"), F.col("id").alias("result_id"), "status", "error_msg")
+    return starts, ends
+
+
+def _decided(ready: DataFrame, cutoff) -> DataFrame:
+    """Matched results, orphans, and limits that have passed by ``cutoff``."""
+    starts, ends = _split(ready)
+    failed = F.when(F.col("status") != "success", F.coalesce("error_msg", F.lit("Unknown error")))
+    none = F.lit(None)
+    matched = match_results(starts, ends).select(F.lit("matched").alias("kind"), "task_id", "exec_id", "result_id", "status", failed.alias("error"))
+    orphans = orphan_results(starts, ends).select(
+        F.lit("orphan").alias("kind"), "task_id", none.cast("bigint").alias("exec_id"), "result_id", "status", F.col("message").alias("error")
+    )
+    late = timed_out(starts, ends, as_of=cutoff).select(
+        F.lit("timeout").alias("kind"), "task_id", "exec_id", none.cast("bigint").alias("result_id"), none.cast("string").alias("status"), "error"
     )
+    return matched.unionByName(orphans).unionByName(late).select(*_OUTCOME)
+
+
+def _open_after(ready: DataFrame, cutoff) -> DataFrame:
+    """Executions that later rows may still concern: the pending one of each task, and those whose limit still runs."""
+    starts, ends = _split(ready)
+    last = pick_per(ready, ["task_id"], ["ts", "role", "id"]).filter("role = 'execution'")
+    passed = F.coalesce(deadline_micros(last.withColumnRenamed("ts", "exec_ts")) < F.unix_micros(cutoff), F.lit(False))
+    pending = last.withColumnRenamed("ts", "exec_ts").filter(~passed).select("id")
+    running = timed_out(starts, ends).filter(F.col("deadline") >= cutoff).select(F.col("exec_id").alias("id"))
+    keep = pending.unionByName(running).distinct()
+    return ready.filter("role = 'execution'").join(keep, "id", "left_semi").select(*ready.columns)
+
+
+def stream_timeouts(executions: DataFrame, results: DataFrame, root: str, delay_seconds: int = 0) -> DataStreamWriter:
+    """Executions and results as they come: rows of ``kind`` matched, orphan or timeout.
+
+    Rows wait until an event ``delay_seconds`` later has been seen, so inputs out
+    of order by up to that are decided as ``match_results``, ``orphan_results``
+    and ``timed_out`` decide them. Rows that come later still are decided when
+    they come: such a result is an orphan unless its execution is still open.
+    Every result is in exactly one output.
+    """
+
+    def step(batch: DataFrame, state: DataFrame):
+        newest = F.max("ts")
+        pool = state.filter("role in ('held_execution', 'held_result')").withColumn("role", F.regexp_replace("role", "held_", "")).unionByName(batch)
+        clock = state.filter("role = 'clock'").select("ts").unionByName(batch.select("ts")).agg(newest).first()[0]
+        cutoff = F.timestamp_micros(F.unix_micros(F.lit(clock).cast("timestamp")) - delay_seconds * 1_000_000)
+        opened = state.filter("role = 'execution'")
+        ready = opened.unionByName(pool.filter(F.col("ts") <= cutoff))
+
+        def after(_: DataFrame) -> DataFrame:
+            held = pool.filter(F.col("ts") > cutoff).withColumn("role", F.concat(F.lit("held_"), "role"))
+            tick = batch.sparkSession.range(1).select(F.lit("clock").alias("role"), F.lit(clock).cast("timestamp").alias("ts"))
+            return _open_after(ready, cutoff).unionByName(held).unionByName(tick, allowMissingColumns=True)
+
+        return _decided(ready, cutoff), after
+
+    return _folded(_events(executions, results), root, _EVENT, step)
+
+
+def held_outcomes(spark: SparkSession, root: str) -> DataFrame:
+    """What the rows that still wait decide as of the last event seen; for the end of a stream."""
+    state = _state_before(spark, root, None, _EVENT)
+    clock = state.filter("role = 'clock'").agg(F.max("ts")).first()[0]
+    rows = state.filter("role <> 'clock'").withColumn("role", F.regexp_replace("role", "held_", ""))
+    return _decided(rows, F.lit(clock).cast("timestamp"))
 
 
 def stream_orphans(tracked: DataFrame) -> DataFrame:

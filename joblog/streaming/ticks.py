@@ -28,13 +28,15 @@ def stream_due(
     checkpoint: str,
     load_in_flight: Callable[[], DataFrame] | None = None,
     interval: str = TICK,
+    clock: DataFrame | None = None,
 ) -> DataStreamWriter:
     """Writer that evaluates the tick again and again, delayed and deferred rows included.
 
     A ``rate`` source is the clock: a file stream fires no batch without new
     files, so rows would not come due. ``on_tick`` gets the decided rows, the
     tick's time and its batch number, by which it should make its writes
-    idempotent.
+    idempotent. Another ``clock`` is a stream with a ``timestamp``; its triggers
+    are the caller's.
     """
 
     def tick(clock: DataFrame, batch_id: int) -> None:
@@ -45,6 +47,8 @@ def stream_due(
         in_flight = load_in_flight() if load_in_flight else None
         on_tick(due_batch(load_state(), load_windows(), instant(as_of), in_flight), now, batch_id)
 
+    if clock is not None:
+        return clock.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint)
     clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return clock.writeStream.foreachBatch(tick).trigger(processingTime=interval).option(
         "checkpointLocation", checkpoint

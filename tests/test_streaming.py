@@ -20,7 +20,7 @@ def test_quota_windows_survive_restarts(spark):
     rows += [(1000, T0 + dt.timedelta(seconds=1), None, 1)]
     df = spark.createDataFrame(rows, "seq bigint, ts timestamp, rate_limit_group string, max_per_minute int")
     replay = Replay(df.filter("seq < 1000"), "seq")
-    got = replay.appended(streaming.stream_quota(replay.stream))
+    got = streaming.read_decided(spark, replay.decided(lambda root: streaming.stream_quota(replay.stream, root)))
     expected = quota.admit_quota(df.filter("seq < 1000"))
     assert sorted(got.collect()) == sorted(expected.collect())
 
@@ -75,7 +75,7 @@ def test_timeouts_fire_once_and_nothing_else_does(spark):
         return executions, results.drop("max_execution_seconds")
 
     replay = Replay(df, "id")
-    rows = replay.appended(streaming.stream_timeouts(*split(replay.stream))).collect()
+    rows = streaming.read_decided(spark, replay.decided(lambda root: streaming.stream_timeouts(*split(replay.stream), root))).collect()
     got = sorted((r.kind, r.exec_id, r.result_id) for r in rows if r.kind == "matched")
     assert got == [("matched", 0, 1), ("matched", 6, 7), ("matched", 8, 9)]
     assert sorted(r.result_id for r in rows if r.kind == "orphan") == [3, 10, 90]
@@ -84,6 +84,73 @@ def test_timeouts_fire_once_and_nothing_else_does(spark):
     assert batch == {2, 4}
 
 
+def feed(spark, tmp_path, pieces, schema, make):
+    """Run ``make(stream, root)`` piece by piece, as restarts of one stream; returns its root."""
+    folder, root = str(tmp_path / "in"), str(tmp_path / "root")
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    for i, rows in enumerate(pieces):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = own.readStream.schema(spark.createDataFrame([], schema).schema).parquet(folder)
+        make(stream, root).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start().awaitTermination()
+    return root
+
+
+def test_late_rows_are_never_lost(spark, tmp_path):
+    schema = "role string, task_id string, ts timestamp, id bigint, max_execution_seconds bigint, status string, error_msg string"
+    start = lambda i, t, s, n: ("e", t, seconds(s), i, n, None, None)
+    end = lambda i, t, s: ("r", t, seconds(s), i, None, "success", None)
+    pieces = [
+        [start(1, "a", 0, 10), start(2, "b", 290, 100), end(3, "z", 300)],
+        [end(4, "a", 5), end(5, "z", 2), start(6, "c", 1, None), end(7, "b", 299)],
+        [end(8, "c", 1), start(9, "b", 400, 5), end(10, "b", 500)],
+    ]
+
+    def split(frame):
+        executions = frame.filter("role = 'e'").withColumnsRenamed({"id": "exec_id", "ts": "exec_ts"})
+        return executions, frame.filter("role = 'r'").withColumnsRenamed({"id": "result_id", "ts": "result_ts"}).drop("max_execution_seconds")
+
+    for delay, kinds in (
+        (1000, {4: "matched", 3: "orphan", 5: "orphan", 7: "matched", 8: "matched", 10: "orphan", -9: "timeout"}),
+        (0, {4: "orphan", 3: "orphan", 5: "orphan", 7: "matched", 8: "matched", 10: "orphan", -1: "timeout", -9: "timeout"}),
+    ):
+        place = tmp_path / str(delay)
+        place.mkdir()
+        root = feed(spark, place, pieces, schema, lambda s, r, d=delay: streaming.stream_timeouts(*split(s), r, d))
+        rows = streaming.read_decided(spark, root).unionByName(streaming.held_outcomes(spark, root)).collect()
+        assert len(rows) == len(kinds)
+        assert {r.result_id or -r.exec_id: r.kind for r in rows} == kinds
+
+
+def test_late_requests_count_in_the_window_that_stands(spark, tmp_path):
+    schema = "seq bigint, ts timestamp, rate_limit_group string, max_per_minute int"
+    pieces = [[(1, seconds(100), "g", 2)], [(2, seconds(10), "g", 2), (3, seconds(101), "g", 2), (4, seconds(5), "h", 1)], [(5, seconds(161), "g", 2), (6, seconds(6), "h", 1)]]
+    root = feed(spark, tmp_path, pieces, schema, streaming.stream_quota)
+    got = {r.seq: (r.ts, r.admitted) for r in streaming.read_decided(spark, root).collect()}
+    assert got == {1: (seconds(100), True), 2: (seconds(10), True), 3: (seconds(101), False), 4: (seconds(5), True), 5: (seconds(161), True), 6: (seconds(6), False)}
+
+
+def test_dedupe_state_survives_restarts_and_replays(spark, tmp_path):
+    schema = "seq bigint, payload_key string, kind string"
+    pieces = [[(1, "k", "enqueue"), (2, "j", "enqueue"), (3, None, "enqueue")], [(4, "k", "enqueue"), (5, "j", "done"), (6, "j", "enqueue")], [(7, "k", "done")], [(8, "k", "enqueue"), (9, "j", "enqueue")]]
+    root = feed(spark, tmp_path, pieces, schema, streaming.stream_dedupe)
+    got = {r.seq: r.accepted for r in streaming.read_decided(spark, root).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False, 6: True, 8: True, 9: False}
+
+
+def test_compaction_recovers_from_a_crash_and_cleans_up(spark, tmp_path):
+    root = str(tmp_path / "latest")
+    for batch, rows in enumerate([[(1, "a", None), (2, "b", None)], [(3, "a", T0)], [(4, "c", None)]]):
+        spark.createDataFrame(rows, "seq bigint, task_id string, deleted_at timestamp").write.parquet(f"{root}/batch={batch:012d}")
+    (tmp_path / "latest" / "upto=000000000002").mkdir()  # a write that never finished
+    (tmp_path / "latest" / "upto=000000000002" / "part-0").write_text("half")
+    path = streaming.compact_latest(spark, root)
+    assert {r.task_id for r in streaming.read_latest(spark, root).collect()} == {"b", "c"}
+    assert streaming.remove_merged(spark, root, T0) == 0
+    assert streaming.remove_merged(spark, root, dt.datetime(2100, 1, 1)) == 3
+    assert path.endswith("upto=000000000002") and {r.task_id for r in streaming.read_latest(spark, root).collect()} == {"b", "c"}
+
+
 def test_clock_brings_delayed_rows_due(spark, tmp_path):
     now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     rows = [("past", now - dt.timedelta(seconds=60)), ("soon", now + dt.timedelta(seconds=4)), ("later", now + dt.timedelta(days=1))]
