@@ -36,7 +36,7 @@ def axes(vectors: np.ndarray, dims: int) -> np.ndarray:
     return found[:, ::-1][:, :dims]
 
 
-def interval_links(x: np.ndarray, p: np.ndarray, a: tuple[int, int], b: tuple[int, int], least: float, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def interval_links(x: np.ndarray, p: np.ndarray, a: tuple[int, int], b: tuple[int, int], least: float, eps: float, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links (i, j), i < j, between two intervals of the grid order, joined recursively.
 
     ``p`` are projections on orthonormal axes, so boxes of ``p`` that lie
@@ -50,7 +50,7 @@ def interval_links(x: np.ndarray, p: np.ndarray, a: tuple[int, int], b: tuple[in
         gap = np.maximum(0, np.maximum(p[bl:bh].min(axis=0) - p[al:ah].max(axis=0), p[al:ah].min(axis=0) - p[bl:bh].max(axis=0)))
         if (gap * gap).sum() > eps * eps:
             continue
-        if max(ah - al, bh - bl) <= BLOCK:
+        if max(ah - al, bh - bl) <= block:
             i, j = np.nonzero(x[al:ah] @ x[bl:bh].T >= least)
             i, j = i + al, j + bl
             yield i[i < j], j[i < j]
@@ -147,7 +147,7 @@ def grid_links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
     chunks = ordered_chunks(nodes, eps)
     pairs = stored(chunk_pairs(chunks, eps))
     sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("chunk"))
-    rows = chunks.join(sides, "chunk")
+    rows, block = chunks.join(sides, "chunk"), BLOCK
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["chunk", "k1", "k2"], kind="stable")
@@ -158,7 +158,7 @@ def grid_links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
         cut = int((rows["chunk"] == rows["a"].iat[0]).sum())
         first, second = (0, cut), (cut, len(rows)) if cut < len(rows) else (0, cut)
         links, i_all, j_all = np.zeros(len(rows), np.int64), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i, j in interval_links(x, p, first, second, cosine, eps):
+        for i, j in interval_links(x, p, first, second, cosine, eps, block):
             np.add.at(links, i, n[j])
             np.add.at(links, j, n[i])
             i_all.append(i)

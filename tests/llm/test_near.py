@@ -194,11 +194,18 @@ def test_line_dedup(spark, edges, small, monkeypatch, edits, block):
     rng = random.Random(9)
     base = "the quick brown fox jumps over dogs and some more"
     close = [(5000 + i, "\n".join(base[:k] + rng.choice("xyz") + base[k + rng.randint(0, 1) :] for k in rng.sample(range(len(base)), 3))) for i in range(25)]
-    for rows in (close, [(r.doc_id, r.text) for r in small.collect()]):
+    for rows in (close, [*close, *((d + 100, t.replace("fox", "é" * 3)) for d, t in close)], [(r.doc_id, r.text) for r in small.collect()]):
         frame = spark.createDataFrame(rows, "doc_id long, text string")
         assert Counter((r.doc_id, r.text) for r in lines.dedup_lines(frame, edits).collect()) == brute_lines(rows, edits)
 
 
+def test_a_full_sketch_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(lines, "SKETCH_BITS", 64)
+    rows = [(i, f"{'word ' * (8 + i % 9)}and {i // 2 % 7} more of them") for i in range(60)]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == brute_lines(rows, 1)
+
+
 def test_line_dedup_edges(edges, empty):
     rows = [(r.doc_id, r.text) for r in edges.collect()]
     rows = [(d, t) for d, t in rows]
