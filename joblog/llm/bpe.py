@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,9 +17,12 @@ from joblog.llm.common import small_batches
 
 # A chunk ends where CUT_BITS bits of the rolling hash of the last WINDOW bytes are zero: every 512 bytes or so.
 WINDOW, CUT_BITS, CUT_SHIFT = 16, 9, 24
-# Bytes of chunks, and number of words, that a task remembers before it starts afresh.
-CHUNK_MEMORY, WORD_MEMORY = 64 << 20, 500_000
+# Bytes of chunks, and numbers of words and of their parts, that a worker remembers before it starts afresh.
+CHUNK_MEMORY, WORD_MEMORY, PART_MEMORY = 8 << 20, 200_000, 200_000
 SPACE = b" \t\n\x0b\x0c\r"
+# The vocabulary's own split of a lower-case Latin-1 word into parts that no token spans (fixed pattern).
+LETTERS, NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\x09-\\x0d\\x20\\x85\\xa0{LETTERS}{NUMBERS}]+")
 
 
 def default_vocabulary() -> str:
@@ -60,6 +65,11 @@ def signature(h: np.ndarray) -> int:
     return int((found * np.uint64(0x9E3779B97F4A7C15)).min().view(np.int64)) if len(found) else 0
 
 
+def joined(found: list[tuple[int, str, str]]) -> tuple[int, str, str]:
+    found = [x for x in found if x[0]]
+    return sum([x[0] for x in found]), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+
+
 class Encoder:
     """Encodes and decodes texts exactly as the library does, each distinct chunk once.
 
@@ -77,25 +87,45 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.words: dict[bytes, tuple[int, str, str]] = {}
+        self.parts: dict[str, tuple[int, str, str]] = {}
         self.chunks: dict[bytes, tuple[bytes, tuple[int, str, str], bytes] | None] = {}
         self.held = 0
 
+    def part(self, piece: str) -> tuple[int, str, str]:
+        """(number of ids, ids joined, tokens joined) of text without a space, by the library."""
+        found = self.parts.get(piece)
+        if found is None:
+            if len(self.parts) >= PART_MEMORY:
+                self.parts.clear()
+            got = self.tokenizer.encode(piece, add_special_tokens=False)
+            found = len(got.ids), " ".join(map(str, got.ids)), self.tokenizer.decode(got.ids, skip_special_tokens=False)
+            if len(piece) <= 64:
+                self.parts[piece] = found
+        return found
+
     def word(self, piece: bytes) -> tuple[int, str, str]:
-        """(number of ids, ids joined, tokens joined) of bytes without a space."""
+        """The same for a word. Where the library would split it in any case, the parts are encoded on their own.
+
+        That holds for Latin-1 words: their characters don't compose, and lose
+        their case alike before or after the split. A word with ``<|`` may hold
+        a special token and stays whole.
+        """
         found = self.words.get(piece)
         if found is None:
+            if b"<|" in piece:
+                return self.part(piece.decode())
+            text = piece.decode()
+            parts = PARTS.findall(text.lower()) if text.isascii() or max(text) <= "\xff" else [text]
+            found = self.part(parts[0]) if len(parts) == 1 else joined([self.part(p) for p in parts])
             if len(self.words) >= WORD_MEMORY:
                 self.words.clear()
-            got = self.tokenizer.encode(piece.decode(), add_special_tokens=False)
-            found = len(got.ids), " ".join(map(str, got.ids)), self.tokenizer.decode(got.ids, skip_special_tokens=False)
-            if len(piece) <= 256:
+            if len(piece) <= 64:
                 self.words[piece] = found
         return found
 
     def run(self, pieces: Iterable[bytes]) -> tuple[int, str, str]:
         known, word = self.words.get, self.word
-        found = [x for p in pieces if (x := known(p) or word(p))[0]]
-        return sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+        return joined([known(p) or word(p) for p in pieces])
 
     def chunk(self, data: bytes) -> tuple[bytes, tuple[int, str, str], bytes] | None:
         """(bytes before the first space, what lies between, bytes after the last space); None without a space."""
@@ -133,8 +163,13 @@ class Encoder:
             start = end
         if open_word:
             out.append(self.word(open_word))
-        out = [x for x in out if x[0]]
-        return sum(x[0] for x in out), " ".join([x[1] for x in out]), " ".join([x[2] for x in out])
+        return joined(out)
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    return Encoder(path)
 
 
 def _buffers(column: pa.Array) -> list[bytes]:
@@ -174,9 +209,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, ids: bool = True) -> Data
     shape = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(vocabulary)
+            encoder = encoder_of(vocabulary)
             rows = []
             for data in _buffers(batch.column("text")):
                 rows.append(encoder.encode(data, cuts(rolling(np.frombuffer(data, np.uint8)))))

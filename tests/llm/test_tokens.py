@@ -38,7 +38,7 @@ def test_equal_to_the_library(name, request, library):
 def test_joins_anywhere_are_repaired(library):
     rng, encoder = random.Random(2), bpe.Encoder(PATH)
     for _ in range(300):
-        text = "".join(rng.choice(["the ", "don't", "é", "e\u0301", " ", "\n", "\u3000", "'", "12", "<|endoftext|>", "x", "Ünter", "--"]) for _ in range(rng.randint(0, 40)))
+        text = "".join(rng.choice(["the ", "don't", "é", "e\u0301", " ", "\n", "\u3000", "'", "12", "<|endoftext|>", "x", "Ünter", "--", "J\u030c", "K", "'RE", "A.", "é,", "\u0301.", "ſ", "µ²", "×÷ª", "\x85", "\xa0", "ÀÞ", "\x1c", "½"]) for _ in range(rng.randint(0, 40)))
         data = text.encode()
         ends = np.array(sorted(rng.sample(range(len(data) + 1), min(len(data), rng.randint(0, 9)))), np.int64)
         n, ids, decoded = encoder.encode(data, ends)
@@ -69,6 +69,7 @@ def test_each_chunk_is_encoded_once(monkeypatch):
 def test_memory_is_bounded(monkeypatch, library):
     monkeypatch.setattr(bpe, "CHUNK_MEMORY", 64)
     monkeypatch.setattr(bpe, "WORD_MEMORY", 3)
+    monkeypatch.setattr(bpe, "PART_MEMORY", 2)
     encoder, text = bpe.Encoder(PATH), "a few more words than are remembered, over and over again a few"
     for _ in range(3):
         assert encoder.encode(text.encode(), np.arange(10, 60, 10))[1] == " ".join(map(str, library.encode(text, add_special_tokens=False).ids))
