@@ -12,6 +12,7 @@ import datetime as dt
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -143,24 +144,28 @@ def _next_tick_micros(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterato
     parsed: dict[str, dict | None] = {}
     answers: dict[tuple[str, int], int | None] = {}
     for expressions, afters in batches:
-        out = []
-        for expression, after in zip(expressions, afters):
-            if expression is None or pd.isna(after):
-                out.append(None)
+        # Only the distinct (expression, time) pairs of a batch are worked out; rows take theirs by code.
+        texts, text_of = pd.factorize(expressions)
+        times, time_of = pd.factorize(afters)
+        known = (texts >= 0) & (times >= 0)
+        codes, pairs = pd.factorize(np.where(known, texts.astype(np.int64) * max(len(time_of), 1) + times, -1))
+        ticks = np.empty(len(pairs), dtype=object)
+        for i, pair in enumerate(pairs.tolist()):
+            if pair < 0:
                 continue
-            key = (expression, int(after))
+            key = (text_of[pair // len(time_of)], int(time_of[pair % len(time_of)]))
             if key not in answers:
                 if len(answers) > 100_000:
                     answers.clear()
                 if len(parsed) > 100_000:
                     parsed.clear()
-                if expression not in parsed:
-                    parsed[expression] = parse_cron(expression)
-                fields = parsed[expression]
+                if key[0] not in parsed:
+                    parsed[key[0]] = parse_cron(key[0])
+                fields = parsed[key[0]]
                 tick = fields and next_tick(fields, _EPOCH + dt.timedelta(microseconds=key[1]))
                 answers[key] = (tick - _EPOCH) // _MICRO if tick else None
-            out.append(answers[key])
-        yield pd.Series(out, dtype="object")
+            ticks[i] = answers[key]
+        yield pd.Series(ticks[codes] if len(codes) else [], dtype="object")
 
 
 def next_tick_column(expression: Column, after: Column) -> Column:

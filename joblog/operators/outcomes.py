@@ -36,7 +36,8 @@ def _limit(executions: DataFrame) -> Column:
 def deadline_micros(executions: DataFrame) -> Column:
     """Microsecond at which an execution's limit ends, null when it has none."""
     # Beyond 100,000 years the addition would overflow; the deadline stays there.
-    seconds = F.least(_limit(executions), F.lit(4_000_000_000_000))
+    limit = _limit(executions)
+    seconds = F.when(limit.isNotNull(), F.least(limit, F.lit(4_000_000_000_000)))
     return F.unix_micros("exec_ts") + seconds * 1_000_000
 
 

@@ -23,8 +23,7 @@ from pyspark.sql import types as T
 from joblog.operators.dispatch import priority_keys
 from joblog.operators.dedupe import BEFORE
 from joblog.operators.tasks import instant, plus_seconds, quota_bound
-from joblog.plans.ordered import CHUNK, HOT, HOT_ROWS, cut, floor_div, hot_keys
-from joblog.plans.ranking import rank_in_group
+from joblog.plans.ordered import CHUNK, HOT, HOT_ROWS, cut, floor_div, hot_keys, number_rows, time_chunk
 from joblog.plans.runs import key_runs
 
 # Length of a quota window and of the deferral after a denial.
@@ -496,13 +495,16 @@ def rate_window_state(requests: DataFrame, window: int = WINDOW_SECONDS, windows
     )
 
 
+# Parts in which a group's rows are struck out before they meet.
+SALTS = 16
 _TURN = ["task_id", GROUP, LIMIT, "urgency_score", "execute_at"]
 
 
-def _due_fold(names: list[str]):
+def _due_fold(names: list[str], parts: tuple[str, ...] = ()):
     """Keep the rows that are admitted when each group's rows are taken in order.
 
     A row with ``__used`` set is the group's saved count, and comes first.
+    With ``parts``, each part of a group counts alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -510,7 +512,7 @@ def _due_fold(names: list[str]):
         for batch in batches:
             keep = []
             limits, used = _numbers(batch, LIMIT, _NONE), _numbers(batch, "__used", _NONE)
-            for (run_group,), first, stop in key_runs(batch, [GROUP]):
+            for run_group, first, stop in key_runs(batch, [GROUP, *parts]):
                 if run_group != group:
                     group, count = run_group, 0
                 for i in range(first, stop):
@@ -532,9 +534,10 @@ def admit_due(due: DataFrame, windows: DataFrame, as_of, window: int = WINDOW_SE
     ``windows`` is the saved (group, count, window_start) state. A row that is
     denied among part of its group's rows is denied among all of them (a count
     never shrinks when rows are added), so each task first strikes out what it
-    can on its own rows. What is left - at most the limit per group and input
-    task - meets in one task per group. Only the columns that decide take this
-    way; the admitted ids then mark the due rows, whose ids are unique.
+    can on its own rows, and then each of SALTS parts of a group on what is
+    left. At most the limit per group and part meets in one task per group.
+    Only the columns that decide take this way; the admitted ids then mark the
+    limited rows, whose ids are unique. Other rows pass by.
     """
     turns = quota_bound(due).select(*_TURN)
     order = [F.col(GROUP), F.col("__used").desc_nulls_last(), *priority_keys()]
@@ -543,6 +546,10 @@ def admit_due(due: DataFrame, windows: DataFrame, as_of, window: int = WINDOW_SE
         turns.withColumn("__used", F.lit(None).cast("int"))
         .sortWithinPartitions(*order)
         .mapInArrow(_due_fold(schema.names), schema)
+        .withColumn("__salt", F.pmod(F.xxhash64("task_id"), F.lit(SALTS)))
+        .repartition(GROUP, "__salt")
+        .sortWithinPartitions(GROUP, "__salt", *order[1:])
+        .mapInArrow(_due_fold(schema.names, ("__salt",)), schema)
     )
     fresh = F.unix_micros(instant(as_of)) - F.unix_micros("window_start") < window * 1_000_000
     used = windows.filter(fresh).select(GROUP, F.col("count").cast("int").alias("__used"))
@@ -554,9 +561,9 @@ def admit_due(due: DataFrame, windows: DataFrame, as_of, window: int = WINDOW_SE
         .withColumn("__admitted", F.lit(True))
     )
     limited = F.col(GROUP).isNotNull() & F.col(LIMIT).isNotNull()
-    return due.join(admitted, "task_id", "left").select(
-        *due.columns, F.coalesce(F.col("__admitted"), ~limited).alias("admitted")
-    )
+    marked = quota_bound(due).join(admitted, "task_id", "left")
+    told = marked.select(*due.columns, F.coalesce("__admitted", F.lit(False)).alias("admitted"))
+    return told.unionByName(due.filter(~limited).withColumn("admitted", F.lit(True)))
 
 
 def defer_denied(denied: DataFrame, as_of) -> DataFrame:
@@ -564,20 +571,24 @@ def defer_denied(denied: DataFrame, as_of) -> DataFrame:
     return denied.withColumn("retry_after_time", plus_seconds(instant(as_of), DEFERRAL_SECONDS))
 
 
-def pace_backlog(backlog: DataFrame, as_of, window: int = WINDOW_SECONDS) -> DataFrame:
+def pace_backlog(backlog: DataFrame, as_of, window: int = WINDOW_SECONDS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``slot`` and ``planned_time``: when a backlog with one limit per group gets its turn.
 
-    Rank within the group by priority, ``limit`` rows per window. No limit
-    above zero means no turn (null). Only the columns that decide are ranked;
-    ids are unique.
+    Rank within the group by priority, ``limit`` rows per window. A limit of
+    zero or less means no turn (null); rows without a group or a limit have
+    their turn at once (slot 0, no rank). A hot group is cut by urgency and
+    minute, which rise with the order, so no task sorts a whole group.
     """
-    bound = quota_bound(backlog)
-    ranked = rank_in_group(bound.select(*_TURN), GROUP, priority_keys(), "queue_rank").select("task_id", "queue_rank")
+    limited = F.col(GROUP).isNotNull() & F.col(LIMIT).isNotNull()
+    bound = quota_bound(backlog).withColumn("__less", -F.coalesce(F.col("urgency_score"), F.lit(0.0)))
+    chunk = F.struct(F.col("__less"), time_chunk("execute_at").alias("minute"))
+    ranked = number_rows(bound, [GROUP], ["__less", "execute_at", "task_id"], chunk, "queue_rank", hot_rows=hot_rows, rest=F.lit(None)).drop("__less")
+    free = backlog.filter(~limited).withColumn("queue_rank", F.lit(None).cast("bigint"))
     limit = F.col(LIMIT).cast("bigint")
     turn = F.call_function("div", F.col("queue_rank") - 1, F.greatest(limit, F.lit(1).cast("bigint")))
     return (
-        bound.join(ranked, "task_id")
-        .withColumn("slot", F.when(limit > 0, turn))
+        ranked.unionByName(free)
+        .withColumn("slot", F.when(~limited, F.lit(0).cast("bigint")).when(limit > 0, turn))
         .withColumn("planned_time", plus_seconds(instant(as_of), F.col("slot") * window))
         .select(*backlog.columns, "queue_rank", "slot", "planned_time")
     )

@@ -419,7 +419,8 @@ FROM numbered WINDOW w AS (PARTITION BY task_id ORDER BY no ROWS BETWEEN UNBOUND
     o["pace_backlog"] = _sql(
         f"""SELECT {TASK}, place AS queue_rank, CASE WHEN max_per_minute > 0 THEN (place - 1) // max_per_minute END AS slot,
   CASE WHEN max_per_minute > 0 THEN epoch_us(TIMESTAMP '{TASK_AS_OF}') + ((place - 1) // max_per_minute) * 60000000 END AS planned_time
-FROM ranked WHERE rate_limit_group IS NOT NULL AND max_per_minute IS NOT NULL""",
+FROM ranked WHERE rate_limit_group IS NOT NULL AND max_per_minute IS NOT NULL
+UNION ALL SELECT {TASK}, NULL, 0, epoch_us(TIMESTAMP '{TASK_AS_OF}') FROM ranked WHERE rate_limit_group IS NULL OR max_per_minute IS NULL""",
         "fx_tasks",
         steps=ADMITTED_DUE,
     )

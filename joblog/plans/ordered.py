@@ -67,10 +67,10 @@ def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) ->
     )
 
 
-def cut(rows: DataFrame, keys: Sequence[str], chunk: Column, hot: DataFrame) -> DataFrame:
-    """Add CHUNK (0 for ordinary keys) and HOT (null for ordinary keys); keys are not null."""
+def cut(rows: DataFrame, keys: Sequence[str], chunk: Column, hot: DataFrame, rest: Column | None = None) -> DataFrame:
+    """Add CHUNK (``rest``, else 0, for ordinary keys) and HOT (null for ordinary keys); keys are not null."""
     marked = rows.join(hot, list(keys), "left").select(*rows.columns, HOT)
-    return marked.withColumn(CHUNK, F.when(F.col(HOT), chunk).otherwise(F.lit(0)))
+    return marked.withColumn(CHUNK, F.when(F.col(HOT), chunk).otherwise(F.lit(0) if rest is None else rest))
 
 
 def stack(keyed: DataFrame, carried: DataFrame) -> DataFrame:
@@ -114,9 +114,13 @@ def number_rows(
     name: str,
     restart_after: str | None = None,
     hot_rows: int = HOT_ROWS,
+    rest: Column | None = None,
 ) -> DataFrame:
-    """Number the rows of each key from 1; start again after a ``restart_after`` row."""
-    keyed = cut(rows, keys, chunk, hot_keys(rows, keys, hot_rows))
+    """Number the rows of each key from 1; start again after a ``restart_after`` row.
+
+    ``chunk`` rises with ``order``; unless it is a number, ``rest`` is a value of its type.
+    """
+    keyed = cut(rows, keys, chunk, hot_keys(rows, keys, hot_rows), rest)
     hot = keyed.filter(HOT)
     across = Window.partitionBy(*keys).orderBy(CHUNK)
     if restart_after is None:

@@ -129,8 +129,11 @@ def test_pace_backlog(spark):
         ranks[group] = ranks.get(group, 0) + 1
         slot = (ranks[group] - 1) // limit if limit > 0 else None
         expected[task] = (ranks[group], slot, None if slot is None else at(60 * SECOND * slot))
-    got = {r.task_id: (r.queue_rank, r.slot, r.planned_time) for r in quota.pace_backlog(df, at(0)).collect()}
-    assert got == expected
+    free = spark.createDataFrame([("x", None, 5, None, at(0)), ("y", "g", None, 1.0, at(0))], df.schema)
+    expected |= {"x": (None, 0, at(0)), "y": (None, 0, at(0))}
+    for hot_rows in (20, 1_000_000):
+        paced = quota.pace_backlog(df.unionByName(free), at(0), hot_rows=hot_rows)
+        assert {r.task_id: (r.queue_rank, r.slot, r.planned_time) for r in paced.collect()} == expected
 
 
 def attempt_rows(rng: random.Random, tasks: int, n: int):
