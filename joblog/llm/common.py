@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,10 +42,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Column names of ``df`` that clash with none of ``names``."""
-    taken = {n.lower() for n in names}
-    return [c for c in df.columns if c.lower() not in taken]
+# Rows of a registry-like side, such as one row per source, that may be broadcast.
+BROADCAST_ROWS = 50_000
+
+
+def broadcast_checked(df: DataFrame) -> DataFrame:
+    """``df``, stored, and marked for broadcast if it has at most ``BROADCAST_ROWS`` rows.
+
+    Beyond that the join is shuffled, and a hot key is left to the adaptive skew join.
+    """
+    df = stored(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -97,3 +105,24 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sketch(keys: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of ``keys (k1)``, 64-bit hashes, in ``bits`` bits, however many keys there are.
+
+    Only words that have a bit come to the driver, ``bits`` / 64 at most. Many
+    keys fill it, and then it lets more pass; it never holds a key back.
+    """
+    places = F.array(F.col("k1").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("k1", 32).bitwiseAND(F.lit(bits - 1)))
+    words = keys.select(F.explode(places).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
+    found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return out
+
+
+def sketched(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each of ``keys`` (signed 64-bit) may be in the filter."""
+    mask = 64 * len(filled) - 1
+    a, b = keys & mask, (keys >> 32) & 0xFFFFFFFF & mask
+    return ((filled[a >> 6] >> (a & 63)) & (filled[b >> 6] >> (b & 63)) & 1).astype(bool)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from joblog.llm.common import stored, words
+from joblog.llm.common import broadcast_checked, let, stored, words
 
 BLOCK_WORDS = 32
 SHARD_WORDS = 1 << 16
@@ -93,7 +93,7 @@ def mixture(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
 
     dealt = (
         sized.withColumn("src", _key("source"))
-        .join(targets.select("src", "source_size", "target", "shards"), "src")
+        .join(broadcast_checked(targets.select("src", "source_size", "target", "shards")), "src")
         .withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards")))
     )
     lot = Window.partitionBy("src", "shard")
@@ -148,8 +148,9 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     here = F.filter("_spans", lambda s: s["times"] >= F.col("_pass"))
     each = each.withColumn("_here", here).withColumn("_n", F.aggregate("_here", F.lit(0).cast("long"), lambda a, s: a + s["to"] - s["from"]))
     parts = lambda w: F.flatten(F.transform("_here", lambda s: F.slice(w, (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int"))))
-    text = F.when(F.col("_n") == F.col("_size"), F.col("text")).otherwise(F.array_join(parts(F.col("_words")), " "))
-    each = each.withColumn("_words", words(F.col("text"))).withColumn("text", text)
+    # Bound, so that the words are split once and not for each span.
+    text = F.when(F.col("_n") == F.col("_size"), F.col("text")).otherwise(let(words(F.col("text")), lambda w: F.array_join(parts(w), " ")))
+    each = each.withColumn("text", text)
     if "n_chars" in docs.columns:
         each = each.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return each.select(*docs.columns)
