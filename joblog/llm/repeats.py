@@ -10,50 +10,73 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joblog.llm.bpe import rolling
-from joblog.llm.common import kept_table, small_batches
+from joblog.llm.bpe import GEAR
+from joblog.llm.common import kept_table, sketch, sketched, small_batches
 from joblog.llm.suffixes import Grouping
 
 LENGTH = 200
-GRAM = 16
+# Bytes of a gram, a power of two: long enough that texts rarely share one by chance.
+GRAM = 64
+# Odd, fixed: multipliers of the rolling hash and of its last mixing.
+MULTIPLIER, MIXER = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
+# Bits of the sketch of shared anchors: 16 MiB at any size of the input.
+SKETCH_BITS = 1 << 27
 # Segment texts of one anchor that are suffix-sorted together; anchors with more go by hashes of their windows.
 SORTED_CLASSES = 64
+# Neighbouring windows that are hashed as one where an anchor has many segments.
+STRETCH = 8
 # Bytes of segment texts that a task sorts at once.
 SORTED_BYTES = 1 << 20
 # Stands for a null doc_id inside the operator.
 NO_ID = -(1 << 63)
 
 
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the ``GRAM`` bytes from each place on, built by doubling; mixed, so that the least is any."""
+    h, width, power = GEAR[data], 1, MULTIPLIER
+    while width < GRAM:
+        h = h[:-width] * np.uint64(power) + h[width:]
+        width, power = 2 * width, power * power & (1 << 64) - 1
+    h = h * np.uint64(MIXER)
+    return h ^ (h >> np.uint64(29))
+
+
+def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """``pick`` (minimum or maximum) over each stretch of ``width`` values, by doubling."""
+    done = 1
+    while 2 * done <= width:
+        values = pick(values[:-done], values[done:])
+        done *= 2
+    rest = width - done
+    return pick(values[: len(values) - rest], values[rest:]) if rest else values
+
+
 def anchors(data: np.ndarray) -> np.ndarray:
-    """For each window of ``LENGTH`` bytes the least mixed hash of its ``GRAM``-byte grams."""
-    h = rolling(data)[GRAM - 1 :] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    span, width = LENGTH - GRAM + 1, 1
-    least = h
-    while 2 * width <= span:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    return np.minimum(least[: len(least) - (span - width)], least[span - width :]) if span > width else least
-
-
-def segments(data: bytes) -> Iterator[tuple[int, int, int, int, bool]]:
-    """(anchor, hash of the bytes, start, end, whether the anchor may occur twice) of the runs of windows with one anchor.
-
-    Equal windows have equal anchors, so a repeat meets under its anchor; a
-    segment that repeats one of its own windows has its anchor twice.
+    """For each window of ``LENGTH`` bytes the least hash of its grams; equal windows have equal anchors."""
+    return _sliding(gram_hashes(data), LENGTH - GRAM + 1, np.minimum)
+
+
+def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchors, starts, ends, twice) of the runs of windows with one anchor; texts of at least ``LENGTH`` bytes.
+
+    ``twice`` marks segments that may repeat one of their own windows: then
+    their anchor's gram occurs twice inside them. Such grams are neighbours among
+    the grams that are an anchor of some window.
     """
-    if len(data) < LENGTH:
-        return
-    raw = np.frombuffer(data, np.uint8)
-    least = anchors(raw)
+    hashes = gram_hashes(np.frombuffer(data, np.uint8))
+    span = LENGTH - GRAM + 1
+    least = _sliding(hashes, span, np.minimum)
     heads = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
     ends = np.append(heads[1:], len(least)) - 1 + LENGTH
-    grams = rolling(raw)[GRAM - 1 :] * np.uint64(0x9E3779B97F4A7C15)
-    grams ^= grams >> np.uint64(29)
-    values = least.view(np.int64)
-    for a, b in zip(heads.tolist(), ends.tolist(), strict=True):
-        twice = b - a > LENGTH and int(np.count_nonzero(grams[a : b - GRAM + 1] == least[a])) > 1
-        yield int(values[a]), xxhash.xxh64_intdigest(data[a:b]) - (1 << 63), a, b, twice
+    edge = np.zeros(span - 1, np.uint64)
+    at = np.flatnonzero(hashes == _sliding(np.concatenate([edge, least, edge]), span, np.maximum))
+    again = np.flatnonzero(hashes[at[1:]] == hashes[at[:-1]])
+    first, second = at[again], at[again + 1]
+    pair = np.searchsorted(first, heads)
+    twice = np.zeros(len(heads), bool)
+    found = pair < len(first)
+    twice[found] = second[pair[found]] <= ends[found] - GRAM
+    return least[heads].view(np.int64), heads, ends, twice
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -65,23 +88,52 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.crc32(text.cast("binary")).alias("c"), text.alias("text"))
 
 
-def all_segments(docs: DataFrame) -> DataFrame:
-    """Rows (anchor, hash, d, c, s, e, twice) of every segment of every text."""
+def anchor_counts(docs: DataFrame) -> DataFrame:
+    """Rows (anchor, n) of anchors with two segments or more, or one that may repeat a window of its own."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, found = [], []
-            for i, data in enumerate(_bytes(batch.column("text"))):
-                own = list(segments(data))
-                found += own
-                row += [i] * len(own)
-            columns = list(zip(*found, strict=True)) if found else [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
-            anchor, code, s, e, twice = (pa.array(list(c), t) for c, t in zip(columns, types, strict=True))
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([anchor, code, batch.column("d").take(at), batch.column("c").take(at), s, e, twice], ["anchor", "hash", "d", "c", "s", "e", "twice"])
+            found = [segments(data) for data in _bytes(batch.column("text"))]
+            own = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
+            n = np.concatenate([1 + f[3].astype(np.int64) for f in found]) if found else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], ["anchor", "n"])
+
+    counted = docs.filter(F.octet_length("text") >= LENGTH).select("text").mapInArrow(run, "anchor long, n long")
+    return counted.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1")
 
-    return docs.filter(F.octet_length("text") >= LENGTH).mapInArrow(run, "anchor long, hash long, d long, c long, s int, e int, twice boolean")
+
+def shared_segments(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """Rows (anchor, hash, d, c, s, e, twice) of the segments whose anchor is in ``shared (anchor)``.
+
+    A sketch of fixed size keeps most other segments from being shuffled; the
+    join decides.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(sketch(shared.select(F.col("anchor").alias("k1")), SKETCH_BITS))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, parts, codes = [], [], []
+            for i, data in enumerate(_bytes(batch.column("text"))):
+                own = segments(data)
+                some = sketched(held.value, own[0])
+                own = tuple(x[some] for x in own)
+                parts.append(own)
+                row.append(np.full(len(own[0]), i))
+                codes += [xxhash.xxh64_intdigest(data[a:b]) - (1 << 63) for a, b in zip(own[1].tolist(), own[2].tolist(), strict=True)]
+            if not parts:
+                continue
+            anchor, s, e, twice = (np.concatenate(x) for x in zip(*parts, strict=True))
+            at = pa.array(np.concatenate(row))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(anchor), pa.array(codes, pa.int64()), batch.column("d").take(at), batch.column("c").take(at),
+                    pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(twice),
+                ],
+                ["anchor", "hash", "d", "c", "s", "e", "twice"],
+            )
+
+    rows = docs.filter(F.octet_length("text") >= LENGTH).mapInArrow(run, "anchor long, hash long, d long, c long, s int, e int, twice boolean")
+    return rows.join(shared, "anchor")
 
 
 def equal_windows(text: np.ndarray, order: np.ndarray, valid: np.ndarray) -> np.ndarray:
@@ -170,24 +222,56 @@ def sorted_spans(cut: DataFrame) -> DataFrame:
     return rows.select("anchor", "target", "d", "c", "s", "bytes").mapInArrow(run, SPANS)
 
 
+def _wide_hash(data: bytes) -> tuple[int, int]:
+    w = xxhash.xxh3_128_intdigest(data)
+    return (w >> 64) - (1 << 63), (w & (1 << 64) - 1) - (1 << 63)
+
+
 def hashed_spans(cut: DataFrame) -> DataFrame:
-    """The same for anchors with many segments: windows are told apart by 128-bit hashes, counted before they are shuffled."""
+    """The same for anchors with many segments, by 128-bit hashes whose counts combine before the shuffle.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    First stretches of ``STRETCH`` neighbouring windows, laid out from the
+    anchor on, are compared as wholes: one that occurs again repeats in all its
+    windows. The windows of the others are then compared with each other and
+    with those of one copy of each repeated stretch.
+    """
+
+    def lay(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for anchor, target, d, c, s, data in zip(*(batch.column(n).to_pylist() for n in ("anchor", "target", "d", "c", "s", "bytes")), strict=True):
+                place = np.flatnonzero(gram_hashes(np.frombuffer(data, np.uint8)).view(np.int64) == anchor)
+                n, at = len(data) - LENGTH + 1, 0
+                phase = int(place[0]) % STRETCH if len(place) else 0
+                while at < n:
+                    end = min(n, at + ((phase - at) % STRETCH or STRETCH))
+                    piece = data[at : end + LENGTH - 1]
+                    rows.append((*_wide_hash(piece), target, d, c, s + at, piece))
+                    at = end
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, types, strict=True)], ["h1", "h2", "target", "d", "c", "s", "bytes"])
+
+    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for target, d, c, s, data in zip(*(batch.column(n).to_pylist() for n in ("target", "d", "c", "s", "bytes")), strict=True):
-                for i in range(len(data) - LENGTH + 1):
-                    w = xxhash.xxh3_128_intdigest(data[i : i + LENGTH])
-                    rows.append(((w >> 64) - (1 << 63), (w & (1 << 64) - 1) - (1 << 63), target, d, c, s + i))
+                rows += [(*_wide_hash(data[i : i + LENGTH]), target, d, c, s + i) for i in range(len(data) - LENGTH + 1)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, types, strict=True)], ["w1", "w2", "target", "d", "c", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, types, strict=True)], ["h1", "h2", "target", "d", "c", "s"])
 
-    windows = cut.select("target", "d", "c", "s", "bytes").mapInArrow(run, "w1 long, w2 long, target boolean, d long, c long, s int")
-    again = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1")
-    hit = windows.filter("target").join(again, ["w1", "w2"])
-    return hit.select("d", "c", "s", (F.col("s") + LENGTH).alias("e"))
+    place = F.struct("d", "c", "s")
+    names = ["anchor", "target", "d", "c", "s", "bytes"]
+    stretches = kept_table(cut.select(*names).mapInArrow(lay, "h1 long, h2 long, target boolean, d long, c long, s int, bytes binary"), "stretches")
+    tally = stretches.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    told = stretches.join(tally, ["h1", "h2"])
+    whole = told.filter("target and n > 1").select("d", "c", "s", (F.col("s") + F.octet_length("bytes")).alias("e"))
+    rest = told.filter((F.col("n") == 1) | (place == F.col("first"))).withColumn("target", F.col("target") & (F.col("n") == 1))
+    windows = rest.select("target", "d", "c", "s", "bytes").mapInArrow(split, "h1 long, h2 long, target boolean, d long, c long, s int")
+    again = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1")
+    hit = windows.filter("target").join(again, ["h1", "h2"])
+    return whole.unionByName(hit.select("d", "c", "s", (F.col("s") + LENGTH).alias("e")))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -200,17 +284,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     text of each: by a suffix array, or for anchors with over
     ``SORTED_CLASSES`` texts by window hashes that combine before the shuffle.
     """
-    found = all_segments(docs.select("d", "c", "text"))
-    weight = F.lit(1) + F.col("twice").cast("int")
-    shared = found.groupBy("anchor").agg(F.sum(weight).alias("n")).filter("n > 1").select("anchor")
-    met = kept_table(found.join(shared, "anchor"), "segments")
+    counts = kept_table(anchor_counts(docs), "anchors")
+    met = kept_table(shared_segments(docs.select("d", "c", "text"), counts.select("anchor")), "segments")
     place = F.struct("d", "c", "s", "e")
     classes = kept_table(met.groupBy("anchor", "hash").agg(F.count("*").alias("n"), F.min(place).alias("at"), F.max("twice").alias("twice")), "classes")
     whole = met.join(classes.filter("n > 1").select("anchor", "hash"), ["anchor", "hash"]).select("d", "c", "s", "e")
     tally = classes.groupBy("anchor").agg(F.count("*").alias("texts"), F.max((F.col("n") == 1) & ((F.col("twice")))).alias("own"), F.min("n").alias("least"))
     tally = tally.filter("least = 1 and (texts > 1 or own)").select("anchor", "texts")
     wanted = classes.join(tally, "anchor").select("anchor", "texts", (F.col("n") == 1).alias("target"), "at.*")
-    asked = wanted.groupBy("d", "c").agg(F.collect_list(F.struct("anchor", "texts", "target", "s", "e")).alias("asked"))
+    wanted = kept_table(wanted, "wanted")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,11 +304,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, types, strict=True)], ["anchor", "texts", "target", "d", "c", "s", "bytes"])
 
-    # Rows of equal id and text ask for the same bytes; one of them answers.
-    answering = docs.join(asked, ["d", "c"]).dropDuplicates(["d", "c"]).select("d", "c", "text", "asked")
-    pieces = answering.mapInArrow(cut, "anchor long, texts long, target boolean, d long, c long, s int, bytes binary")
-    small, large = F.col("texts") <= SORTED_CLASSES, F.col("texts") > SORTED_CLASSES
-    return whole.unionByName(sorted_spans(pieces.filter(small))).unionByName(hashed_spans(pieces.filter(large)))
+    def pieces(rows: DataFrame) -> DataFrame:
+        asked = rows.groupBy("d", "c").agg(F.collect_list(F.struct("anchor", "texts", "target", "s", "e")).alias("asked"))
+        # Rows of equal id and text ask for the same bytes; one of them answers.
+        answering = docs.join(asked, ["d", "c"]).dropDuplicates(["d", "c"]).select("d", "c", "text", "asked")
+        return answering.mapInArrow(cut, "anchor long, texts long, target boolean, d long, c long, s int, bytes binary")
+
+    few = F.col("texts") <= SORTED_CLASSES
+    return whole.unionByName(sorted_spans(pieces(wanted.filter(few)))).unionByName(hashed_spans(pieces(wanted.filter(~few))))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

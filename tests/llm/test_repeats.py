@@ -54,5 +54,19 @@ def test_windows_of_one_anchor_meet():
     found = []
     for size in (0, 57, 400):
         data = rng.randbytes(size) + window + rng.randbytes(100)
-        found.append({a for a, _, s, e, _ in repeats.segments(data) if s <= size and e >= size + 200})
+        found.append({a for a, s, e, _ in zip(*repeats.segments(data), strict=True) if s <= size and e >= size + 200})
     assert found[0] & found[1] & found[2]
+
+
+def test_grams_that_occur_twice_in_a_segment_are_seen():
+    rng = random.Random(4)
+    for period in (1, 2, 7, 64, 100, 136):
+        data = rng.randbytes(150) + (rng.randbytes(period) * 400)[: 200 + period] + rng.randbytes(150)
+        flagged = [(s, e) for _, s, e, twice in zip(*repeats.segments(data), strict=True) if twice]
+        first = {a for a, s, e, _ in zip(*repeats.segments(data), strict=True) if s <= 150 and e >= 350}
+        assert first and any(s <= 150 and e >= 350 + period for s, e in flagged)
+
+
+def test_a_full_sketch_loses_nothing(spark, small, monkeypatch):
+    monkeypatch.setattr(repeats, "SKETCH_BITS", 64)
+    assert Counter(map(tuple, repeats.repeats_report(small).collect())) == brute(rows_of(small))
