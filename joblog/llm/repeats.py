@@ -261,13 +261,12 @@ def hashed_spans(cut: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, types, strict=True)], ["h1", "h2", "target", "d", "c", "s"])
 
-    place = F.struct("d", "c", "s")
     names = ["anchor", "target", "d", "c", "s", "bytes"]
     stretches = kept_table(cut.select(*names).mapInArrow(lay, "h1 long, h2 long, target boolean, d long, c long, s int, bytes binary"), "stretches")
-    tally = stretches.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    told = stretches.join(tally, ["h1", "h2"])
-    whole = told.filter("target and n > 1").select("d", "c", "s", (F.col("s") + F.octet_length("bytes")).alias("e"))
-    rest = told.filter((F.col("n") == 1) | (place == F.col("first"))).withColumn("target", F.col("target") & (F.col("n") == 1))
+    tally = stretches.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("d", "c", "s", "target", "bytes")).alias("one"))
+    repeated = tally.filter("n > 1").select("h1", "h2")
+    whole = stretches.filter("target").join(repeated, ["h1", "h2"]).select("d", "c", "s", (F.col("s") + F.octet_length("bytes")).alias("e"))
+    rest = tally.select("one.d", "one.c", "one.s", "one.bytes", (F.col("one.target") & (F.col("n") == 1)).alias("target"))
     windows = rest.select("target", "d", "c", "s", "bytes").mapInArrow(split, "h1 long, h2 long, target boolean, d long, c long, s int")
     again = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1")
     hit = windows.filter("target").join(again, ["h1", "h2"])
