@@ -17,8 +17,8 @@ from joblog.llm.common import small_batches
 
 # A chunk ends where CUT_BITS bits of the rolling hash of the last WINDOW bytes are zero: every 512 bytes or so.
 WINDOW, CUT_BITS, CUT_SHIFT = 16, 9, 24
-# Bytes of chunks, and numbers of words and of their parts, that a worker remembers before it starts afresh.
-CHUNK_MEMORY, WORD_MEMORY, PART_MEMORY = 8 << 20, 200_000, 200_000
+# Bytes of chunks, and number of parts of words, that a worker remembers before it starts afresh.
+CHUNK_MEMORY, PART_MEMORY = 4 << 20, 250_000
 SPACE = b" \t\n\x0b\x0c\r"
 # The vocabulary's own split of a lower-case Latin-1 word into parts that no token spans (fixed pattern).
 LETTERS, NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
@@ -75,8 +75,8 @@ class Encoder:
 
     No token spans white space, so a chunk is exact between its first and last
     space; the pieces of words at a join are put together, over as many chunks
-    as the word spans, and encoded again. Words themselves go to the library
-    once each. What is remembered is bounded and starts afresh when full.
+    as the word spans, and encoded again. Parts of words go to the library once
+    each. What is remembered is bounded and starts afresh when full.
     """
 
     def __init__(self, path: str):
@@ -86,7 +86,6 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words: dict[bytes, tuple[int, str, str]] = {}
         self.parts: dict[str, tuple[int, str, str]] = {}
         self.chunks: dict[bytes, tuple[bytes, tuple[int, str, str], bytes] | None] = {}
         self.held = 0
@@ -103,41 +102,43 @@ class Encoder:
                 self.parts[piece] = found
         return found
 
-    def word(self, piece: bytes) -> tuple[int, str, str]:
-        """The same for a word. Where the library would split it in any case, the parts are encoded on their own.
+    def run(self, data: bytes) -> tuple[int, str, str]:
+        """The same for whole words. Where the library would split in any case, the parts are encoded on their own.
 
-        That holds for Latin-1 words: their characters don't compose, and lose
-        their case alike before or after the split. A word with ``<|`` may hold
-        a special token and stays whole.
+        That holds for Latin-1: its characters don't compose, and lose their
+        case alike before or after the split. Other words, and such with ``<|``,
+        which may hold a special token, stay whole.
         """
-        found = self.words.get(piece)
-        if found is None:
-            if b"<|" in piece:
-                return self.part(piece.decode())
-            text = piece.decode()
-            parts = PARTS.findall(text.lower()) if text.isascii() or max(text) <= "\xff" else [text]
-            found = self.part(parts[0]) if len(parts) == 1 else joined([self.part(p) for p in parts])
-            if len(self.words) >= WORD_MEMORY:
-                self.words.clear()
-            if len(piece) <= 64:
-                self.words[piece] = found
-        return found
-
-    def run(self, pieces: Iterable[bytes]) -> tuple[int, str, str]:
-        known, word = self.words.get, self.word
-        return joined([known(p) or word(p) for p in pieces])
+        try:
+            if b"<|" in data:
+                raise ValueError
+            text = data.decode()
+            text.encode("latin-1")
+            parts = PARTS.findall(text.lower())
+        except ValueError:
+            words = [w.decode() for w in data.split()]
+            parts = []
+            for w in words:
+                parts += PARTS.findall(w.lower()) if "<|" not in w and max(w) <= "\xff" else [w]
+        known, part = self.parts.get, self.part
+        return joined([known(p) or part(p) for p in parts])
 
     def chunk(self, data: bytes) -> tuple[bytes, tuple[int, str, str], bytes] | None:
         """(bytes before the first space, what lies between, bytes after the last space); None without a space."""
         if data in self.chunks:
             return self.chunks[data]
-        pieces = data.split()
-        if len(pieces) + (data[:1] in SPACE) + (data[-1:] in SPACE) < 2 and not any(s in data for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")):
+        head, rest = b"", data
+        if data[0] not in SPACE:
+            head, *more = data.split(None, 1)
+            rest = more[0] if more else b""
+        if len(head) == len(data):
             made = None
         else:
-            head = b"" if data[0] in SPACE else pieces.pop(0)
-            tail = b"" if data[-1] in SPACE or not pieces else pieces.pop()
-            made = head, self.run(pieces), tail
+            tail = b""
+            if rest and rest[-1] not in SPACE:
+                *more, tail = rest.rsplit(None, 1)
+                rest = more[0] if more else b""
+            made = head, self.run(rest), tail
         self.held += len(data)
         if self.held > CHUNK_MEMORY:
             self.chunks.clear()
@@ -157,12 +158,12 @@ class Encoder:
             else:
                 head, middle, tail = made
                 if open_word or head:
-                    out.append(self.word(open_word + head))
+                    out.append(self.run(open_word + head))
                 out.append(middle)
                 open_word = tail
             start = end
         if open_word:
-            out.append(self.word(open_word))
+            out.append(self.run(open_word))
         return joined(out)
 
 
