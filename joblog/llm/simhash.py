@@ -1,16 +1,17 @@
-"""SimHash near-duplicates by a binary trie self-join (operator 8)."""
+"""SimHash near-duplicates by a binary trie self-join (operator 8), and one document of each group of similar ones."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joblog.llm.common import components, small_batches, stored
+from joblog.llm.common import components, kept_table, sketch, sketched, small_batches, stored
 
 SEED = 42
 BUDGET = 3
@@ -22,6 +23,13 @@ HOT_ROOT = 4096
 TAKE = 1 << 17
 # Node pairs with at most this many leaf pairs are compared leaf by leaf.
 LEAVES = 16
+# Documents are similar if their sets of five-word shingles have at least this percentage of their union in common.
+SIMILAR_WORDS = 5
+SIMILAR_PERCENT = 80
+# Documents that tell which shingles are common; they order the shingles and decide nothing.
+ORDER_SAMPLE = 2000
+# Bits of the sketch of candidate documents: 8 MiB at any size of the input.
+SKETCH_BITS = 1 << 26
 
 
 def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
@@ -221,8 +229,164 @@ def simhash_report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None, words: int, common: np.ndarray) -> np.ndarray:
+    """The distinct shingles of a text by hash, those in ``common`` (sorted) last."""
+    found = np.unique(shingle_hashes(text, words))
+    if not len(common):
+        return found
+    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+    late = common[at] == found
+    return np.concatenate([found[~late], found[late]])
+
+
+def set_key(shingles: np.ndarray) -> int:
+    """64 bits that stand for a set of shingles, as a signed long."""
+    return xxhash.xxh3_64_intdigest(np.sort(shingles).tobytes()) - (1 << 63)
+
+
+def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """Shingles that three or more of ``ORDER_SAMPLE`` documents have, sorted."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], ["gram"])
+
+    counts = docs.select("text").limit(ORDER_SAMPLE).mapInArrow(run, "gram long").groupBy("gram").count().filter("count > 2")
+    found = counts.orderBy(F.desc("count"), "gram").limit(1 << 20).select("gram").toPandas()["gram"]
+    return np.sort(found.to_numpy(np.int64).view(np.uint64))
+
+
+def _runs_pairs(rows: dict[str, np.ndarray], percent: int, star: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes inside runs of equal ``gram``, rows sorted by gram and size, that size and place allow.
+
+    A star joins the rows of a run to its first one only; otherwise all pairs
+    come whose clusters differ.
+    """
+    gram, n, at, node, cluster = (rows[c] for c in ("gram", "n", "at", "node", "cluster"))
+    starts = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+    ends = np.append(starts[1:], len(gram))
+    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        # An equal share of the union is percent / (100 + percent) of both sizes; a first shared shingle leaves what follows it.
+        most = np.minimum(n[i] - at[i], n[j] - at[j])
+        fine = ((100 + percent) * most >= percent * (n[i] + n[j])) & (100 * n[i] >= percent * n[j]) & (node[i] != node[j])
+        fine &= star | (cluster[i] != cluster[j])
+        a, b = node[i[fine]], node[j[fine]]
+        out_a.append(np.minimum(a, b))
+        out_b.append(np.maximum(a, b))
+
+    for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
+        if star:
+            keep(np.full(e - s - 1, s), np.arange(s + 1, e))
+        elif (cluster[s:e] != cluster[s]).any():
+            for i in range(s, e - 1):
+                keep(np.full(e - i - 1, i), np.arange(i + 1, e))
+    pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1)
+    return pairs[0], pairs[1]
+
+
+def _met(rows: DataFrame, percent: int, star: bool) -> DataFrame:
+    """Distinct candidate pairs (a, b) of the nodes of ``rows (gram, n, at, node, cluster)``."""
+    names = ["gram", "n", "at", "node", "cluster"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {c: np.empty(0, np.int64) for c in names}
+
+        def pairs(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+            a, b = _runs_pairs(rows, percent, star)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            held = {c: np.concatenate([held[c], batch.column(c).to_numpy()]) for c in names}
+            last = np.flatnonzero(held["gram"] != held["gram"][-1]) if len(held["gram"]) >= 1 << 14 else ()
+            if len(last):
+                cut = last[-1] + 1
+                yield pairs({c: v[:cut] for c, v in held.items()})
+                held = {c: v[cut:] for c, v in held.items()}
+        if len(held["gram"]):
+            yield pairs(held)
+
+    ordered = rows.repartition("gram").sortWithinPartitions("gram", "n", "node")
+    return ordered.select(*names).mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_links(docs: DataFrame, words: int = SIMILAR_WORDS, percent: int = SIMILAR_PERCENT) -> DataFrame:
+    """Edges (a, b) of set keys that connect just the shingle sets of Jaccard similarity ``percent`` / 100 or more; exact.
+
+    In any one order of all shingles, two similar sets share one among the
+    first n - ceil(n * percent / 100) + 1 of each (prefix filter), so documents
+    meet under these, common shingles last. First the members of a shingle are
+    held against its smallest one; then all pairs that this has not connected.
+    """
+    small_batches(docs.sparkSession)
+    docs = docs.select("text")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
+
+    def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, counts, sizes, keys = [np.empty(0, np.uint64)], [], [], []
+            for text in batch.column("text").to_pylist():
+                found = shingle_set(text, words, common.value)
+                n = len(found)
+                if n:
+                    grams.append(found[: n + percent * -n // 100 + 1])
+                    counts.append(len(grams[-1]))
+                    sizes.append(n)
+                    keys.append(set_key(found))
+            at = np.concatenate([np.empty(0, np.int64), *(np.arange(c) for c in counts)])
+            columns = [np.concatenate(grams).view(np.int64), np.repeat(np.array(sizes, np.int64), counts), at, np.repeat(np.array(keys, np.int64), counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "n", "at", "node"])
+
+    rows = kept_table(docs.mapInArrow(prefixes, "gram long, n long, at long, node long").distinct(), "shingles")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = kept_table(pairs, "similar-pairs")
+        nodes = pairs.select(F.col("a").alias("k1")).unionByName(pairs.select(F.col("b").alias("k1")))
+        held = docs.sparkSession.sparkContext.broadcast(sketch(nodes, SKETCH_BITS))
+
+        def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [np.unique(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()]
+                keys = np.array([set_key(f) for f in found], np.int64)
+                some = np.flatnonzero(sketched(held.value, keys))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array([found[i].tobytes() for i in some], pa.binary())], ["node", "grams"])
+
+        def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                fine = []
+                for a, b in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    fine.append(100 * both >= percent * (len(x) + len(y) - both))
+                yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
+
+        full = kept_table(docs.mapInArrow(sets, "node long, grams binary").dropDuplicates(["node"]), "shingle-sets")
+        x, y = (full.select(F.col("node").alias(c), F.col("grams").alias(g)) for c, g in (("a", "x"), ("b", "y")))
+        return kept_table(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "similar")
+
+    near = checked(_met(rows.withColumn("cluster", F.col("node")), percent, True))
+    clusters = components(near).withColumnRenamed("root", "cluster")
+    rows = rows.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    return near.unionByName(checked(_met(rows, percent, False)))
+
+
+def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, percent: int = SIMILAR_PERCENT) -> DataFrame:
+    """``docs`` plus ``_group``, the same in rows whose texts similar ones connect; texts without a word are one group."""
+    roots = components(similar_links(docs, words, percent)).select(F.col("node").alias("_node"), "root")
+
+    @F.pandas_udf("long")
+    def key(text: pd.Series) -> pd.Series:
+        return pd.Series([set_key(np.unique(shingle_hashes(t, words))) for t in text], dtype="int64")
+
+    named = docs.withColumn("_node", key("text")).join(roots, "_node", "left")
+    return named.select(*docs.columns, F.coalesce("root", "_node").alias("_group"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that have a near-duplicate of smaller id."""
-    first = near_duplicates(docs).filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+    """``docs`` without those that have a similar document of smaller id."""
+    ids = kept_table(similar_groups(docs.select("doc_id", "text")).select("doc_id", "_group"), "groups")
+    first = ids.groupBy("_group").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null")
     kept = docs.filter(F.col("doc_id").isNotNull()).join(first.select("doc_id"), "doc_id", "left_semi")
     return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
