@@ -308,6 +308,19 @@ def assemble_progress(
     )
 
 
+def join_parts(parts: DataFrame) -> DataFrame:
+    """One row (task_id, chunks, text) for each task of ``assemble_progress``, however many parts it has.
+
+    The text of a task is one value then; take the parts where tasks have no bound.
+    """
+    texts = F.sort_array(F.collect_list(F.struct("part", "text")))
+    return (
+        parts.groupBy("task_id")
+        .agg(F.sum("chunks").alias("chunks"), texts.alias("__parts"))
+        .select("task_id", "chunks", F.array_join(F.transform("__parts", lambda p: p["text"]), "").alias("text"))
+    )
+
+
 def progress_summary(progress: DataFrame) -> DataFrame:
     """Per task: number of chunks and the last one."""
     return progress.groupBy("task_id").agg(

@@ -131,7 +131,7 @@ def _read_back(v: Views) -> DataFrame:
 @query
 def read_progress(v: Views) -> DataFrame:
     """Progress assembled from what ``read_messages`` returned."""
-    return outcomes.assemble_progress(tasks.route_messages(_read_back(v), "progress"), part_chunks=1_000_000).select("task_id", "chunks", "text")
+    return outcomes.join_parts(outcomes.assemble_progress(tasks.route_messages(_read_back(v), "progress"), part_chunks=PART_CHUNKS))
 
 
 @query
