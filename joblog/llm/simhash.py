@@ -385,8 +385,13 @@ def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, percent: int = S
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that have a similar document of smaller id."""
-    ids = kept_table(similar_groups(docs.select("doc_id", "text")).select("doc_id", "_group"), "groups")
-    first = ids.groupBy("_group").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null")
-    kept = docs.filter(F.col("doc_id").isNotNull()).join(first.select("doc_id"), "doc_id", "left_semi")
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    """One row of each group of ``similar_groups``: the least by doc_id (nulls last), then by text.
+
+    Of rows that repeat one of them stays, and rows without doc_id are compared
+    like any other. A row is told by 128 bits of all its columns.
+    """
+    marks = {"_h": F.xxhash64("text"), "_row": F.xxhash64(F.lit(1), *docs.columns)}
+    ids = kept_table(similar_groups(docs.select("doc_id", "text", *(v.alias(c) for c, v in marks.items()))).drop("text"), "groups")
+    first = ids.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_h", "_row")).alias("first"))
+    kept = docs.withColumns(marks).join(first.select("first._h", "first._row"), ["_h", "_row"], "left_semi")
+    return kept.dropDuplicates(["_h", "_row"]).select(*docs.columns)
