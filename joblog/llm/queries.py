@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from joblog.llm import bpe, chat, embeddings, language, lines, mixing, quality, repeats, sharding, simhash
+from joblog.llm import bpe, chat, clusters, embeddings, exact, language, lines, mixing, quality, repeats, sharding, simhash, whitening
 from joblog.llm.common import table
 from joblog.session import configure
 
@@ -57,8 +57,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(configure(spark), sf_dir, "documents"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_report(table(configure(spark), sf_dir, "embeddings"))
+
+
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_report(table(configure(spark), sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_report(table(configure(spark), sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_language, op2_bpe, op3_quality, op4_mixing, op5_chat, op6_repeats, op7_lines, op8_simhash, op9_embeddings, op10_sharding)
+    named = (op1_language, op2_bpe, op3_quality, op4_mixing, op5_chat, op6_repeats, op7_lines, op8_simhash, op9_embeddings, op10_sharding, op11_clusters, op12_exact, op13_whitening)
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in named}
 
 
@@ -102,5 +114,45 @@ from e group by conv_id""",
 }
 
 
+SQL["op12_exact"] = """
+with t as (
+  select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
+select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+       row_number() over (partition by t order by doc_id desc nulls last) = 1 as kept, sha256(t) as text_sha256
+from t"""
+
+
+def clusters_sql(rounds: int = clusters.ROUNDS) -> str:
+    """Rounds of assignment and exact floors, one pair of CTEs a round; tied vectors of a centroid draw by id alone."""
+    assign = """
+a{r} as materialized (
+  select vec_id, x, min_by(cluster, struct_pack(d, cluster)) as cluster, min(d) as distance
+  from (select v.vec_id, v.x, c.cluster, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.c[i]) * (v.x[i] - c.c[i])))::bigint as d from v, c{r} as c)
+  group by vec_id, x)"""
+    move = """
+c{n} as materialized (
+  with s as (
+    select cluster, i, sum(x[i])::bigint as s, count(*) as n from a{r}, range(1, 65) as g(i) group by cluster, i),
+  m as (select cluster, list((s - ((s % n) + n) % n) // n order by i) as c from s group by cluster)
+  select k.cluster, coalesce(m.c, k.c) as c from c{r} as k left join m using (cluster))"""
+    parts = []
+    for r in range(rounds + 1):
+        parts.append(assign.format(r=r))
+        if r < rounds:
+            parts.append(move.format(r=r, n=r + 1))
+    return f"""
+with v as materialized (
+  select vec_id, list_transform(embedding, lambda c: floor(256 * c::double)::bigint) as x from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda c: c is not null and isfinite(c))) = 64),
+c0 as materialized (
+  select row_number() over (order by sha256('2:' || vec_id)) - 1 as cluster, x as c from v order by sha256('2:' || vec_id) limit 40),{",".join(parts)}
+select vec_id, cluster::int as cluster, distance, (sum(distance) over (partition by cluster))::bigint as cluster_inertia, (sum(distance) over ())::bigint as inertia,
+       sha256(array_to_string(c.c, ',')) as centroid_sha256
+from a{rounds} join c{rounds} as c using (cluster)"""
+
+
+SQL["op11_clusters"] = clusters_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
