@@ -5,6 +5,9 @@ Each view arrives in a few pieces, in order; see ``Replay``.
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -56,17 +59,21 @@ class Replay:
         self.run(make(root))
         return root
 
-    def run(self, writer: DataStreamWriter) -> None:
+    def run(self, writer: DataStreamWriter, last: Callable[[], None] | None = None) -> None:
+        """All pieces in turn; then, if given, what ``last`` adds."""
         writer = writer.option("checkpointLocation", scratch_path(self.df.sparkSession, "stream"))
         for piece in range(PIECES):
             if piece:
                 self._add(piece)
             writer.trigger(availableNow=True).start().awaitTermination()
+        if last:
+            last()
+            writer.trigger(availableNow=True).start().awaitTermination()
 
-    def appended(self, stream: DataFrame) -> DataFrame:
+    def appended(self, stream: DataFrame, last: Callable[[], None] | None = None) -> DataFrame:
         """All rows that ``stream`` appends over the pieces."""
         out = scratch_path(self.df.sparkSession, "out")
-        self.run(stream.writeStream.format("parquet").option("path", out))
+        self.run(stream.writeStream.format("parquet").option("path", out), last)
         return self.df.sparkSession.read.parquet(out)
 
 
@@ -107,13 +114,13 @@ def stream_latest(v: Views) -> DataFrame:
 @query
 def stream_dedupe(v: Views) -> DataFrame:
     replay = Replay(v.payload_events, "seq")
-    return streaming.read_decided(v.spark, replay.decided(lambda root: streaming.stream_dedupe(replay.stream, root)))
+    return replay.appended(streaming.keyed_dedupe(replay.stream))
 
 
 @query
 def stream_quota(v: Views) -> DataFrame:
     replay = Replay(v.requests, "seq")
-    return streaming.read_decided(v.spark, replay.decided(lambda root: streaming.stream_quota(replay.stream, root, QUOTA_WINDOW)))
+    return replay.appended(streaming.keyed_quota(replay.stream, QUOTA_WINDOW))
 
 
 def _tracked(v: Views) -> DataFrame:
@@ -127,8 +134,16 @@ def _tracked(v: Views) -> DataFrame:
     replay = Replay(events.withColumn("arrival", F.unix_micros("ts") + late), "arrival")
     executions = replay.stream.filter("not __result").withColumnsRenamed({"id": "exec_id", "ts": "exec_ts"})
     results = replay.stream.filter("__result").withColumnsRenamed({"id": "result_id", "ts": "result_ts"})
-    root = replay.decided(lambda root: streaming.stream_timeouts(executions, results, root, DELAY))
-    return streaming.read_decided(v.spark, root).unionByName(streaming.held_outcomes(v.spark, root))
+    hand = scratch_path(v.spark, "clock")
+    end = events.agg(F.max("ts")).first()[0]
+
+    def tick(at) -> None:
+        v.spark.range(1).select(F.lit(at).cast("timestamp").alias("timestamp")).write.mode("append").parquet(hand)
+
+    tick(events.agg(F.min("ts")).first()[0])
+    clock = replay.spark.readStream.schema("timestamp timestamp").parquet(hand)
+    # No event comes after the last piece: what still waits is decided by the clock alone.
+    return replay.appended(streaming.keyed_timeouts(executions, results, DELAY, clock), lambda: tick(end + dt.timedelta(seconds=DELAY, milliseconds=1)))
 
 
 @query

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from conftest import SMALL
+from compare import SMALL
 from joblog import queries
 from joblog.operators import dispatch, outcomes, quota, state, tasks
 
