@@ -35,6 +35,8 @@ WINDOWS_PER_SLICE = 4
 SLICES_PER_STRETCH = 64
 
 GROUP, LIMIT = "rate_limit_group", "max_per_minute"
+# How many requests a row stands for; rows without one stand for themselves.
+WEIGHT = "__weight"
 
 
 _REPORT = f"{GROUP} string, __slice bigint, __upto bigint, __leave bigint"
@@ -241,6 +243,7 @@ def _anchored_fold(width: int, names: list[str]):
         for batch in batches:
             keep, admitted, starts, counts = [], [], [], []
             stamps, limits = _numbers(batch, "__ts", 0), _numbers(batch, LIMIT, 0)
+            weights = _numbers(batch, WEIGHT, 1) if WEIGHT in names else None
             own, entries = _numbers(batch, "__own", False), _numbers(batch, "__entry", _NONE)
             for run_key, first, stop in key_runs(batch, [GROUP, "__slice"]):
                 if run_key != key:
@@ -258,7 +261,7 @@ def _anchored_fold(width: int, names: list[str]):
                     if start is None or ts - start >= width:
                         start, count = ts, 0
                     allow = count < limits[i]
-                    count += allow
+                    count += allow if weights is None else allow * weights[i]
                     if mine:
                         admitted.append(allow)
                         starts.append(start)
@@ -381,17 +384,16 @@ def _admit_rolling(stamped: DataFrame, schema: T.StructType, width: int) -> Data
 
 
 def _replayed(windows: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requests that leave the groups at ``windows``; a window nobody was admitted in is a request that is denied."""
+    """One request a group that leaves it at ``windows``: admitted with the weight of the count, or denied if that is zero."""
     count = F.col("count").cast("int")
-    one = windows.select(
+    return windows.select(
         GROUP,
         F.col("window_start").cast(requests.schema["ts"].dataType).alias("ts"),
         F.lit(BEFORE).cast(requests.schema["seq"].dataType).alias("seq"),
         F.when(count > 0, F.lit(2**31 - 1)).otherwise(0).cast(requests.schema[LIMIT].dataType).alias(LIMIT),
         F.lit(True).alias("__saved"),
-        F.explode(F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).alias("__one"),
+        F.greatest(count, F.lit(1)).cast("bigint").alias(WEIGHT),
     )
-    return one.drop("__one")
 
 
 def admit_quota(
@@ -413,9 +415,9 @@ def admit_quota(
     without a group or a limit are not limited.
 
     ``windows`` (group, count, window_start), for ``anchored`` only, is where
-    the groups stand before the requests: as many admitted requests at the
-    window's start bring a group to the same state, so they go first and are
-    left out again.
+    the groups stand before the requests: one request of that weight at the
+    window's start brings a group to the same state, whatever its count, so it
+    goes first and is left out again.
     """
     if windows is not None:
         if mode != "anchored":

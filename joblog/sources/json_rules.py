@@ -22,16 +22,22 @@ READ_OPTIONS = {
 SHAPE = "__shape"
 
 
-def with_shape(parsed: DataFrame, texts: Iterable[str]) -> DataFrame:
+def with_shape(parsed: DataFrame, schema: T.StructType, texts: Iterable[str]) -> DataFrame:
     """Add SHAPE: ``sound`` (one JSON object and nothing else) and the JSON type of each top-level key in ``texts``.
 
-    The line is read as the middle of an array between two marks. The JSON
-    parser stops after one value, so a second value, or brackets that end the
-    array early, show as a mark out of place; repeated keys and loose syntax
-    give no value at all. Keys inside nested objects play no part.
+    A line that its fields, as ``schema`` has read them, give back byte by byte
+    is sound, and its texts are texts. So are the lines that this package and
+    others like it write; they need no second parse. Any other line is parsed
+    again, as the middle of an array between two marks. The JSON parser stops
+    after one value, so a second value, or brackets that end the array early,
+    show as a mark out of place; repeated keys and loose syntax give no value at
+    all. Keys inside nested objects play no part.
     """
-    read = F.try_parse_json(F.concat(F.lit("[0,"), F.col("value"), F.lit(",1]")))
-    whole = compute_once(parsed, "__json", read)
+    texts = list(dict.fromkeys(texts))
+    again = F.to_json(F.struct(*[c for c in schema.names if c != CORRUPT]), {"ignoreNullFields": "true"})
+    marked = compute_once(parsed, "__plain", F.coalesce(again == F.col("value"), F.lit(False)))
+    read = F.when(~F.col("__plain"), F.try_parse_json(F.concat(F.lit("[0,"), F.col("value"), F.lit(",1]"))))
+    whole = compute_once(marked, "__json", read)
     kind = lambda path: F.schema_of_variant(F.try_variant_get("__json", path, "variant"))
     sound = (
         F.is_valid_utf8("value")
@@ -40,8 +46,10 @@ def with_shape(parsed: DataFrame, texts: Iterable[str]) -> DataFrame:
         & F.try_variant_get("__json", "$[3]", "variant").isNull()
         & kind("$[1]").startswith("OBJECT")
     )
-    fields = [F.coalesce(sound, F.lit(False)).alias("sound"), *(kind(f"$[1].{k}").alias(k) for k in dict.fromkeys(texts))]
-    return compute_once(whole, SHAPE, F.struct(*fields)).drop("__json")
+    fields = [F.coalesce(sound, F.lit(False)).alias("sound"), *(kind(f"$[1].{k}").alias(k) for k in texts)]
+    known = F.struct(F.lit(True).alias("sound"), *(F.lit(None).cast("string").alias(k) for k in texts))
+    shape = F.when(F.col("__plain"), known).otherwise(F.struct(*fields))
+    return compute_once(whole, SHAPE, shape).drop("__json", "__plain")
 
 
 def sound() -> Column:

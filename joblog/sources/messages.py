@@ -49,7 +49,7 @@ def decode_messages(lines: DataFrame) -> DataFrame:
     """
     extra = [c for c in lines.columns if c != "value"]
     parsed = parse_once(lines.filter(F.col("value").rlike(r"\S")).select(*extra, "value"), MESSAGE_SCHEMA)
-    parsed = with_shape(parsed, [c for c, kind in MESSAGE_TYPES.items() if isinstance(kind, T.StringType)])
+    parsed = with_shape(parsed, MESSAGE_SCHEMA, [c for c, kind in MESSAGE_TYPES.items() if isinstance(kind, T.StringType)])
     checked = compute_once(parsed, "__fault", _fault())
     good = F.col("__fault").isNull()
     return checked.select(

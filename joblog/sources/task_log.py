@@ -36,7 +36,7 @@ def valid_log_rows(lines: DataFrame) -> DataFrame:
     # Kept columns travel in one struct, out of the way of the record's keys.
     kept = F.struct(*extra) if extra else F.lit(None)
     written = lines.filter(F.col("value").rlike(r"\S")).select("value", kept.alias("__kept"))
-    parsed = with_shape(parse_once(written, TASK_LINE_SCHEMA), _TEXT_KEYS)
+    parsed = with_shape(parse_once(written, TASK_LINE_SCHEMA), TASK_LINE_SCHEMA, _TEXT_KEYS)
     key = {c: F.col(k) for c, k in TASK_LOG_KEYS.items()}
     times = {c: parse_rfc3339(key[c]) for c in _TIMES}
     error = key["last_job_error"]
