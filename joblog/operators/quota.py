@@ -285,11 +285,14 @@ def _rolling_fold(width: int, names: list[str]):
         key, recent = None, deque()
         for batch in batches:
             admitted, starts, counts = [], [], []
-            stamps, limits = _numbers(batch, "__ts"), _numbers(batch, LIMIT)
+            stamps, limits, own = _numbers(batch, "__ts"), _numbers(batch, LIMIT), _numbers(batch, "__own")
             for run_key, first, stop in key_runs(batch, [GROUP, "__burst"]):
                 if run_key != key:
                     key, recent = run_key, deque()
-                for ts, limit in zip(stamps[first:stop], limits[first:stop]):
+                for ts, limit, mine in zip(stamps[first:stop], limits[first:stop], own[first:stop]):
+                    if not mine:  # lent: admitted before
+                        recent.append(ts)
+                        continue
                     while recent and ts - recent[0] >= width:
                         recent.popleft()
                     allow = len(recent) < limit
@@ -300,7 +303,7 @@ def _rolling_fold(width: int, names: list[str]):
                     counts.append(len(recent))
             yield _append(
                 batch,
-                [True] * batch.num_rows,
+                own,
                 {
                     "admitted": pa.array(admitted, pa.bool_()),
                     "__start": pa.array(starts, pa.int64()),
@@ -347,38 +350,55 @@ def _admit_anchored(stamped: DataFrame, schema: T.StructType, width: int, span:
     )
 
 
-def _admit_rolling(stamped: DataFrame, schema: T.StructType, width: int) -> DataFrame:
-    """Fold each burst of a hot group - a stretch with no gap of a whole window - on its own."""
+def _rolling_bursts(stamped: DataFrame, width: int, span: int) -> DataFrame:
+    """Rows of hot groups with ``__burst``, what can be folded on its own, and ``__own``; lent rows go before it.
+
+    A burst begins after a gap of a whole window. It also begins with a slice if
+    no request of the window before the slice is congested, that is has more
+    requests in its trailing window than its limit: all of them are admitted
+    then, whatever came before, so they are lent to the slice as they are.
+    """
     in_slice = Window.partitionBy(GROUP, CHUNK).orderBy("__ts")
     gap = F.col("__ts") - F.lag("__ts").over(in_slice) >= width
-    inside = stamped.filter(HOT).withColumn("__inner", F.when(gap, F.col("__ts")))
+    trailing = F.count(F.lit(1)).over(in_slice.rangeBetween(-(width - 1), 0))
+    tail = F.pmod(F.col("__ts"), F.lit(span)) >= span - width
+    seen = _lend(stamped.filter(HOT), CHUNK, width, span)
+    counted = seen.withColumn("__congested", tail & (trailing > F.col(LIMIT))).filter("__own")
+    inside = counted.withColumn("__inner", F.when(gap, F.col("__ts")))
     across = Window.partitionBy(GROUP).orderBy(CHUNK)
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("__before")
+    free = ~(F.lag("__jam").over(across) & (F.lag(CHUNK).over(across) == F.col(CHUNK) - 1))
     opening = (
         inside.groupBy(GROUP, CHUNK)
-        .agg(F.min("__ts").alias("__min"), F.max("__ts").alias("__max"), F.max("__inner").alias("__inner"))
-        .withColumn("__before", F.lag("__max").over(across))
-        .withColumn("__opens", F.when(before.isNull() | (F.col("__min") - before >= width), F.col("__min")))
+        .agg(F.min("__ts").alias("__min"), F.max("__ts").alias("__max"), F.max("__inner").alias("__inner"), F.max("__congested").alias("__jam"))
+        .withColumns({"__before": F.lag("__max").over(across), "__free": free})
+        .withColumn("__opens", F.when(before.isNull() | (F.col("__min") - before >= width) | F.col("__free"), F.col("__min")))
         .withColumn("__starts", F.coalesce("__inner", "__opens"))
         .select(
             GROUP,
             CHUNK,
+            "__opens",
             F.coalesce(F.col("__opens"), F.last("__starts", ignorenulls=True).over(earlier)).alias("__opening"),
         )
     )
     so_far = in_slice.rangeBetween(Window.unboundedPreceding, 0)
-    bursts = (
-        inside.withColumn("__burst", F.max("__inner").over(so_far))
-        .join(opening, [GROUP, CHUNK])
-        .withColumn("__burst", F.coalesce("__burst", "__opening"))
-    )
-    whole = stamped.filter(F.col(HOT).isNull()).withColumn("__burst", F.lit(0).cast("bigint"))
+    own = inside.withColumn("__burst", F.max("__inner").over(so_far)).join(opening, [GROUP, CHUNK])
+    own = own.withColumn("__burst", F.coalesce("__burst", "__opening"))
+    # A slice that begins a burst borrows the window before it; one that goes on with a burst has it.
+    lent = seen.filter(~F.col("__own")).join(opening.filter("__opens is not null"), [GROUP, CHUNK])
+    columns = [*stamped.drop(HOT).columns, "__own", "__burst"]
+    return own.select(*columns).unionByName(lent.withColumn("__burst", F.col("__opens")).select(*columns))
+
+
+def _admit_rolling(stamped: DataFrame, schema: T.StructType, width: int, span: int) -> DataFrame:
+    """Fold each burst of a hot group, and each other group, in time order."""
+    whole = stamped.filter(F.col(HOT).isNull()).drop(HOT).withColumns({"__own": F.lit(True), "__burst": F.lit(0).cast("bigint")})
     return (
-        bursts.select(*whole.columns)
+        _rolling_bursts(stamped, width, span)
         .unionByName(whole)
         .repartition(GROUP, "__burst")
-        .sortWithinPartitions(GROUP, "__burst", "__ts", "seq")
+        .sortWithinPartitions(GROUP, "__burst", "__ts", F.col("__own"), "seq")
         .mapInArrow(_rolling_fold(width, schema.names), schema)
     )
 
@@ -410,9 +430,10 @@ def admit_quota(
     ``anchored``: a window starts at a group's first request and again at the
     first request at least ``window`` seconds later; a request is admitted while
     fewer than its own limit were admitted in the window. ``rolling``: at most
-    the limit in any trailing ``window`` seconds; here a hot group is only cut
-    at its gaps, since every admission depends on the ones a window back. Rows
-    without a group or a limit are not limited.
+    the limit in any trailing ``window`` seconds; here a hot group is cut at its
+    gaps and where a whole window was within its limits, since every admission
+    depends on the ones a window back. Rows without a group or a limit are not
+    limited.
 
     ``windows`` (group, count, window_start), for ``anchored`` only, is where
     the groups stand before the requests: one request of that weight at the
@@ -439,7 +460,7 @@ def admit_quota(
     if mode == "anchored":
         folded = _admit_anchored(stamped, schema, width, span, slices_per_stretch)
     elif mode == "rolling":
-        folded = _admit_rolling(stamped, schema, width)
+        folded = _admit_rolling(stamped, schema, width, span)
     else:
         raise ValueError(f"unknown mode {mode!r}")
     free = requests.filter(F.col(GROUP).isNull() | F.col(LIMIT).isNull()).withColumns(
