@@ -27,8 +27,6 @@ SORTED_CLASSES = 64
 STRETCH = 8
 # Bytes of segment texts that a task sorts at once.
 SORTED_BYTES = 1 << 20
-# Stands for a null doc_id inside the operator.
-NO_ID = -(1 << 63)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -84,8 +82,9 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, d, c): rows of one text share the 128 bits d and c, and all that is found out about it."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.crc32(text.cast("binary")).alias("c"), text.alias("text"))
+    return docs.select("doc_id", text.alias("text")).withColumns({"d": F.xxhash64("text"), "c": F.xxhash64(F.lit(LENGTH), "text")})
 
 
 def anchor_counts(docs: DataFrame) -> DataFrame:
@@ -305,7 +304,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     def pieces(rows: DataFrame) -> DataFrame:
         asked = rows.groupBy("d", "c").agg(F.collect_list(F.struct("anchor", "texts", "target", "s", "e")).alias("asked"))
-        # Rows of equal id and text ask for the same bytes; one of them answers.
+        # Rows of one text ask for the same bytes; one of them answers.
         answering = docs.join(asked, ["d", "c"]).dropDuplicates(["d", "c"]).select("d", "c", "text", "asked")
         return answering.mapInArrow(cut, "anchor long, texts long, target boolean, d long, c long, s int, bytes binary")
 
@@ -341,12 +340,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 out.append((len(data), int(gone.sum()), heads, data[~gone].tobytes()))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
             types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column("d"), *(pa.array(list(x), t) for x, t in zip(columns, types, strict=True))], ["d", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(x), t) for x, t in zip(columns, types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = rows.join(spans, ["d", "c"], "left").select("d", "text", "spans")
-    done = joined.mapInArrow(run, "d long, n_bytes long, n_removed long, n_spans long, kept binary")
-    identity = F.when(F.col("d") != NO_ID, F.col("d")).cast(docs.schema["doc_id"].dataType)
-    return done.select(identity.alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    joined = rows.join(spans, ["d", "c"], "left").select("doc_id", "text", "spans")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def repeats_report(docs: DataFrame) -> DataFrame:

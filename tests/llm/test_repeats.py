@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import pytest
@@ -70,3 +71,43 @@ def test_grams_that_occur_twice_in_a_segment_are_seen():
 def test_a_full_sketch_loses_nothing(spark, small, monkeypatch):
     monkeypatch.setattr(repeats, "SKETCH_BITS", 64)
     assert Counter(map(tuple, repeats.repeats_report(small).collect())) == brute(rows_of(small))
+
+
+@pytest.mark.parametrize("ident", [None, 7])
+def test_many_texts_of_one_id(spark, ident):
+    rng = random.Random(9)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, copy = prose(400), prose(900)
+    # Two texts of one length and equal crc32, of which only one holds the passage.
+    first = (prose(100) + passage).encode()
+    second = bytearray(prose(len(first)).encode())
+    want, n = zlib.crc32(first), len(second)
+    bits = [i * 8 + b for i in range(n - 40, n) for b in (0, 1)]  # flips that keep ASCII
+
+    def flipped(chosen):
+        out = bytearray(second)
+        for bit in chosen:
+            out[bit // 8] ^= 1 << bit % 8
+        return zlib.crc32(out)
+
+    base = flipped(())
+    rows, mask = [flipped((b,)) ^ base for b in bits], (1 << len(bits)) - 1
+    pivots = {}
+    for k, v in enumerate(rows):
+        pick = 1 << k
+        while v and v.bit_length() in pivots:
+            w, p = pivots[v.bit_length()]
+            v, pick = v ^ w, pick ^ p
+        if v:
+            pivots[v.bit_length()] = (v, pick)
+    need, chosen = want ^ base, 0
+    while need:
+        w, p = pivots[need.bit_length()]
+        need, chosen = need ^ w, chosen ^ p
+    for k, bit in enumerate(bits):
+        if chosen & mask & 1 << k:
+            second[bit // 8] ^= 1 << bit % 8
+    assert zlib.crc32(second) == want
+    texts = [first.decode(), second.decode(), passage + prose(20), copy, copy, prose(300), copy + "x"]
+    docs = spark.createDataFrame([(ident, t) for t in texts], "doc_id long, text string")
+    assert Counter(map(tuple, repeats.repeats_report(docs).collect())) == brute(rows_of(docs))
