@@ -21,10 +21,10 @@ GRAM = 64
 MULTIPLIER, MIXER = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
 # Bits of the sketch of shared anchors: 16 MiB at any size of the input.
 SKETCH_BITS = 1 << 27
-# Segment texts of one anchor that are suffix-sorted together; anchors with more go by hashes of their windows.
-SORTED_CLASSES = 64
-# Neighbouring windows that are hashed as one where an anchor has many segments.
-STRETCH = 8
+# Segment texts of one anchor that are suffix-sorted together; anchors with more are parted first.
+SORTED_CLASSES = 512
+# Widths of the bands in which windows of such anchors are parted, in turn.
+BANDS = (32, 8, 2, 1)
 # Bytes of segment texts that a task sorts at once.
 SORTED_BYTES = 1 << 20
 
@@ -226,50 +226,65 @@ def _wide_hash(data: bytes) -> tuple[int, int]:
     return (w >> 64) - (1 << 63), (w & (1 << 64) - 1) - (1 << 63)
 
 
-def hashed_spans(cut: DataFrame) -> DataFrame:
-    """The same for anchors with many segments, by 128-bit hashes whose counts combine before the shuffle.
+def bands(data: bytes, gram: int, width: int) -> Iterator[tuple[int, int, int]]:
+    """(key, start, end) of a segment's windows, parted by where their first ``gram`` hash lies, ``width`` places a band.
 
-    First stretches of ``STRETCH`` neighbouring windows, laid out from the
-    anchor on, are compared as wholes: one that occurs again repeats in all its
-    windows. The windows of the others are then compared with each other and
-    with those of one copy of each repeated stretch.
+    Equal windows hold their first anchor gram at the same place. Those of a
+    band share its core, the bytes that all of them hold around the gram, and
+    the key is a hash of it: so equal windows of any two segments are in bands
+    of one key, and a band of width 1 is a window.
+    """
+    places = np.flatnonzero(gram_hashes(np.frombuffer(data, np.uint8)).view(np.int64) == gram).tolist()
+    windows, low = len(data) - LENGTH + 1, 0
+    for p in places:
+        start = low
+        while start <= min(p, windows - 1):
+            near = (p - start) // width * width  # the least distance from window to gram in this band
+            far = min(near + width - 1, LENGTH - GRAM)
+            stop = min(p - near, windows - 1)
+            core = data[p - near : p + LENGTH - far]
+            yield xxhash.xxh64_intdigest(core, near << 8 | width) - (1 << 63), start, stop + LENGTH
+            start = stop + 1
+        low = p + 1
+
+
+def banded_spans(cut: DataFrame) -> DataFrame:
+    """The same for anchors with many segment texts: parted by ``bands`` until the suffix grouping takes them.
+
+    A band that occurs again as a whole repeats as a whole, and counts of equal
+    bands combine before they are shuffled. A band alone with its key repeats
+    nowhere. Bands of one key that differ go to the suffix grouping, or where
+    they are too many to narrower bands; the narrowest are windows, of which
+    those of one key are equal.
     """
-
-    def lay(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for anchor, target, d, c, s, data in zip(*(batch.column(n).to_pylist() for n in ("anchor", "target", "d", "c", "s", "bytes")), strict=True):
-                place = np.flatnonzero(gram_hashes(np.frombuffer(data, np.uint8)).view(np.int64) == anchor)
-                n, at = len(data) - LENGTH + 1, 0
-                phase = int(place[0]) % STRETCH if len(place) else 0
-                while at < n:
-                    end = min(n, at + ((phase - at) % STRETCH or STRETCH))
-                    piece = data[at : end + LENGTH - 1]
-                    rows.append((*_wide_hash(piece), target, d, c, s + at, piece))
-                    at = end
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, types, strict=True)], ["h1", "h2", "target", "d", "c", "s", "bytes"])
-
-    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for target, d, c, s, data in zip(*(batch.column(n).to_pylist() for n in ("target", "d", "c", "s", "bytes")), strict=True):
-                rows += [(*_wide_hash(data[i : i + LENGTH]), target, d, c, s + i) for i in range(len(data) - LENGTH + 1)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, types, strict=True)], ["h1", "h2", "target", "d", "c", "s"])
-
     names = ["anchor", "target", "d", "c", "s", "bytes"]
-    stretches = kept_table(cut.select(*names).mapInArrow(lay, "h1 long, h2 long, target boolean, d long, c long, s int, bytes binary"), "stretches")
-    tally = stretches.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("d", "c", "s", "target", "bytes")).alias("one"))
-    repeated = tally.filter("n > 1").select("h1", "h2")
-    whole = stretches.filter("target").join(repeated, ["h1", "h2"]).select("d", "c", "s", (F.col("s") + F.octet_length("bytes")).alias("e"))
-    rest = tally.select("one.d", "one.c", "one.s", "one.bytes", (F.col("one.target") & (F.col("n") == 1)).alias("target"))
-    windows = rest.select("target", "d", "c", "s", "bytes").mapInArrow(split, "h1 long, h2 long, target boolean, d long, c long, s int")
-    again = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1")
-    hit = windows.filter("target").join(again, ["h1", "h2"])
-    return whole.unionByName(hit.select("d", "c", "s", (F.col("s") + LENGTH).alias("e")))
+    found = None
+    left = cut.select(*names)
+    for width in BANDS:
+
+        def lay(batches: Iterable[pa.RecordBatch], width: int = width) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for anchor, target, d, c, s, data in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                    rows += [(k, *_wide_hash(data[a:b]), anchor, target, d, c, s + a, data[a:b]) for k, a, b in bands(data, anchor, width)]
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
+                types = [pa.int64()] * 4 + [pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, types, strict=True)], ["key", "h1", "h2", *names])
+
+        laid = kept_table(left.mapInArrow(lay, "key long, h1 long, h2 long, anchor long, target boolean, d long, c long, s int, bytes binary"), "bands")
+        same = ["key", "h1", "h2"]
+        tally = kept_table(laid.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("d", "c", "s", "anchor", "target", "bytes")).alias("one")), "band-texts")
+        whole = laid.filter("target").join(tally.filter("n > 1").select(*same), same).select("d", "c", "s", (F.col("s") + F.octet_length("bytes")).alias("e"))
+        found = whole if found is None else found.unionByName(whole)
+        asked = tally.groupBy("key").agg(F.count("*").alias("texts"), F.max((F.col("n") == 1) & F.col("one.target")).alias("open")).filter("open and texts > 1")
+        one = tally.join(asked.select("key", "texts"), "key").select("key", "texts", (F.col("one.target") & (F.col("n") == 1)).alias("target"), "one.anchor", "one.d", "one.c", "one.s", "one.bytes")
+        one = kept_table(one, "open-bands")
+        few = F.col("texts") <= SORTED_CLASSES
+        found = found.unionByName(sorted_spans(one.filter(few).withColumn("anchor", F.col("key"))))
+        left = one.filter(~few).select(*names)
+        if left.isEmpty():
+            break
+    return found
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -279,8 +294,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     of windows with one anchor are segments. Anchors that occur once end here.
     Segments that are equal as a whole repeat as a whole. What remains, a
     segment that differs from all others of its anchor, is compared with one
-    text of each: by a suffix array, or for anchors with over
-    ``SORTED_CLASSES`` texts by window hashes that combine before the shuffle.
+    text of each by a suffix array; anchors with over ``SORTED_CLASSES`` texts
+    are parted first.
     """
     counts = kept_table(anchor_counts(docs), "anchors")
     met = kept_table(shared_segments(docs.select("d", "c", "text"), counts.select("anchor")), "segments")
@@ -309,7 +324,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         return answering.mapInArrow(cut, "anchor long, texts long, target boolean, d long, c long, s int, bytes binary")
 
     few = F.col("texts") <= SORTED_CLASSES
-    return whole.unionByName(sorted_spans(pieces(wanted.filter(few)))).unionByName(hashed_spans(pieces(wanted.filter(~few))))
+    return whole.unionByName(sorted_spans(pieces(wanted.filter(few)))).unionByName(banded_spans(pieces(wanted.filter(~few))))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

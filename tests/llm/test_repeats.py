@@ -111,3 +111,19 @@ def test_many_texts_of_one_id(spark, ident):
     texts = [first.decode(), second.decode(), passage + prose(20), copy, copy, prose(300), copy + "x"]
     docs = spark.createDataFrame([(ident, t) for t in texts], "doc_id long, text string")
     assert Counter(map(tuple, repeats.repeats_report(docs).collect())) == brute(rows_of(docs))
+
+
+@pytest.mark.parametrize("width", [1, 2, 8, 32])
+def test_bands_part_all_windows_once_and_equal_ones_alike(width):
+    rng = random.Random(width)
+    piece = rng.randbytes(260)
+    texts = [rng.randbytes(rng.randint(0, 90)) + piece[rng.randint(0, 30) : 260 - rng.randint(0, 30)] + rng.randbytes(60) for _ in range(6)] + [b"ab" * 200]
+    keys = {}
+    for data in texts:
+        for gram, s, e, _ in zip(*repeats.segments(data), strict=True):
+            starts = []
+            for key, a, b in repeats.bands(data[s:e], int(gram), width):
+                for w in range(a, b - 199):
+                    starts.append(w)
+                    assert keys.setdefault(data[s + w : s + w + 200], (int(gram), key)) == (int(gram), key)
+            assert starts == list(range(e - s - 199))
