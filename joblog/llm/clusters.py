@@ -172,7 +172,7 @@ def cluster_report(vectors: DataFrame) -> DataFrame:
     names = [(i, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for i, c in enumerate(centroids.tolist())]
     named = vectors.sparkSession.createDataFrame(names, "cluster int, centroid_sha256 string")
     each = told.groupBy("cluster").agg(F.try_sum("distance").alias("cluster_inertia"))
-    every = told.agg(F.try_sum("distance").alias("inertia"))
-    # One row a cluster, and one row.
-    facts = F.broadcast(named.join(each, "cluster").crossJoin(F.broadcast(every)))
-    return told.join(facts, "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+    every = each.agg(F.try_sum("cluster_inertia"), F.count_if(F.col("cluster_inertia").isNull())).first()
+    inertia = F.lit(None if every[1] else every[0]).cast("long").alias("inertia")
+    facts = F.broadcast(named.join(each, "cluster"))  # one row a cluster
+    return told.join(facts, "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", inertia, "centroid_sha256")

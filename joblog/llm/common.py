@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,17 +108,57 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Bits of a sketch that are put together in one row, and places a task gathers before it hands them on.
+SKETCH_BLOCK, GATHERED = 1 << 15, 1 << 20
+
+
 def sketch(keys: DataFrame, bits: int) -> np.ndarray:
     """A Bloom filter of ``keys (k1)``, 64-bit hashes, in ``bits`` bits, however many keys there are.
 
-    Only words that have a bit come to the driver, ``bits`` / 64 at most. Many
-    keys fill it, and then it lets more pass; it never holds a key back.
+    Tasks send two bytes for each bit they set, sorted by block; blocks are put
+    together where they are shuffled to, and come to the driver as they are, in
+    all ``bits`` / 8 bytes. Many keys fill it, and then it lets more pass; it
+    never holds a key back.
     """
-    places = F.array(F.col("k1").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("k1", 32).bitwiseAND(F.lit(bits - 1)))
-    words = keys.select(F.explode(places).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
-    found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toPandas()
+    block = min(bits, SKETCH_BLOCK)
+
+    def spread(found: list[np.ndarray]) -> pa.RecordBatch:
+        places = np.unique(np.concatenate([np.empty(0, np.int64), *found]))
+        heads = np.flatnonzero(np.diff(places // block, prepend=-1))
+        parts = np.split((places % block).astype("<u2"), heads[1:]) if len(heads) else []
+        return pa.RecordBatch.from_arrays([pa.array((places[heads] // block).astype(np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "places"])
+
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
+        for batch in batches:
+            own = batch.column("k1").to_numpy()
+            found += [own & (bits - 1), (own >> 32) & 0xFFFFFFFF & (bits - 1)]
+            held += 2 * len(own)
+            if held >= GATHERED:
+                yield spread(found)
+                found, held = [], 0
+        yield spread(found)
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+
+        number, own = None, np.zeros(block, bool)
+        for batch in batches:
+            for at, places in zip(batch.column("block").to_pylist(), batch.column("places").to_pylist(), strict=True):
+                if at != number and number is not None:
+                    yield whole()
+                    own[:] = False
+                number = at
+                own[np.frombuffer(places, "<u2")] = True
+        if number is not None:
+            yield whole()
+
+    marked = keys.select("k1").mapInArrow(mark, "block int, places binary")
     out = np.zeros(bits // 64, np.int64)
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    for row in marked.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary").collect():
+        words = np.frombuffer(row.bits, "<i8")
+        out[row.block * (block // 64) : row.block * (block // 64) + len(words)] = words
     return out
 
 

@@ -24,7 +24,7 @@ SKETCH_BITS = 1 << 27
 # Segment texts of one anchor that are suffix-sorted together; anchors with more are parted first.
 SORTED_CLASSES = 512
 # Widths of the bands in which windows of such anchors are parted, in turn.
-BANDS = (32, 8, 2, 1)
+BANDS = (69, 23, 8, 2, 1)
 # Bytes of segment texts that a task sorts at once.
 SORTED_BYTES = 1 << 20
 

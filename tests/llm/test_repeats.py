@@ -113,7 +113,7 @@ def test_many_texts_of_one_id(spark, ident):
     assert Counter(map(tuple, repeats.repeats_report(docs).collect())) == brute(rows_of(docs))
 
 
-@pytest.mark.parametrize("width", [1, 2, 8, 32])
+@pytest.mark.parametrize("width", [1, 2, 8, 23, 69])
 def test_bands_part_all_windows_once_and_equal_ones_alike(width):
     rng = random.Random(width)
     piece = rng.randbytes(260)
