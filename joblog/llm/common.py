@@ -120,10 +120,16 @@ def sketch(keys: DataFrame, bits: int) -> np.ndarray:
     all ``bits`` / 8 bytes. Many keys fill it, and then it lets more pass; it
     never holds a key back.
     """
+    return sketches(keys, bits)[0]
+
+
+def sketches(keys: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The filter of all keys, and one that never holds back a key that is there twice."""
     block = min(bits, SKETCH_BLOCK)
 
     def spread(found: list[np.ndarray]) -> pa.RecordBatch:
-        places = np.unique(np.concatenate([np.empty(0, np.int64), *found]))
+        places, times = np.unique(np.concatenate([np.empty(0, np.int64), *found]), return_counts=True)
+        places = np.repeat(places, np.minimum(times, 2))
         heads = np.flatnonzero(np.diff(places // block, prepend=-1))
         parts = np.split((places % block).astype("<u2"), heads[1:]) if len(heads) else []
         return pa.RecordBatch.from_arrays([pa.array((places[heads] // block).astype(np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "places"])
@@ -141,25 +147,30 @@ def sketch(keys: DataFrame, bits: int) -> np.ndarray:
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def whole() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+            packed = (np.packbits(b, bitorder="little").tobytes() for b in (once, twice))
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *(pa.array([p], pa.binary()) for p in packed)], ["block", "once", "twice"])
 
-        number, own = None, np.zeros(block, bool)
+        number, once, twice = None, np.zeros(block, bool), np.zeros(block, bool)
         for batch in batches:
-            for at, places in zip(batch.column("block").to_pylist(), batch.column("places").to_pylist(), strict=True):
+            for at, data in zip(batch.column("block").to_pylist(), batch.column("places").to_pylist(), strict=True):
                 if at != number and number is not None:
                     yield whole()
-                    own[:] = False
-                number = at
-                own[np.frombuffer(places, "<u2")] = True
+                    once[:] = twice[:] = False
+                number, places = at, np.frombuffer(data, "<u2")
+                twice[places[once[places]]] = True
+                twice[places[1:][places[1:] == places[:-1]]] = True
+                once[places] = True
         if number is not None:
             yield whole()
 
     marked = keys.select("k1").mapInArrow(mark, "block int, places binary")
-    out = np.zeros(bits // 64, np.int64)
-    for row in marked.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary").collect():
-        words = np.frombuffer(row.bits, "<i8")
-        out[row.block * (block // 64) : row.block * (block // 64) + len(words)] = words
-    return out
+    out = np.zeros((2, bits // 64), np.int64)
+    sorted_rows = marked.repartition("block").sortWithinPartitions("block")
+    for row in sorted_rows.mapInArrow(merge, "block int, once binary, twice binary").collect():
+        for layer, data in zip(out, (row.once, row.twice), strict=True):
+            words = np.frombuffer(data, "<i8")
+            layer[row.block * (block // 64) :][: len(words)] = words
+    return out[0], out[1]
 
 
 def sketched(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
