@@ -22,7 +22,7 @@ MULTIPLIER, MIXER = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
 # Bits of the sketch of shared anchors: 16 MiB at any size of the input.
 SKETCH_BITS = 1 << 27
 # Segment texts of one anchor that are suffix-sorted together; anchors with more are parted first.
-SORTED_CLASSES = 512
+SORTED_CLASSES = 2048
 # Widths of the bands in which windows of such anchors are parted, in turn.
 BANDS = (69, 23, 8, 2, 1)
 # Bytes of segment texts that a task sorts at once.
