@@ -362,6 +362,90 @@ def apply_results(tasks: DataFrame, outcomes: DataFrame, as_of) -> DataFrame:
     return decided.select(*changed.values(), "transition")
 
 
+def apply_attempts(
+    tasks: DataFrame,
+    attempts: DataFrame,
+    order: Sequence[str] = ("attempt_ts",),
+    chunk_seconds: int = TIME_CHUNK_SECONDS,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Last version of each live task that has attempts (task_id, ok, error_msg), all of them taken in order.
+
+    Adds ``transition``, that of the last attempt that counts, and ``attempts``,
+    how many count. A failure is a retry while the attempts of its run are fewer
+    than ``max_retries``, else the task is dead. A success starts the next run of a recurring task
+    at its first tick after the attempt and completes any other. What comes
+    after the end of a task does not count. ``order`` starts with the attempt's
+    timestamp and has to be total; ``ok`` null is a failure.
+
+    Up to its end a task restarts at each success, so a run is numbered by the
+    attempts alone, hot tasks in chunks; the end is the first attempt that no
+    rule lets pass. Everything else is minima and maxima by order, combined
+    before they are shuffled.
+    """
+    order = list(order)
+    at = F.struct(*order)
+    rows = attempts.select(
+        "task_id", *order, F.coalesce("ok", F.lit(False)).alias("__ok"), F.col("error_msg").alias("__error")
+    )
+    # The shuffled rows are narrow; what the rules need of a task joins them by its unique id.
+    numbered = number_rows(rows, ["task_id"], order, time_chunk(order[0], chunk_seconds), "__no", "__ok", hot_rows)
+    first_success = rows.filter("__ok").groupBy("task_id").agg(F.min(at).alias("__success"))
+    facts = (
+        live_tasks(tasks)
+        .select(
+            "task_id",
+            F.col("retry_count").cast("bigint").alias("__count"),
+            F.col("max_retries").cast("bigint").alias("__most"),
+            F.col("cron_expression").alias("__cron"),
+        )
+        .join(first_success, "task_id", "left")
+    )
+    # The first run goes on from the task's own count.
+    first_run = F.col("__success").isNull() | (at <= F.col("__success"))
+    before = F.when(first_run, F.col("__count")).otherwise(F.lit(0)) + F.col("__no") - 1
+    transition = (
+        F.when(F.col("__ok") & F.col("__tick").isNotNull(), "rescheduled")
+        .when(F.col("__ok"), "completed")
+        .when(F.col("__before") < F.col("__most") - 1, "retry")
+        .otherwise("dead")
+    )
+    moved = (
+        numbered.join(facts, "task_id")
+        .withColumns({"__before": before, "__tick": next_tick_column(F.when(F.col("__ok"), F.col("__cron")), F.col(order[0]))})
+        .select("task_id", at.alias("__at"), F.col(order[0]).alias("__ts"), "__error", "__before", "__tick", transition.alias("transition"))
+    )
+    ends = moved.filter(F.col("transition").isin("completed", "dead")).groupBy("task_id").agg(F.min("__at").alias("__end"))
+    counted = moved.join(ends, "task_id", "left").filter(F.col("__end").isNull() | (F.col("__at") <= F.col("__end")))
+    failed, waits = F.col("transition") == "retry", F.col("transition") == "rescheduled"
+    last = counted.groupBy("task_id").agg(
+        F.count(F.lit(1)).alias("attempts"),
+        F.max(F.struct("__at", "transition", "__before", "__ts")).alias("__last"),
+        F.max(F.when(failed, F.struct("__at", "__ts", "__error"))).alias("__retry"),
+        F.max(F.when(waits, F.struct("__at", "__tick"))).alias("__again"),
+    )
+    joined = live_tasks(tasks).join(last, "task_id")
+    retry, again = F.col("__retry"), F.col("__again")
+    kind = F.col("__last.transition")
+    erred = retry.isNotNull() & (again.isNull() | (retry["__at"] > again["__at"]))
+    retried = retry_columns(retry["__error"], retry["__ts"])
+    values = {
+        "retry_count": F.when(kind == "rescheduled", F.lit(0)).otherwise(F.col("__last.__before") + F.when(kind == "retry", 1).otherwise(0)),
+        "execute_at": F.when(again.isNotNull(), again["__tick"]).otherwise(F.col("execute_at")),
+        "retry_after_time": F.when(retry.isNotNull(), retried["retry_after_time"]).otherwise(F.col("retry_after_time")),
+        "deleted_at": F.when(kind.isin("completed", "dead"), F.col("__last.__ts")).otherwise(F.col("deleted_at")),
+    }
+    for column in ("last_error_obj", "last_job_error"):
+        if column in tasks.columns:
+            values[column] = F.when(erred, retried[column]).when(again.isNull(), F.col(column))
+    kinds = {f.name: f.dataType for f in tasks.schema.fields}
+    return joined.select(
+        *[values[c].cast(kinds[c]).alias(c) if c in values else F.col(c) for c in tasks.columns],
+        kind.alias("transition"),
+        "attempts",
+    )
+
+
 def dead_letters(tasks: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Live tasks whose last allowed attempt failed: id, type, data, and where the notice goes."""
     failed = outcomes.filter(~F.col("ok")).select("task_id", "error")

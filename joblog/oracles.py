@@ -447,6 +447,32 @@ FROM (SELECT t.*, f.error_msg, CASE WHEN f.ok AND t.cron = '10m' THEN 'reschedul
         "fx_attempts",
         steps=FIRST,
     )
+    o["apply_attempts"] = _sql(
+        """SELECT task_id, transition, attempts, cast(retries AS bigint) AS retry_count, execute_at, retry_after_time,
+  CASE WHEN transition IN ('completed', 'dead') THEN moment END AS deleted_at, last_error_obj, last_error_obj AS job_error
+FROM walk WHERE attempts > 0 QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY attempts DESC) = 1""",
+        "fx_tasks",
+        "fx_attempts",
+        recursive=True,
+        steps=f"""numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY {ORDER}) AS no FROM fx_attempts),
+walk AS (
+  SELECT task_id, max_retries, cron, cast(trunc(retry_after_hours * 3600.0) AS bigint) * 1000000 AS delay,
+         0::bigint AS attempts, 'start' AS transition, retry_count::bigint AS retries, epoch_us(execute_at) AS execute_at,
+         epoch_us(retry_after_time) AS retry_after_time, 0::bigint AS moment, last_error_obj
+  FROM fx_tasks WHERE deleted_at IS NULL
+  UNION ALL
+  SELECT task_id, max_retries, cron, delay, attempts + 1, kind,
+         CASE kind WHEN 'retry' THEN retries + 1 WHEN 'rescheduled' THEN 0 ELSE retries END,
+         CASE kind WHEN 'rescheduled' THEN now + 600000000 ELSE execute_at END,
+         CASE kind WHEN 'retry' THEN now + delay ELSE retry_after_time END, now,
+         CASE kind WHEN 'retry' THEN error_msg WHEN 'rescheduled' THEN NULL ELSE last_error_obj END
+  FROM (SELECT w.*, n.error_msg, epoch_us(n.attempt_ts) AS now,
+               CASE WHEN n.ok AND w.cron = '10m' THEN 'rescheduled' WHEN n.ok THEN 'completed'
+                    WHEN w.retries < w.max_retries - 1 THEN 'retry' ELSE 'dead' END AS kind
+        FROM walk w JOIN numbered n ON n.task_id = w.task_id AND n.no = w.attempts + 1
+        WHERE w.transition NOT IN ('completed', 'dead')))""",
+    )
     o["reschedule_cron"] = _sql(
         f"""SELECT t.task_id, CASE WHEN cron = '10m' THEN {now} + 600000000 ELSE epoch_us(execute_at) END AS execute_at,
   epoch_us(retry_after_time) AS retry_after_time, cast(CASE WHEN cron = '10m' THEN 0 ELSE retry_count END AS bigint) AS retry_count,

@@ -555,6 +555,16 @@ def apply_results(v: Views) -> DataFrame:
     )
 
 
+@query
+def apply_attempts(v: Views) -> DataFrame:
+    """Versions after all attempts of each task, not its first alone."""
+    moved = outcomes.apply_attempts(v.task_rows(), v.attempts, ATTEMPT_ORDER)
+    return moved.select(
+        "task_id", "transition", "attempts", "retry_count", "execute_at", "retry_after_time", "deleted_at", "last_error_obj",
+        F.col("last_job_error.error").alias("job_error"),
+    )
+
+
 @query
 def reschedule_cron(v: Views) -> DataFrame:
     succeeded = tasks.live_tasks(v.task_rows()).join(v.first_outcomes().filter("ok").select("task_id"), "task_id", "left_semi")

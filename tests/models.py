@@ -88,3 +88,29 @@ def pair(executions, results):
             pending = None
     late = {i for i, ts, d in executions if d is not None and not any(ts <= r <= d for _, r in results)}
     return matched, late
+
+
+def attempts(tasks, history, next_tick):
+    """tasks: {id: (retry_count, max_retries, cron)}; history: (id, ts, ok, error) in order.
+
+    Returns {id: (transition, attempts, retry_count, execute_at, retried_at, ended_at, error)} of tasks with attempts.
+    """
+    out = {}
+    for task, ts, ok, error in history:
+        if task not in tasks:
+            continue
+        count, most, cron = tasks[task]
+        old = out.get(task, (None, 0, count, "own", "own", None, "own"))
+        kind, n, count, runs_at, retried, ended, seen = old
+        if kind in ("completed", "dead"):
+            continue
+        tick = next_tick(cron, ts) if ok and cron else None
+        if tick is not None:
+            out[task] = ("rescheduled", n + 1, 0, tick, retried, None, None)
+        elif ok:
+            out[task] = ("completed", n + 1, count, runs_at, retried, ts, seen)
+        elif count < most - 1:
+            out[task] = ("retry", n + 1, count + 1, runs_at, ts, None, error)
+        else:
+            out[task] = ("dead", n + 1, count, runs_at, retried, ts, seen)
+    return out

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import models
+from joblog.functions.cron import next_tick, parse_cron
 from joblog.operators import dedupe, outcomes, quota
 
 EPOCH = dt.datetime(2024, 1, 1)
@@ -169,6 +170,42 @@ def test_number_attempts_and_summary(spark, chunk, hot_rows):
     assert got == {t: models.attempts_of([(r[2], r[3]) for r in by_task.get(t, [])], m) for t, m in limits.items()}
 
 
+@pytest.mark.parametrize("chunk,hot_rows", [(1, 0), (60, 40), (100_000, 0), (60, 10**6)])
+def test_apply_attempts(spark, chunk, hot_rows):
+    rng = random.Random(chunk * 3 + hot_rows)
+    history = [row[:4] for row in attempt_rows(rng, 14, 500)]
+    crons = [None, "0 */10 * * * *", "0 0 0 30 2 *", "nonsense", "0 30 0 1 1 * 2024"]
+    known = {f"t{i}": (rng.randrange(3), rng.randrange(5), crons[i % 5]) for i in range(1, 13)}
+    known["t0"] = (0, 6, crons[1])  # the hot task, restarted again and again
+    known["t12"] = (0, 3, None)  # has no attempts
+    gone = {"t3"}
+    df = spark.createDataFrame([(t, *k, t in gone) for t, k in known.items()], "task_id string, retry_count int, max_retries int, cron_expression string, gone boolean")
+    own = F.to_timestamp(F.lit("2023-01-01"))
+    tasks = df.select(
+        "task_id", "retry_count", "max_retries", "cron_expression", F.lit(0.5).alias("retry_after_hours"), own.alias("execute_at"),
+        own.alias("retry_after_time"), F.lit("own").alias("last_error_obj"), F.when(F.col("gone"), own).alias("deleted_at"),
+    )
+    attempts = spark.createDataFrame(history, "task_id string, attempt_ts timestamp, ok boolean, error_msg string").repartition(5)
+    moved = outcomes.apply_attempts(tasks, attempts, chunk_seconds=chunk, hot_rows=hot_rows)
+    assert moved.columns == [*tasks.columns, "transition", "attempts"] and moved.schema["retry_count"].dataType.simpleString() == "int"
+    year = dt.datetime(2023, 1, 1)
+
+    def tick(cron, ts):
+        fields = parse_cron(cron)
+        return fields and next_tick(fields, ts)
+
+    expected = models.attempts({t: k for t, k in known.items() if t not in gone}, history, tick)
+    got = {
+        r.task_id: (
+            r.transition, r.attempts, r.retry_count, "own" if r.execute_at == year else r.execute_at,
+            "own" if r.retry_after_time == year else r.retry_after_time - dt.timedelta(minutes=30), r.deleted_at, r.last_error_obj,
+        )
+        for r in moved.collect()
+    }
+    assert got == expected and {v[0] for v in got.values()} >= {"completed", "dead"}
+    assert outcomes.apply_attempts(tasks, attempts.filter("false")).count() == 0
+
+
 @pytest.mark.parametrize("chunk,hot_rows", [(1, 0), (30, 100), (100_000, 0), (30, 10**6)])
 def test_results_find_their_executions(spark, chunk, hot_rows):
     rng = random.Random(chunk + hot_rows)
