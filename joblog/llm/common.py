@@ -112,18 +112,24 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
 SKETCH_BLOCK, GATHERED = 1 << 15, 1 << 20
 
 
-def sketch(keys: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter of ``keys (k1)``, 64-bit hashes, in ``bits`` bits, however many keys there are.
+def _probed(keys: np.ndarray, bits: int, probes: int) -> list[np.ndarray]:
+    """The ``probes`` places of each of ``keys`` in a filter."""
+    a, b = keys & (bits - 1), (keys >> 32) & 0xFFFFFFFF & (bits - 1)
+    return [a, b, *((a + i * b) & (bits - 1) for i in range(1, probes - 1))]
+
+
+def sketch(keys: DataFrame, bits: int, probes: int = 2) -> np.ndarray:
+    """A Bloom filter of ``keys (k1)``, 64-bit hashes, in ``bits`` bits, ``probes`` a key, however many keys there are.
 
     Tasks send two bytes for each bit they set, sorted by block; blocks are put
     together where they are shuffled to, and come to the driver as they are, in
     all ``bits`` / 8 bytes. Many keys fill it, and then it lets more pass; it
     never holds a key back.
     """
-    return sketches(keys, bits)[0]
+    return sketches(keys, bits, probes)[0]
 
 
-def sketches(keys: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def sketches(keys: DataFrame, bits: int, probes: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """The filter of all keys, and one that never holds back a key that is there twice."""
     block = min(bits, SKETCH_BLOCK)
 
@@ -138,8 +144,8 @@ def sketches(keys: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
         found, held = [], 0
         for batch in batches:
             own = batch.column("k1").to_numpy()
-            found += [own & (bits - 1), (own >> 32) & 0xFFFFFFFF & (bits - 1)]
-            held += 2 * len(own)
+            found += _probed(own, bits, probes)
+            held += probes * len(own)
             if held >= GATHERED:
                 yield spread(found)
                 found, held = [], 0
@@ -173,8 +179,9 @@ def sketches(keys: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def sketched(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether each of ``keys`` (signed 64-bit) may be in the filter."""
-    mask = 64 * len(filled) - 1
-    a, b = keys & mask, (keys >> 32) & 0xFFFFFFFF & mask
-    return ((filled[a >> 6] >> (a & 63)) & (filled[b >> 6] >> (b & 63)) & 1).astype(bool)
+def sketched(filled: np.ndarray, keys: np.ndarray, probes: int = 2) -> np.ndarray:
+    """Whether each of ``keys`` (signed 64-bit) may be in the filter, made with as many ``probes``."""
+    found = np.ones(len(keys), np.int64)
+    for at in _probed(keys, 64 * len(filled), probes):
+        found &= filled[at >> 6] >> (at & 63)
+    return found.astype(bool)

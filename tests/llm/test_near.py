@@ -188,9 +188,10 @@ def brute_lines(rows, edits):
     return Counter((d, t if d is None or t is None else cut(d, t)) for d, t in rows)
 
 
-@pytest.mark.parametrize("edits,block", [(1, 256), (1, 3), (2, 4)])
-def test_line_dedup(spark, edges, small, monkeypatch, edits, block):
+@pytest.mark.parametrize("edits,block,neighbours", [(1, 256, 32), (1, 3, 1), (2, 4, 2)])
+def test_line_dedup(spark, edges, small, monkeypatch, edits, block, neighbours):
     monkeypatch.setattr(lines, "BLOCK", block)
+    monkeypatch.setattr(lines, "NEIGHBOURS", neighbours)
     rng = random.Random(9)
     base = "the quick brown fox jumps over dogs and some more"
     close = [(5000 + i, "\n".join(base[:k] + rng.choice("xyz") + base[k + rng.randint(0, 1) :] for k in rng.sample(range(len(base)), 3))) for i in range(25)]
