@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,9 +23,13 @@ HOT_ROOT = 4096
 TAKE = 1 << 17
 # Node pairs with at most this many leaf pairs are compared leaf by leaf.
 LEAVES = 16
+# Node pairs that go down a trie at once; the others wait.
+NODES = 1 << 17
 # Documents are similar if their sets of five-word shingles have at least this percentage of their union in common.
 SIMILAR_WORDS = 5
 SIMILAR_PERCENT = 80
+# Differing bits up to which fingerprints of shingle sets make a candidate pair: at Jaccard 0.8 about 10 of 64 differ.
+SIMILAR_BITS = 12
 # Documents that tell which shingles are common; they order the shingles and decide nothing.
 ORDER_SAMPLE = 2000
 # Bits of the sketch of candidate documents: 8 MiB at any size of the input.
@@ -76,16 +80,23 @@ def _expand(a_lo, a_hi, b_lo, b_hi):
     return i[i < j], j[i < j]
 
 
-def trie_links(keys: np.ndarray, a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.ndarray, b_hi: np.ndarray, errors: np.ndarray, bit: int, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(keys: np.ndarray, a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.ndarray, b_hi: np.ndarray, errors: np.ndarray, bit: int, budget: int = BUDGET, lead: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
     """Links (i, j) among ``keys`` with at most ``budget`` differing bits, by traversing node pairs of the trie together.
 
     A node is a range of ``keys``, sorted below each root; ``errors`` has the
     bits in which the two paths differ so far. All pairs of one depth go down
-    together: equal children keep their errors, unequal ones add one, and
-    pairs over the budget or with an empty side end.
+    together, ``NODES`` at once: equal children keep their errors, unequal ones
+    add one, and pairs over the budget, over ``lead`` in the first 16 bits, or
+    with an empty side end.
     """
     found_i, found_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    while len(a_lo):
+    waiting = [(bit, (a_lo, a_hi, b_lo, b_hi, errors))]
+    while waiting:
+        bit, nodes = waiting.pop()
+        if len(nodes[0]) > NODES:
+            waiting.append((bit, tuple(x[NODES:] for x in nodes)))
+            nodes = tuple(x[:NODES] for x in nodes)
+        a_lo, a_hi, b_lo, b_hi, errors = nodes
         few = ((a_hi - a_lo) * (b_hi - b_lo) <= LEAVES) | (bit < 0)
         if few.any():
             i, j = _expand(a_lo[few], a_hi[few], b_lo[few], b_hi[few])
@@ -94,7 +105,7 @@ def trie_links(keys: np.ndarray, a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.nd
             found_j.append(j[near])
             a_lo, a_hi, b_lo, b_hi, errors = (x[~few] for x in (a_lo, a_hi, b_lo, b_hi, errors))
         if not len(a_lo):
-            break
+            continue
         ones = np.concatenate(([0], np.cumsum((keys >> np.uint64(bit)) & np.uint64(1)).astype(np.int64)))
         a_mid, b_mid = a_hi - (ones[a_hi] - ones[a_lo]), b_hi - (ones[b_hi] - ones[b_lo])
         other = a_lo != b_lo
@@ -105,9 +116,10 @@ def trie_links(keys: np.ndarray, a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.nd
             tuple(x[other] for x in (a_mid, a_hi, b_lo, b_mid, errors + 1)),
         ]
         a_lo, a_hi, b_lo, b_hi, errors = (np.concatenate(x) for x in zip(*parts, strict=True))
-        live = (a_hi > a_lo) & (b_hi > b_lo) & (errors <= budget) & ~((a_lo == b_lo) & (a_hi - a_lo < 2))
-        a_lo, a_hi, b_lo, b_hi, errors = (x[live] for x in (a_lo, a_hi, b_lo, b_hi, errors))
-        bit -= 1
+        most = min(budget, lead) if bit >= 48 else budget
+        live = (a_hi > a_lo) & (b_hi > b_lo) & (errors <= most) & ~((a_lo == b_lo) & (a_hi - a_lo < 2))
+        if live.any():
+            waiting.append((bit - 1, tuple(x[live] for x in (a_lo, a_hi, b_lo, b_hi, errors))))
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
@@ -124,8 +136,11 @@ def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def _links_of(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (fp, fp) of whole roots, rows sorted by root and key (unsigned)."""
+def _pairs_of(rows: dict[str, np.ndarray], front: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of places in whole roots that differ in at most ``budget`` bits, rows sorted by root and key (unsigned).
+
+    All keys of a root agree in the first ``front`` bits; the first 16 differ in ``budget`` // 4 at most.
+    """
     key = rows["key"].view(np.uint64)
     head = np.stack([rows["root"], rows["pair"]])
     starts = np.flatnonzero(np.concatenate(([True], (head[:, 1:] != head[:, :-1]).any(axis=0))))
@@ -134,46 +149,53 @@ def _links_of(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     low, high = pair >> 12, pair & 4095
     a_lo, a_hi, b_lo, b_hi = starts.copy(), ends.copy(), starts.copy(), ends.copy()
     for g in np.flatnonzero(low != high):  # the two nodes of a dealt pair are neighbours in the sorted range
-        node = (key[starts[g] : ends[g]] >> np.uint64(48 - depth[g])) & np.uint64((1 << int(depth[g])) - 1)
+        node = (key[starts[g] : ends[g]] >> np.uint64(64 - front - depth[g])) & np.uint64((1 << int(depth[g])) - 1)
         a_hi[g] = b_lo[g] = starts[g] + np.searchsorted(node, np.uint64(high[g]))
     errors = np.bitwise_count(low ^ high).astype(np.int64)
     live = (a_hi > a_lo) & (b_hi > b_lo) & (ends - starts > 1)
-    # Below the root all keys of a range agree in the first 16 bits; dealt nodes agree further, which costs no pairs.
+    # Dealt nodes agree further than their root, which costs no pairs.
     i, j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for d in np.unique(depth[live]):
         own = live & (depth == d)
-        p, q = trie_links(key, a_lo[own], a_hi[own], b_lo[own], b_hi[own], errors[own], 47 - int(d))
+        p, q = trie_links(key, a_lo[own], a_hi[own], b_lo[own], b_hi[own], errors[own], 63 - front - int(d), budget, budget // 4)
         i.append(p)
         j.append(q)
-    label = least_labels(len(key), np.concatenate(i), np.concatenate(j))
-    moved = np.flatnonzero(label != np.arange(len(key)))
-    return rows["fp"][moved], rows["fp"][label[moved]]
+    return np.concatenate(i), np.concatenate(j)
 
 
-def fingerprint_links(prints: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect just the fingerprints of ``prints (fp)``, distinct, linked at ``BUDGET`` bits.
+def _star(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges (fp, fp) for each component of the pairs."""
+    label = least_labels(len(rows["fp"]), i, j)
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return rows["fp"][moved], rows["fp"][label[moved]]
 
-    Of four 16-bit blocks one is equal, so four tries are joined with
-    themselves, each with another block in front; a root is a value of the
-    front block. Roots with over ``HOT_ROOT`` fingerprints are dealt out as
-    pairs of nodes 4, 8 or 12 bits deeper that the budget still allows. A task
-    emits a star for each component it finds, not its pairs.
-    """
+
+def _turned(prints: DataFrame, *columns: str) -> DataFrame:
+    """``prints`` four times: ``j`` and ``key``, the fingerprint with its block ``j`` of 16 bits in front."""
     turns = F.array(*(
         F.struct(F.lit(j).alias("j"), (F.shiftleft("fp", 16 * j).bitwiseOR(F.shiftrightunsigned("fp", 64 - 16 * j)) if j else F.col("fp")).alias("key"))
         for j in range(4)
     ))
-    rows = prints.select("fp", F.inline(turns))
-    rows = rows.select("fp", "key", (F.col("j") * 65536 + F.shiftrightunsigned("key", 48)).cast("long").alias("root"))
-    hot = rows.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROOT)
-    depth = F.when(F.col("n") <= 16 * HOT_ROOT, 4).when(F.col("n") <= 256 * HOT_ROOT, 8).otherwise(12)
+    return prints.select("fp", *columns, F.inline(turns))
+
+
+def _trie_join(rows: DataFrame, front: int, budget: int, hot_root: int, edges: Callable, columns: tuple[str, ...] = ()) -> DataFrame:
+    """What ``edges`` makes of the pairs in each root of ``rows (fp, key, root)``, as rows (a, b).
+
+    Roots with over ``hot_root`` fingerprints are dealt out as pairs of nodes
+    4, 8 or 12 bits deeper that a block's share of the budget still allows.
+    """
+    hot = rows.groupBy("root").agg(F.count("*").alias("n_root")).filter(F.col("n_root") > hot_root)
+    depth = F.when(F.col("n_root") <= 16 * hot_root, 4).when(F.col("n_root") <= 256 * hot_root, 8).otherwise(12)
     rows = rows.join(hot.select("root", depth.alias("depth")), "root", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    # Below a front block that agrees the whole budget is left.
+    errors = budget if front else budget // 4
 
     def partners(bits: int) -> list[int]:
-        return [x for x in range(1 << bits) if x.bit_count() <= BUDGET]
+        return [x for x in range(1 << bits) if x.bit_count() <= errors]
 
     def dealt(bits: int):
-        node = F.shiftrightunsigned("key", 48 - bits).bitwiseAND(F.lit((1 << bits) - 1))
+        node = F.shiftrightunsigned("key", 64 - front - bits).bitwiseAND(F.lit((1 << bits) - 1))
         masks = F.array(*(F.lit(x).cast("long") for x in partners(bits)))
         return F.transform(masks, lambda m: F.least(node, node.bitwiseXOR(m)) * 4096 + F.greatest(node, node.bitwiseXOR(m)))
 
@@ -182,13 +204,13 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
         pairs = pairs.when(F.col("depth") == bits, dealt(bits))
     rows = rows.withColumn("pair", F.explode(pairs)).withColumn("depth", F.col("depth").cast("long"))
     rows = rows.repartition("root", "pair").sortWithinPartitions("root", "pair", F.col("key").bitwiseXOR(F.lit(-(1 << 63))))
-    names = ("fp", "key", "root", "pair", "depth")
+    names = ("fp", "key", "root", "pair", "depth", *columns)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {n: np.empty(0, np.int64) for n in names}
 
-        def edges(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-            a, b = _links_of(rows)
+        def found(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+            a, b = edges(rows, *_pairs_of(rows, front, budget))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
@@ -198,14 +220,25 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
             last = np.flatnonzero((held["root"] != held["root"][-1]) | (held["pair"] != held["pair"][-1]))
             if len(last):
                 cut = last[-1] + 1
-                yield edges({n: v[:cut] for n, v in held.items()})
+                yield found({n: v[:cut] for n, v in held.items()})
                 held = {n: v[cut:] for n, v in held.items()}
         if len(held["fp"]):
-            yield edges(held)
+            yield found(held)
 
     return rows.select(*names).mapInArrow(run, "a long, b long")
 
 
+def fingerprint_links(prints: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect just the fingerprints of ``prints (fp)``, distinct, linked at ``BUDGET`` bits.
+
+    Of four 16-bit blocks one is equal, so four tries are joined with
+    themselves, each with another block in front; a root is a value of the
+    front block. A task emits a star for each component it finds, not its pairs.
+    """
+    rows = _turned(prints).select("fp", "key", (F.col("j") * 65536 + F.shiftrightunsigned("key", 48)).cast("long").alias("root"))
+    return _trie_join(rows, 16, BUDGET, HOT_ROOT, _star)
+
+
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """Rows (doc_id, fp, component_id): fingerprints link at ``BUDGET`` or fewer differing bits.
 
@@ -257,12 +290,8 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
     return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
 
-def _runs_pairs(rows: dict[str, np.ndarray], percent: int, star: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes inside runs of equal ``gram``, rows sorted by gram and size, that size and place allow.
-
-    A star joins the rows of a run to its first one only; otherwise all pairs
-    come whose clusters differ.
-    """
+def _runs_pairs(rows: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes of other clusters inside runs of equal ``gram``, rows sorted by gram and size, that size and place allow."""
     gram, n, at, node, cluster = (rows[c] for c in ("gram", "n", "at", "node", "cluster"))
     starts = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
     ends = np.append(starts[1:], len(gram))
@@ -271,23 +300,20 @@ def _runs_pairs(rows: dict[str, np.ndarray], percent: int, star: bool) -> tuple[
     def keep(i: np.ndarray, j: np.ndarray) -> None:
         # An equal share of the union is percent / (100 + percent) of both sizes; a first shared shingle leaves what follows it.
         most = np.minimum(n[i] - at[i], n[j] - at[j])
-        fine = ((100 + percent) * most >= percent * (n[i] + n[j])) & (100 * n[i] >= percent * n[j]) & (node[i] != node[j])
-        fine &= star | (cluster[i] != cluster[j])
+        fine = ((100 + percent) * most >= percent * (n[i] + n[j])) & (100 * n[i] >= percent * n[j]) & (cluster[i] != cluster[j])
         a, b = node[i[fine]], node[j[fine]]
         out_a.append(np.minimum(a, b))
         out_b.append(np.maximum(a, b))
 
     for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-        if star:
-            keep(np.full(e - s - 1, s), np.arange(s + 1, e))
-        elif (cluster[s:e] != cluster[s]).any():
+        if (cluster[s:e] != cluster[s]).any():
             for i in range(s, e - 1):
                 keep(np.full(e - i - 1, i), np.arange(i + 1, e))
     pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1)
     return pairs[0], pairs[1]
 
 
-def _met(rows: DataFrame, percent: int, star: bool) -> DataFrame:
+def _met(rows: DataFrame, percent: int) -> DataFrame:
     """Distinct candidate pairs (a, b) of the nodes of ``rows (gram, n, at, node, cluster)``."""
     names = ["gram", "n", "at", "node", "cluster"]
 
@@ -295,7 +321,7 @@ def _met(rows: DataFrame, percent: int, star: bool) -> DataFrame:
         held = {c: np.empty(0, np.int64) for c in names}
 
         def pairs(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-            a, b = _runs_pairs(rows, percent, star)
+            a, b = _runs_pairs(rows, percent)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
@@ -312,13 +338,48 @@ def _met(rows: DataFrame, percent: int, star: bool) -> DataFrame:
     return ordered.select(*names).mapInArrow(run, "a long, b long").distinct()
 
 
+def _candidates(percent: int) -> Callable:
+    """Of the pairs of a task those that sizes allow, and for each node its pair with the nearest and with the least one."""
+
+    def edges(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, node = rows["n"], rows["node"]
+        fine = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+        x, y = np.concatenate([i[fine], j[fine]]), np.concatenate([j[fine], i[fine]])
+        apart = np.bitwise_count(rows["fp"][x].view(np.uint64) ^ rows["fp"][y].view(np.uint64))
+        told = []
+        for order in (np.lexsort((node[y], apart, x)), np.lexsort((node[y], x))):
+            first = order[np.flatnonzero(np.diff(x[order], prepend=-1))]
+            told.append(np.stack([np.minimum(node[x[first]], node[y[first]]), np.maximum(node[x[first]], node[y[first]])]))
+        a, b = np.unique(np.concatenate(told, axis=1), axis=1)
+        return a, b
+
+    return edges
+
+
+def trie_pairs(prints: DataFrame, percent: int = SIMILAR_PERCENT, bits: int = SIMILAR_BITS) -> DataFrame:
+    """Candidate pairs (a, b) among ``prints (node, fp, n)``: fingerprints at ``bits`` or fewer differing bits, like sizes ``n``.
+
+    One of four 16-bit blocks has at most a fourth of the errors, so four tries
+    are joined with themselves, each with another block in front. A root holds
+    two neighbouring classes of sizes, a class being as wide as similar sets may
+    differ. Nodes of one fingerprint meet under the least of them.
+    """
+    first = prints.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first")).select("fp", "first.*")
+    mates = prints.join(first.select("fp", F.col("node").alias("a")), "fp").filter("node <> a").select("a", F.col("node").alias("b"))
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
+    rows = _turned(first, "n", "node").withColumn("size", F.explode(F.array(size, size + 1)))
+    rows = rows.select("fp", "key", "n", "node", (F.col("size") * 4 + F.col("j")).cast("long").alias("root"))
+    return _trie_join(rows, 0, bits, 4 * HOT_ROOT, _candidates(percent), ("n", "node")).unionByName(mates).distinct()
+
+
 def similar_links(docs: DataFrame, words: int = SIMILAR_WORDS, percent: int = SIMILAR_PERCENT) -> DataFrame:
     """Edges (a, b) of set keys that connect just the shingle sets of Jaccard similarity ``percent`` / 100 or more; exact.
 
-    In any one order of all shingles, two similar sets share one among the
-    first n - ceil(n * percent / 100) + 1 of each (prefix filter), so documents
-    meet under these, common shingles last. First the members of a shingle are
-    held against its smallest one; then all pairs that this has not connected.
+    Fingerprints of the sets meet in the trie join at ``SIMILAR_BITS``, and the
+    sets of these pairs are compared. What a fingerprint cannot tell is found by
+    a prefix filter: in any one order of all shingles, two similar sets share
+    one among the first n - ceil(n * percent / 100) + 1 of each, so those that
+    the trie has not connected meet under these, common shingles last.
     """
     small_batches(docs.sparkSession)
     docs = docs.select("text")
@@ -326,7 +387,7 @@ def similar_links(docs: DataFrame, words: int = SIMILAR_WORDS, percent: int = SI
 
     def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, counts, sizes, keys = [np.empty(0, np.uint64)], [], [], []
+            grams, counts, sizes, keys, prints = [np.empty(0, np.uint64)], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingle_set(text, words, common.value)
                 n = len(found)
@@ -335,11 +396,15 @@ def similar_links(docs: DataFrame, words: int = SIMILAR_WORDS, percent: int = SI
                     counts.append(len(grams[-1]))
                     sizes.append(n)
                     keys.append(set_key(found))
+                    prints.append(majority(found))
             at = np.concatenate([np.empty(0, np.int64), *(np.arange(c) for c in counts)])
             columns = [np.concatenate(grams).view(np.int64), np.repeat(np.array(sizes, np.int64), counts), at, np.repeat(np.array(keys, np.int64), counts)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "n", "at", "node"])
+            # A set's fingerprint is one more row of it, at no place.
+            own = [np.array(prints, np.uint64).view(np.int64), np.array(sizes, np.int64), np.full(len(keys), -1), np.array(keys, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(columns, own, strict=True)], ["gram", "n", "at", "node"])
 
-    rows = kept_table(docs.mapInArrow(prefixes, "gram long, n long, at long, node long").distinct(), "shingles")
+    met = kept_table(docs.mapInArrow(prefixes, "gram long, n long, at long, node long").distinct(), "shingles")
+    prints, rows = met.filter("at < 0").select("node", F.col("gram").alias("fp"), "n"), met.filter("at >= 0")
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = kept_table(pairs, "similar-pairs")
@@ -366,10 +431,10 @@ def similar_links(docs: DataFrame, words: int = SIMILAR_WORDS, percent: int = SI
         x, y = (full.select(F.col("node").alias(c), F.col("grams").alias(g)) for c, g in (("a", "x"), ("b", "y")))
         return kept_table(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "similar")
 
-    near = checked(_met(rows.withColumn("cluster", F.col("node")), percent, True))
+    near = checked(trie_pairs(prints, percent))
     clusters = components(near).withColumnRenamed("root", "cluster")
     rows = rows.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
-    return near.unionByName(checked(_met(rows, percent, False)))
+    return near.unionByName(checked(_met(rows, percent)))
 
 
 def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, percent: int = SIMILAR_PERCENT) -> DataFrame:

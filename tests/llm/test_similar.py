@@ -5,6 +5,7 @@ import random
 
 import corpus_pipeline as pipeline
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.conftest import prose
 from tests.llm.test_near import union
 
@@ -62,3 +63,38 @@ def test_rows_are_picked_not_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [tuple(r) for r in simhash.one_of_each(docs).collect()]
     assert len(got) == 4 and set(got) == {(1, a), (2, b), (3, c), (None, d)}
+
+
+def test_the_trie_join_finds_links_of_its_own(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [prose(rng, 150).split() for _ in range(40)]
+    texts = [" ".join(w) for w in base] + [" ".join(w[:140]) for w in base] + [" ".join([*w[:70], "other", *w[71:]]) for w in base]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # Without the prefix filter.
+    monkeypatch.setattr(simhash, "_met", lambda rows, *_: rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    left = sorted(r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect())
+    assert len(left) < 44 and set(left) >= set(brute_groups(texts).values())
+
+
+@pytest.mark.parametrize("hot", [4, 1 << 20])
+def test_trie_pairs(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_ROOT", hot)
+    monkeypatch.setattr(simhash, "NODES", 50)
+    rng = random.Random(hot)
+    prints = [0, (1 << 64) - 1, 0]
+    for _ in range(70):
+        base = rng.getrandbits(64)
+        prints += [base ^ sum(1 << b for b in rng.sample(range(64), rng.choice([0, 1, 4, 9, 12, 13]))) for _ in range(rng.randint(1, 5))]
+    rows = [(i, p - (1 << 64) if p >> 63 else p, rng.choice([80, 100, 101])) for i, p in enumerate(prints)]
+    got = {tuple(r) for r in simhash.trie_pairs(spark.createDataFrame(rows, "node long, fp long, n long")).collect()}
+    first = {}
+    for i, p in enumerate(prints):
+        first.setdefault(p, i)
+    mates = {(first[p], i) for i, p in enumerate(prints) if first[p] != i}
+    apart = lambda a, b: (prints[a] ^ prints[b]).bit_count()
+    like = {(a, b) for a, b in itertools.combinations(first.values(), 2) if apart(a, b) <= 12 and {rows[a][2], rows[b][2]} != {80, 101}}
+    assert mates <= got <= mates | like
+    for x in first.values():
+        near = [(a, b) for a, b in like if x in (a, b)]
+        if near:
+            assert min(near, key=lambda e: (apart(*e), sum(e))) in got and min(near, key=sum) in got
