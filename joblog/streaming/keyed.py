@@ -5,7 +5,7 @@ key has to remember lies in the state store, so the work of a micro-batch follow
 its rows and the timers that run out, not the number of keys. The store is
 RocksDB with a changelog, set on the stream's session.
 
-A batch's rows of one key meet in one task, in memory; bound the batch by
+A batch's rows of one key (of one bucket, where tasks are tracked) meet in one task, in memory; bound the batch by
 ``maxFilesPerTrigger``. Integers and instants of other columns are carried
 through pandas as text, so that nulls beside them cannot change them.
 """
@@ -145,65 +145,112 @@ _EVENT = "role int, ts bigint, id bigint, deadline bigint, status string, error_
 _OUTCOME = "kind string, task_id string, exec_id bigint, result_id bigint, status string, error string"
 _PARTS = tuple(part.split()[0] for part in _EVENT.split(", "))
 _NAMES = tuple(part.split()[0] for part in _OUTCOME.split(", "))
+_HELD = ("task_id", *_PARTS)
+_TEXTS = ("task_id", "status", "error_msg", "kind", "error")
+# Stands for null among ids.
+_NO_ID = -(1 << 63)
+# Tasks share their state in so many buckets: a call of the state's function serves all tasks of one.
+BUCKETS = 256
 # Within what pandas can hold.
 _FAR = "2261-01-01 00:00:00"
 
 
-def settle(task: str | None, rows: list[tuple], cutoff: int) -> tuple[list[tuple], list[tuple]]:
-    """What a task's events up to ``cutoff`` (micros) decide, and the executions that later events may still concern.
+def _columns(rows: list[tuple], names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    parts = list(zip(*rows, strict=True)) or [()] * len(names)
+    return {n: np.array(p, object if n in _TEXTS else np.int64) for n, p in zip(names, parts, strict=True)}
+
+
+def _taken(events: dict[str, np.ndarray], which: np.ndarray) -> dict[str, np.ndarray]:
+    return {n: c[which] for n, c in events.items()}
+
+
+def _together(*parts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {n: np.concatenate([p[n] for p in parts]) for n in _HELD}
+
 
-    Rows are (role, ts, id, deadline, status, error_msg); what has no limit has a
-    deadline that never comes. A result takes the
+def settled(events: dict[str, np.ndarray], cutoff: int) -> tuple[list[dict[str, np.ndarray]], dict[str, np.ndarray]]:
+    """What the events of many tasks up to ``cutoff`` (micros) decide, and the executions that later events may still concern.
+
+    What has no limit has a deadline that never comes. A result takes the
     execution right before it if that one's limit still runs; else it is an
     orphan. A limit passes if no result of the task came within it.
     """
-    rows = sorted(rows, key=lambda r: (r[1], r[0], r[2]))
-    out, keep = [], []
-    for before, row in zip([None, *rows], rows):
-        if row[0] != _RESULT:
-            continue
-        if before is not None and before[0] == _EXECUTION and row[1] <= before[3]:
-            error = None if row[4] == "success" else row[5] if row[5] is not None else "Unknown error"
-            out.append(("matched", task, before[2], row[2], row[4], error))
-        else:
-            name = None if task is None else f"Received result for unknown/expired task_id {task}"
-            out.append(("orphan", task, None, row[2], row[4], name))
-    later = None
-    for row in reversed(rows):
-        if row[0] == _RESULT:
-            later = row[1]
-            continue
-        last, open_ = row is rows[-1], row[3] < _NO_LIMIT and (later is None or later > row[3])
-        if open_ and row[3] < cutoff:
-            out.append(("timeout", task, row[2], None, None, f"Task execution timed out after {(row[3] - row[1]) // 1_000_000} seconds"))
-        elif open_ or (last and row[3] == _NO_LIMIT):
-            keep.append(row)
-    return out, keep
+    code = pd.factorize(events["task_id"])[0]
+    order = np.lexsort((events["id"], events["role"], events["ts"], code))
+    code, rows = code[order], _taken(events, order)
+    n, ts, role, deadline = len(code), rows["ts"], rows["role"], rows["deadline"]
+    same = code[1:] == code[:-1]
+    first, last = np.ones(n, bool), np.ones(n, bool)
+    first[1:], last[:-1] = ~same, ~same
+    result = role == _RESULT
+    before = np.maximum(np.arange(n) - 1, 0)
+    matched = result & ~first & (role[before] == _EXECUTION) & (ts <= deadline[before])
+    # The next result of all, and whether it is of the same task.
+    after = np.minimum.accumulate(np.where(result, np.arange(n), n)[::-1])[::-1]
+    at = np.minimum(after, n - 1)
+    in_time = (after < n) & (code[at] == code) & (ts[at] <= deadline)
+    limited = deadline < _NO_LIMIT
+    open_ = ~result & limited & ~in_time
+    passed = open_ & (deadline < cutoff)
+    kept = ~passed & (open_ | (~result & last & ~limited))
+    none = np.full(n, _NO_ID)
+    nothing = np.full(n, None, object)
+
+    def outcome(kind: str, which: np.ndarray, exec_id: np.ndarray, result_id: np.ndarray, status: np.ndarray, error: list) -> dict[str, np.ndarray]:
+        told = _columns([], _NAMES) | {"kind": np.full(int(which.sum()), kind, object), "task_id": rows["task_id"][which]}
+        return told | {"exec_id": exec_id[which], "result_id": result_id[which], "status": status[which], "error": np.array(error, object)}
+
+    failed = [None if s == "success" else "Unknown error" if e is None else e for s, e in zip(rows["status"][matched], rows["error_msg"][matched], strict=True)]
+    orphan = result & ~matched
+    unknown = [None if t is None else f"Received result for unknown/expired task_id {t}" for t in rows["task_id"][orphan]]
+    late = [f"Task execution timed out after {x} seconds" for x in ((deadline[passed] - ts[passed]) // 1_000_000).tolist()]
+    out = [
+        outcome("matched", matched, rows["id"][before], rows["id"], rows["status"], failed),
+        outcome("orphan", orphan, none, rows["id"], rows["status"], unknown),
+        outcome("timeout", passed, rows["id"], none, nothing, late),
+    ]
+    return [o for o in out if len(o["kind"])], _taken(rows, kept)
+
+
+def settle(task: str | None, rows: list[tuple], cutoff: int) -> tuple[list[tuple], list[tuple]]:
+    """``settled`` for one task; rows are (role, ts, id, deadline, status, error_msg)."""
+    out, kept = settled(_columns([(task, *r) for r in rows], _HELD), cutoff)
+    told = [tuple(None if x == _NO_ID else x for x in r) for o in out for r in zip(*(o[n].tolist() for n in _NAMES), strict=True)]
+    return told, list(zip(*(kept[n].tolist() for n in _PARTS), strict=True))
 
 
 def _track(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: the task's executions up to the clock, and its events after it."""
-    arrived = [row for part in rows for row in zip(*(part[n].tolist() for n in _PARTS), strict=True)] if not state.hasTimedOut else []
-    task, cutoff = key[0], state.getCurrentWatermarkMs() * 1000
-    open_, held = ([tuple(r) for r in part] for part in json.loads(state.get[0])) if state.exists else ([], [])
+    """State of a bucket: its tasks' executions up to the clock, and their events after it, column by column."""
+    none = _columns([], _HELD)
+    arrived = none
+    if not state.hasTimedOut:
+        parts = [{n: p[n].to_numpy(object if n in _TEXTS else np.int64) for n in _HELD} for p in rows]
+        arrived = _together(none, *parts)
+        for column in (arrived[n] for n in _HELD if n in _TEXTS):
+            column[pd.isna(column)] = None
+    cutoff = state.getCurrentWatermarkMs() * 1000
+    saved = json.loads(state.get[0]) if state.exists else [[[]] * len(_HELD)] * 2
+    open_, held = ({n: np.array(c, none[n].dtype) for n, c in zip(_HELD, part, strict=True)} for part in saved)
     # First what the clock has settled without the rows that arrive now.
-    out, kept = settle(task, open_ + [r for r in held if r[1] <= cutoff], cutoff)
-    wait = [r for r in held + arrived if r[1] > cutoff]
-    now = [r for r in arrived if r[1] <= cutoff]
-    if now:
-        more, kept = settle(task, kept + now, cutoff)
+    due = held["ts"] <= cutoff
+    out, kept = settled(_together(open_, _taken(held, due)), cutoff)
+    now = arrived["ts"] <= cutoff
+    if now.any():
+        more, kept = settled(_together(kept, _taken(arrived, now)), cutoff)
         out += more
-    if kept or wait:
-        state.update((json.dumps([kept, wait]),))
-        due = [-(-r[1] // 1000) for r in wait] + [r[3] // 1000 + 1 for r in kept if r[3] < _NO_LIMIT]
-        if due:
+    wait = _together(_taken(held, ~due), _taken(arrived, ~now))
+    if len(kept["ts"]) or len(wait["ts"]):
+        state.update((json.dumps([[p[n].tolist() for n in _HELD] for p in (kept, wait)]),))
+        ends = kept["deadline"][kept["deadline"] < _NO_LIMIT]
+        times = np.concatenate([-(-wait["ts"] // 1000), ends // 1000 + 1])
+        if len(times):
             # Runs out once the clock is past it: a millisecond earlier than due.
-            state.setTimeoutTimestamp(max(min(due) - 1, state.getCurrentWatermarkMs() + 1, 1))
+            state.setTimeoutTimestamp(max(int(times.min()) - 1, state.getCurrentWatermarkMs() + 1, 1))
     elif state.exists:
         state.remove()
-    if out:
-        columns = list(zip(*out, strict=True))
-        yield pd.DataFrame({n: pd.Series(list(c), dtype="Int64" if n in ("exec_id", "result_id") else object) for n, c in zip(_NAMES, columns, strict=True)})
+    for told in out:
+        ids = {n: pd.arrays.IntegerArray(told[n], told[n] == _NO_ID) for n in ("exec_id", "result_id")}
+        yield pd.DataFrame({n: ids.get(n, told[n]) for n in _NAMES})
 
 
 def wall_clock(spark: SparkSession) -> DataFrame:
@@ -211,7 +258,7 @@ def wall_clock(spark: SparkSession) -> DataFrame:
     return spark.readStream.format("rate").option("rowsPerSecond", 1).load().select("timestamp")
 
 
-def keyed_timeouts(executions: DataFrame, results: DataFrame, delay_seconds: int = 0, clock: DataFrame | None = None) -> DataFrame:
+def keyed_timeouts(executions: DataFrame, results: DataFrame, delay_seconds: int = 0, clock: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Executions and results as they come: rows of ``kind`` matched, orphan or timeout.
 
     The clock is the latest instant of all events and of the ticks of ``clock``
@@ -221,14 +268,19 @@ def keyed_timeouts(executions: DataFrame, results: DataFrame, delay_seconds: int
     ``timed_out`` decide them; rows that come later still are decided when they
     come, and every result is in exactly one output. Limits are timers: with
     ``wall_clock`` they pass without further input.
+
+    Tasks are dealt over ``buckets`` by a hash, and a bucket has one state and
+    one timer: a batch costs a call for each bucket it touches, which reads and
+    writes what that bucket's tasks have open. The number belongs to the
+    checkpoint. Events without an instant are left out.
     """
     none = F.lit(None).cast("string")
     starts = executions.select(
-        "task_id", F.lit(_EXECUTION).alias("role"), F.unix_micros("exec_ts").alias("ts"), F.col("exec_id").cast("bigint").alias("id"),
+        "task_id", F.lit(_EXECUTION).alias("role"), F.unix_micros("exec_ts").alias("ts"), F.coalesce(F.col("exec_id").cast("bigint"), F.lit(_NO_ID)).alias("id"),
         F.coalesce(deadline_micros(executions), F.lit(_NO_LIMIT)).cast("bigint").alias("deadline"), none.alias("status"), none.alias("error_msg"),
     )
     ends = results.select(
-        "task_id", F.lit(_RESULT).alias("role"), F.unix_micros("result_ts").alias("ts"), F.col("result_id").cast("bigint").alias("id"),
+        "task_id", F.lit(_RESULT).alias("role"), F.unix_micros("result_ts").alias("ts"), F.coalesce(F.col("result_id").cast("bigint"), F.lit(_NO_ID)).alias("id"),
         F.lit(_NO_LIMIT).alias("deadline"), "status", "error_msg",
     )
     instants = executions.select(F.col("exec_ts").alias("mark")).unionByName(results.select(F.col("result_ts").alias("mark")))
@@ -236,7 +288,7 @@ def keyed_timeouts(executions: DataFrame, results: DataFrame, delay_seconds: int
         instants = instants.unionByName(clock.select(F.col("timestamp").alias("mark")))
     # Only the watermark of these rows counts; events themselves are never late.
     hands = instants.withWatermark("mark", f"{delay_seconds} seconds").filter(F.col("mark") < F.lit("0001-01-02").cast("timestamp"))
-    events = starts.unionByName(ends).withColumn("mark", F.lit(_FAR).cast("timestamp"))
-    rows = hands.unionByName(events, allowMissingColumns=True)
+    events = starts.unionByName(ends).filter("ts is not null").withColumn("mark", F.lit(_FAR).cast("timestamp"))
+    rows = hands.unionByName(events, allowMissingColumns=True).withColumn("bucket", F.pmod(F.xxhash64("task_id"), F.lit(buckets)))
     keyed_session(rows.sparkSession)
-    return rows.groupBy("task_id").applyInPandasWithState(_track, _OUTCOME, "rows string", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("bucket").applyInPandasWithState(_track, _OUTCOME, "rows string", "append", GroupStateTimeout.EventTimeTimeout)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 import time
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from joblog import streaming
 from joblog.operators import dedupe, quota
+from joblog.streaming import keyed
 from joblog.streaming.keyed import settle
 
 T0 = dt.datetime(2024, 1, 1)
@@ -148,3 +150,31 @@ def test_settling_in_steps_is_settling_at_once():
         then, rest = settle("t", kept + [r for r in rows if r[1] > cut], 100)
         assert sorted(map(str, first + then)) == sorted(map(str, whole)) and rest == left
     assert sorted(r[0] for r in whole) == ["matched", "orphan", "timeout"]
+
+
+def test_a_bucket_serves_many_tasks_in_one_call(own, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    limits = [rng.choice([None, 5, 60]) for _ in range(40)]
+    rows = [start(i, f"t{i % 40}", rng.randint(0, 300), limits[i % 40]) if rng.random() < 0.5 else end(i, f"t{i % 40}", rng.randint(0, 300), rng.choice(["success", "failed"])) for i in range(900)]
+    rows += [end(900, None, 7, "failed", "why"), start(901, None, 6)]
+    rows.sort(key=lambda r: r[2])
+    pieces = [rows[:300], rows[300:500], rows[500:], []]
+    ticks = [seconds(0)] * 3 + [seconds(9000)]
+    calls = tmp_path / "calls"
+    whole = keyed._track
+
+    def counted(key, parts, state):
+        with open(calls, "a") as f:
+            f.write("x")
+        yield from whole(key, parts, state)
+
+    monkeypatch.setattr(keyed, "_track", counted)
+    got = arrived(own, tmp_path, pieces, EVENTS, lambda s, c: streaming.keyed_timeouts(*split(s), 60, c, buckets=1), ticks).collect()
+    want = []
+    for task in {r[1] for r in rows}:
+        micros = lambda at: round((at - T0).total_seconds()) * 1_000_000
+        own_rows = [(0 if r[0] == "e" else 1, micros(r[2]), r[3], micros(r[2]) + r[4] * 1_000_000 if r[4] else keyed._NO_LIMIT, r[5], r[6]) for r in rows if r[1] == task]
+        want += settle(task, own_rows, 8000 * 1_000_000)[0]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    # Four pieces, a batch without input after each at most.
+    assert len(calls.read_text()) <= 8
