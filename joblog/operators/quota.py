@@ -280,34 +280,62 @@ def _anchored_fold(width: int, names: list[str]):
     return run
 
 
+def _room(limits: np.ndarray, at: int, end: int, count: int) -> int:
+    """The first place from ``at`` whose limit is over ``count``, or ``end``; reads little more than it passes."""
+    step = 16
+    while at < end:
+        found = np.flatnonzero(limits[at : min(at + step, end)] > count)
+        if len(found):
+            return at + int(found[0])
+        at, step = at + step, 4 * step
+    return end
+
+
 def _rolling_fold(width: int, names: list[str]):
+    """Admit in order inside each (group, burst).
+
+    Until the oldest admission leaves the window, a row that finds no room
+    leaves everything as it is, so the fold goes on at the next row with a limit
+    above the count: beyond the admissions, a burst costs array scans.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, recent = None, deque()
         for batch in batches:
-            admitted, starts, counts = [], [], []
-            stamps, limits, own = _numbers(batch, "__ts"), _numbers(batch, LIMIT), _numbers(batch, "__own")
+            n = batch.num_rows
+            stamps, limits, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__ts", LIMIT, "__own"))
+            admitted, starts, counts = np.zeros(n, bool), np.full(n, _NONE), np.zeros(n, np.int32)
             for run_key, first, stop in key_runs(batch, [GROUP, "__burst"]):
                 if run_key != key:
                     key, recent = run_key, deque()
-                for ts, limit, mine in zip(stamps[first:stop], limits[first:stop], own[first:stop]):
-                    if not mine:  # lent: admitted before
+                at = first
+                while at < stop:
+                    ts = int(stamps[at])
+                    if not own[at]:  # lent: admitted before
                         recent.append(ts)
+                        at += 1
                         continue
                     while recent and ts - recent[0] >= width:
                         recent.popleft()
-                    allow = len(recent) < limit
-                    if allow:
+                    count = len(recent)
+                    if limits[at] > count:
                         recent.append(ts)
-                    admitted.append(allow)
-                    starts.append(recent[0] if recent else None)
-                    counts.append(len(recent))
+                        admitted[at], starts[at], counts[at] = True, recent[0], count + 1
+                        at += 1
+                        continue
+                    leaves = at + int(np.searchsorted(stamps[at:stop], recent[0] + width)) if recent else stop
+                    room = _room(limits, at, leaves, count)
+                    if recent:
+                        starts[at:room] = recent[0]
+                    counts[at:room] = count
+                    at = room
             yield _append(
                 batch,
-                own,
+                own.tolist(),
                 {
-                    "admitted": pa.array(admitted, pa.bool_()),
-                    "__start": pa.array(starts, pa.int64()),
-                    "window_count": pa.array(counts, pa.int32()),
+                    "admitted": pa.array(admitted[own]),
+                    "__start": pa.array(starts[own], mask=starts[own] == _NONE),
+                    "window_count": pa.array(counts[own]),
                 },
                 names,
             )
@@ -350,6 +378,19 @@ def _admit_anchored(stamped: DataFrame, schema: T.StructType, width: int, span:
     )
 
 
+def _trailing(rows: DataFrame, width: int) -> DataFrame:
+    """Add ``trailing``: rows of the group and chunk in the ``width`` up to each row's instant.
+
+    A row counts from its instant on, and no more ``width`` later, so a running
+    sum over both turns tells. Its work follows the rows, while a sliding frame
+    is counted anew wherever it moves.
+    """
+    turns = rows.repartition(GROUP, CHUNK).withColumn("__turn", F.explode(F.array(F.lit(1), F.lit(-1))))
+    turns = turns.filter("__turn = 1 or __ts is not null").withColumn("__at", F.col("__ts") + F.when(F.col("__turn") < 0, width).otherwise(0))
+    so_far = Window.partitionBy(GROUP, CHUNK, F.isnull("__ts")).orderBy("__at").rangeBetween(Window.unboundedPreceding, 0)
+    return turns.withColumn("trailing", F.sum("__turn").over(so_far)).filter("__turn = 1").drop("__turn", "__at")
+
+
 def _rolling_bursts(stamped: DataFrame, width: int, span: int) -> DataFrame:
     """Rows of hot groups with ``__burst``, what can be folded on its own, and ``__own``; lent rows go before it.
 
@@ -360,18 +401,22 @@ def _rolling_bursts(stamped: DataFrame, width: int, span: int) -> DataFrame:
     """
     in_slice = Window.partitionBy(GROUP, CHUNK).orderBy("__ts")
     gap = F.col("__ts") - F.lag("__ts").over(in_slice) >= width
-    trailing = F.count(F.lit(1)).over(in_slice.rangeBetween(-(width - 1), 0))
-    tail = F.pmod(F.col("__ts"), F.lit(span)) >= span - width
     seen = _lend(stamped.filter(HOT), CHUNK, width, span)
-    counted = seen.withColumn("__congested", tail & (trailing > F.col(LIMIT))).filter("__own")
-    inside = counted.withColumn("__inner", F.when(gap, F.col("__ts")))
+    inside = seen.withColumn("__inner", F.when(gap, F.col("__ts"))).filter("__own")
+    # Of a slice, its last window and the one before that are all that its congestion depends on.
+    into = F.col("__ts") - F.col(CHUNK) * F.lit(span)
+    counted = _trailing(seen.select(GROUP, CHUNK, "__ts", LIMIT, "__own").filter(into > span - 2 * width), width)
+    congested = counted.filter(F.col("__own") & (into >= span - width) & (F.col("trailing") > F.col(LIMIT)))
+    jams = congested.select(GROUP, CHUNK, F.lit(True).alias("__jam")).distinct()
     across = Window.partitionBy(GROUP).orderBy(CHUNK)
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("__before")
     free = ~(F.lag("__jam").over(across) & (F.lag(CHUNK).over(across) == F.col(CHUNK) - 1))
     opening = (
         inside.groupBy(GROUP, CHUNK)
-        .agg(F.min("__ts").alias("__min"), F.max("__ts").alias("__max"), F.max("__inner").alias("__inner"), F.max("__congested").alias("__jam"))
+        .agg(F.min("__ts").alias("__min"), F.max("__ts").alias("__max"), F.max("__inner").alias("__inner"))
+        .join(jams, [GROUP, CHUNK], "left")
+        .withColumn("__jam", F.coalesce("__jam", F.lit(False)))
         .withColumns({"__before": F.lag("__max").over(across), "__free": free})
         .withColumn("__opens", F.when(before.isNull() | (F.col("__min") - before >= width) | F.col("__free"), F.col("__min")))
         .withColumn("__starts", F.coalesce("__inner", "__opens"))
@@ -497,13 +542,7 @@ def rolling_rate(
         floor_div(F.unix_micros("ts"), span),
         hot_keys(requests, [GROUP], hot_rows),
     )
-    trailing = Window.partitionBy(GROUP, CHUNK).orderBy("__ts").rangeBetween(-(width - 1), 0)
-    return (
-        _lend(stamped, CHUNK, width, span)
-        .withColumn("trailing", F.count(F.lit(1)).over(trailing))
-        .filter("__own")
-        .select(*requests.columns, "trailing")
-    )
+    return _trailing(_lend(stamped, CHUNK, width, span), width).filter("__own").select(*requests.columns, "trailing")
 
 
 def rate_window_state(requests: DataFrame, window: int = WINDOW_SECONDS, windows: DataFrame | None = None) -> DataFrame:

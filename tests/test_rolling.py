@@ -60,3 +60,31 @@ def test_a_gapless_group_runs_in_many_parts(spark):
     parts = quota._rolling_bursts(stamped, width, span).groupBy("__burst").agg(F.count_if("__own").alias("own")).collect()
     assert sum(p.own for p in parts) == len(rows)
     assert len(parts) > 30 and max(p.own for p in parts) < len(rows) / 4
+
+
+def dense(rng, n):
+    """Many requests in every window, at instants of their own and shared ones; some without an instant."""
+    rows = [(i, T0 + dt.timedelta(milliseconds=rng.randrange(300_000)), "hot", rng.choice([0, 2, 3, 40])) for i in range(n)]
+    rows += [(n + i, T0 + dt.timedelta(seconds=rng.randrange(300)), "calm", 2) for i in range(100)]
+    return rows
+
+
+@pytest.mark.parametrize("hot_rows", [0, 10**6])
+def test_trailing_counts_of_dense_windows(spark, hot_rows):
+    rows = dense(random.Random(3), 600)
+    df = spark.createDataFrame([*rows, (9000, None, "hot", 1), (9001, None, "hot", 1)], SCHEMA)
+    want = {s: sum(g == h and t - dt.timedelta(seconds=WINDOW) < u <= t for _, u, h, _ in rows) for s, t, g, _ in rows}
+    told = quota.rolling_rate(df, hot_rows=hot_rows, windows_per_slice=1)
+    assert {r.seq: r.trailing for r in told.collect()} == want | {9000: 2, 9001: 2}
+    for per_slice in (1, 4):
+        got = quota.admit_quota(df.filter("ts is not null"), mode="rolling", hot_rows=hot_rows, windows_per_slice=per_slice)
+        assert {r.seq: r.admitted for r in got.collect()} == model(rows)
+
+
+def test_no_frame_slides(spark, capsys):
+    """A sliding frame is counted anew wherever it moves, so its work grows with the square of a window's rows."""
+    df = spark.createDataFrame(dense(random.Random(4), 50), SCHEMA)
+    for told in (quota.rolling_rate(df, hot_rows=0), quota.admit_quota(df, mode="rolling", hot_rows=0)):
+        told.explain()
+        plan = capsys.readouterr().out
+        assert "RangeFrame, unboundedpreceding$(), currentrow$()" in plan and "RangeFrame, -" not in plan
